@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorloom.plans import training
+from sensorloom.plans import timeline, training
 
-MODULES = [training]
+MODULES = [timeline, training]
 
 
 def queries() -> dict:
