@@ -22,6 +22,9 @@ import regex
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
+#: Characters up to which the pieces of a text are listed before they are looked up, which is faster.
+AT_ONCE = 1 << 16
+
 _PIECES = regex.compile(PIECE_PATTERN)
 
 
@@ -35,7 +38,8 @@ class MergeList:
             self.tokens[r] = b
         #: Bytes that may follow before the end of a token is settled.
         self.lookahead = max(map(len, ranks))
-        self._tails = {b[i:] for b in ranks for i in range(len(b))}
+        #: Every end of a token, with its rank where it is a token itself, else -1.
+        self._tails = {b[i:]: -1 for b in ranks for i in range(1, len(b))} | ranks
         self._pairs: dict[tuple[int, int], bool] = {}
         self._pair_cache_size = pair_cache_size
         self._cache: dict[str, tuple[int, ...]] = {}
@@ -102,9 +106,12 @@ class MergeList:
         out = array("i")
         if text:
             get, solve, extend = self._cache.get, self.encode_piece, out.extend
-            for m in _PIECES.finditer(text):
-                p = m.group()
-                extend(get(p) or solve(p))
+            if len(text) <= AT_ONCE:
+                for p in _PIECES.findall(text):
+                    extend(get(p) or solve(p))
+            else:
+                for ids in self.encode_stream(text):
+                    extend(ids)
         return out
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
@@ -144,20 +151,23 @@ class Transducer:
         return out
 
     def _extend(self, data: bytes) -> None:
-        buf, last, start = self._bytes, self._last, self._from
-        ranks, tails, follows, longest = self.m.ranks, self.m._tails, self.m.follows, self.m.lookahead
-        done = len(buf)
-        buf += data
+        last, start = self._last, self._from
+        tails, pairs, follows, longest = self.m._tails, self.m._pairs, self.m.follows, self.m.lookahead
+        done = len(self._bytes)
+        self._bytes += data
+        buf = bytes(self._bytes)
         for i in range(done + 1, len(buf) + 1):
             for j in range(i - 1, max(-1, i - longest - 1), -1):
-                tail = bytes(buf[j:i])
-                if tail not in tails:
+                r = tails.get(buf[j:i])
+                if r is None:
                     raise ValueError("the vocabulary cannot spell these bytes")
-                r = ranks.get(tail)
-                if r is not None and follows(last[j], r):
-                    last.append(r)
-                    start.append(j)
-                    break
+                if r >= 0:
+                    before = last[j]
+                    ok = pairs.get((before, r))
+                    if ok or (ok is None and follows(before, r)):
+                        last.append(r)
+                        start.append(j)
+                        break
             else:
                 raise ValueError("the vocabulary cannot spell these bytes")
         self.widest = max(self.widest, len(buf))

@@ -21,8 +21,9 @@ _BOUNDARIES = (
     regex.compile(r"(?:\r?\n|\r)[^\S\n]*(?:\r?\n|\r)+"),
     regex.compile(r"\r\n?|\n"),
     regex.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[」』”]*"),
-    regex.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)|[，、；：]"),
 )
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+_CLAUSE_ENDS = np.array([ord(c) for c in "，、；："], np.uint32)
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,16 @@ class Piece:
     cut: str  # kind of the boundary at its end; "end" for the last piece
 
 
+def _word_edges(text: str) -> np.ndarray:
+    """For each position of the text, and its end: whether white space starts or ends there, or a clause has ended."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = np.isin(codes, _SPACES)
+    out = np.zeros(len(codes) + 1, bool)
+    out[1:-1] = space[1:] != space[:-1]
+    out[1:] |= np.isin(codes, _CLAUSE_ENDS)
+    return out
+
+
 class _Offsets:
     """Prefix sums of token lengths, and the token positions that are natural boundaries."""
 
@@ -51,8 +62,9 @@ class _Offsets:
         at = self.char[self.hard]
         self.levels = []
         for pattern in _BOUNDARIES:
-            ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
-            self.levels.append(self.hard[np.isin(at, ends, assume_unique=False)])
+            ends = np.array([m.end() for m in pattern.finditer(text)], np.int64)
+            self.levels.append(self.hard[np.isin(at, ends)])
+        self.levels.append(self.hard[_word_edges(text)[at]])
         self.any = np.unique(np.concatenate(self.levels)) if self.levels else self.hard
         self.n = len(ids)
 
