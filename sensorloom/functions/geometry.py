@@ -6,12 +6,19 @@ or sixteen doubles, row by row. Null in, null out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 C0 = 0.28209479177387814  # fixed value: constant of the first spherical harmonic
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def quat(w, x, y, z) -> Column:
     return F.struct(*[F.lit(v).cast("double").alias(n) if not isinstance(v, Column) else v.cast("double").alias(n) for n, v in zip("wxyz", (w, x, y, z))])
 
@@ -31,38 +38,39 @@ def unit_quat(q: Column, tolerance: float = 1e-3) -> Column:
 
 def quat_to_rotation(q: Column) -> Column:
     """Rotation matrix of a unit quaternion, nine doubles row by row."""
-    w, x, y, z = (q[c] for c in "wxyz")
-    return F.array(
-        1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
-        2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
-        2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
-    )
+
+    def cells(v: Column) -> Column:
+        w, x, y, z = (v[c] for c in "wxyz")
+        return F.array(
+            1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
+            2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+            2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
+        )
+
+    return let(q, cells)
 
 
 def rotation_to_quat(r: Column) -> Column:
-    """Unit quaternion of a rotation matrix, w >= 0; the largest component is taken from the diagonal."""
-    m = [[r[3 * i + j] for j in range(3)] for i in range(3)]
-    diag = [1 + m[0][0] + m[1][1] + m[2][2], 1 + m[0][0] - m[1][1] - m[2][2], 1 - m[0][0] + m[1][1] - m[2][2], 1 - m[0][0] - m[1][1] + m[2][2]]
-    half = [m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1]]
-    mixed = {(1, 2): m[0][1] + m[1][0], (1, 3): m[0][2] + m[2][0], (2, 3): m[1][2] + m[2][1]}
-
-    def from_largest(k: int) -> Column:
-        s = F.sqrt(diag[k]) * 2
-        parts = []
-        for i in range(4):
-            if i == k:
-                parts.append(s / 4)
-            elif 0 in (i, k):
-                parts.append(half[max(i, k) - 1] / s)
-            else:
-                parts.append(mixed[min(i, k), max(i, k)] / s)
-        flip = F.signum(parts[0]) + (parts[0] == 0).cast("double")
-        return quat(*[p * flip for p in parts])
-
-    top = F.greatest(*diag)
-    out = from_largest(3)
-    for k in (2, 1, 0):
-        out = F.when(diag[k] == top, from_largest(k)).otherwise(out)
+    """Unit quaternion of a rotation matrix, w >= 0.
+
+    Four times the products of its parts are sums of the matrix's entries; the row of products
+    of the largest part, scaled to unit length, is the quaternion up to its sign.
+    """
+
+    def products(m: Column) -> Column:
+        e = [[m[3 * i + j] for j in range(3)] for i in range(3)]
+        ww, xx = 1 + e[0][0] + e[1][1] + e[2][2], 1 + e[0][0] - e[1][1] - e[2][2]
+        yy, zz = 1 - e[0][0] + e[1][1] - e[2][2], 1 - e[0][0] - e[1][1] + e[2][2]
+        wx, wy, wz = e[2][1] - e[1][2], e[0][2] - e[2][0], e[1][0] - e[0][1]
+        xy, xz, yz = e[0][1] + e[1][0], e[0][2] + e[2][0], e[1][2] + e[2][1]
+        rows = [(ww, wx, wy, wz), (wx, xx, xy, xz), (wy, xy, yy, yz), (wz, xz, yz, zz)]
+        return F.array(*[F.struct(rows[k][k].alias("size"), F.array(*rows[k]).alias("row")) for k in range(4)])
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, c: s + c * c)) * F.when(v[0] < 0, -1.0).otherwise(1.0)
+        return let(norm, lambda n: quat(*[v[k] / n for k in range(4)]))
+
+    out = let(r, lambda m: let(F.array_max(products(m)), lambda best: let(best["row"], unit)))
     return F.when(r.isNotNull(), out)
 
 

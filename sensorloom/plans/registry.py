@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorloom.plans import relational, scene, timeline, training
+from sensorloom.plans import formats, relational, scene, timeline, training
 
-MODULES = [relational, scene, timeline, training]
+MODULES = [formats, relational, scene, timeline, training]
 
 
 def queries() -> dict:
