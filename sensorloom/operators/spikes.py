@@ -80,7 +80,7 @@ def _angles(r: np.ndarray):
     return apart, lambda i, p, q, a, b: apart(p, q) < np.maximum(a, b)  # turned away and back
 
 
-def _measure(track: str, g: pd.DataFrame) -> pd.DataFrame:
+def _measure(track: str, g: pd.DataFrame, chunk_lines: int) -> pd.DataFrame:
     """Residual rates, changes per second and rule flags of one chunk of one source, halo rows dropped."""
     g = g.sort_values("line", kind="stable").drop_duplicates("line")
     t = g["t"].to_numpy(float)
@@ -105,7 +105,7 @@ def _measure(track: str, g: pd.DataFrame) -> pd.DataFrame:
         change = np.full((len(t), len(channels)), np.nan)
         for c, (a, _) in enumerate(channels):
             change[1:, c] = np.abs(a(n[1:], n[:-1])) / dt
-    core = (g["line"].to_numpy() // CHUNK_LINES) == g["chunk"].to_numpy()
+    core = (g["line"].to_numpy() // chunk_lines) == g["chunk"].to_numpy()
     return pd.DataFrame(
         {
             "source": g["source"].to_numpy()[core], "line": g["line"].to_numpy()[core],
@@ -115,18 +115,18 @@ def _measure(track: str, g: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def measure_readings(readings: DataFrame, track: str) -> DataFrame:
+def measure_readings(readings: DataFrame, track: str, chunk_lines: int = CHUNK_LINES, halo_lines: int = HALO_LINES) -> DataFrame:
     """(source, line, rates, changes, stuck, impossible) of each valid reading (source, line, t, values).
 
-    A source is worked through in chunks of CHUNK_LINES lines, each with HALO_LINES more on
+    A source is worked through in chunks of chunk_lines lines, each with halo_lines more on
     both sides, so a source with a third of all rows is spread over many tasks of bounded
     size. A run is seen whole where at least eight of the halo's readings are valid.
     """
     out = "source string, line bigint, rates array<float>, changes array<float>, stuck boolean, impossible boolean"
     line = F.col("line")
-    chunks = F.array_distinct(F.array(*[F.floor((line + h) / CHUNK_LINES) for h in (0, -HALO_LINES, HALO_LINES)]))
+    chunks = F.array_distinct(F.array(*[F.floor((line + h) / chunk_lines) for h in (0, -halo_lines, halo_lines)]))
     spread = readings.select("source", "line", "t", "values", F.explode(chunks).alias("chunk"))
-    return spread.groupBy("source", "chunk").applyInPandas(lambda g: _measure(track, g), out)
+    return spread.groupBy("source", "chunk").applyInPandas(lambda g: _measure(track, g, chunk_lines), out)
 
 
 def usual_changes(measured: DataFrame, channels: tuple[str, ...]) -> DataFrame:
@@ -162,7 +162,7 @@ def tail_cutoffs(measured: DataFrame, usual: DataFrame, channels: tuple[str, ...
     return g.select("source", F.element_at(names, F.col("c") + 1).alias("channel"), "c", "usual", "readings", "peaks", "shape", "scale", cutoff.alias("cutoff"))
 
 
-def flag_readings(readings: DataFrame, track: str, factor: float = FACTOR) -> tuple[DataFrame, DataFrame]:
+def flag_readings(readings: DataFrame, track: str, factor: float = FACTOR, chunk_lines: int = CHUNK_LINES, halo_lines: int = HALO_LINES) -> tuple[DataFrame, DataFrame]:
     """(flags, cutoffs): flags has (source, line, spike, stuck, impossible) of the readings with any of them.
 
     readings has source, line, t and values with all present (imu_values, pose_values). Re-delivered
@@ -171,7 +171,7 @@ def flag_readings(readings: DataFrame, track: str, factor: float = FACTOR) -> tu
     is a spike if it exceeds `factor` usual changes, which no cutoff is above.
     """
     channels = IMU_CHANNELS if track == "imu" else POSE_CHANNELS
-    measured = cut_lineage(measure_readings(readings, track))
+    measured = cut_lineage(measure_readings(readings, track, chunk_lines, halo_lines))
     usual = usual_changes(measured, channels)
     cutoffs = tail_cutoffs(measured, usual, channels, factor=factor)
     per_source = cutoffs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("c", "usual", "cutoff"))).alias("tails"))
