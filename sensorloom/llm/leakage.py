@@ -132,8 +132,8 @@ class ItemIndex:
             best = (0.0, 0.0)
             n = len(item)
             for lo, hi in self._stretches(at, n, need):
-                end = min(len(words), hi + n + 1)
-                for a in range(max(0, lo - n), max(1, end - 4 * n), 4 * n):  # windows that overlap by four items' length
+                begin, end = max(0, lo - n), min(len(words), hi + n + 1)
+                for a in range(begin, max(begin + 1, end - 4 * n), 4 * n):  # windows that overlap by four items' length
                     best = max(best, self._passage(item, words[a : min(end, a + 8 * n)]))
                     if best[0] >= 1:
                         break

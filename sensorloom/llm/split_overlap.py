@@ -25,7 +25,7 @@ def capture_stamp_ns(name: Column) -> Column:
     base = F.regexp_extract(name, r"([^/\\]*)$", 1)
     digits = F.ltrim(F.regexp_extract(base, r"([0-9]+)", 1), F.lit("0"))
     n = F.length(digits)
-    return F.when((n > 0) & (n <= 15), digits.cast("bigint") * 1000).when(n <= 16, F.concat(digits, F.lit("000")).try_cast("bigint")).when(n <= 19, digits.try_cast("bigint"))
+    return F.when((n > 0) & (n <= 15), digits.cast("bigint") * 1000).when(n == 16, F.concat(digits, F.lit("000")).try_cast("bigint")).when((n > 16) & (n <= 19), digits.try_cast("bigint"))
 
 
 def _append_each(own: Column):
