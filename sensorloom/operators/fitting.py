@@ -87,14 +87,14 @@ def floor_plane(
         # Three picks a trial: the row with the smallest hash of (id, trial, k); trials are spread over hash buckets.
         slots = 3 * trials
         h = side.withColumn("_slot", F.pmod(F.xxhash64("_i", F.lit(seed), F.lit(round_)), F.lit(slots)))
-        pick = h.groupBy(*by, "_slot").agg(F.min_by(F.struct(*AXES), F.xxhash64("_i", F.lit(seed + 1), F.lit(round_))).alias("p"))
-        tri = pick.groupBy(*by, F.floor(F.col("_slot") / 3).alias("trial")).agg(F.collect_list("p").alias("t")).where(F.size("t") == 3)
-        a, b, c = (F.col("t")[i] for i in range(3))
+        pick = h.groupBy(*by, "_slot").agg(F.min_by(F.struct(*AXES), F.xxhash64("_i", F.lit(seed + 1), F.lit(round_))).alias("_p"))
+        tri = pick.groupBy(*by, F.floor(F.col("_slot") / 3).alias("_trial")).agg(F.collect_list("_p").alias("_t")).where(F.size("_t") == 3)
+        a, b, c = (F.col("_t")[i] for i in range(3))
         e, f = [b[k] - a[k] for k in AXES], [c[k] - a[k] for k in AXES]
         n = [e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]]
         norm = F.sqrt(n[0] ** 2 + n[1] ** 2 + n[2] ** 2)
-        tri = tri.where(norm > 1e-9).withColumn("n", F.array(*[v / norm for v in n]))
-        return tri.select(*by, "trial", "n", (-(F.col("n")[0] * a["x"] + F.col("n")[1] * a["y"] + F.col("n")[2] * a["z"])).alias("d"))
+        tri = tri.where(norm > 1e-9).withColumn("_n", F.array(*[v / norm for v in n]))
+        return tri.select(*by, F.col("_trial"), "_n", (-(F.col("_n")[0] * a["x"] + F.col("_n")[1] * a["y"] + F.col("_n")[2] * a["z"])).alias("_d"))
 
     def off(n: Column, d: Column) -> Column:
         return F.abs(n[0] * F.col("x") + n[1] * F.col("y") + n[2] * F.col("z") + d)
@@ -104,24 +104,25 @@ def floor_plane(
         rest = rest.join(big.select(*by), by, "left_semi")
         if rest.isEmpty():
             break
-        tri = solve_triples(rest, k).groupBy(*by).agg(F.collect_list(F.struct("trial", "n", "d")).alias("planes"))  # `trials` small structs
-        near = rest.join(tri, by).select(*by, F.explode(F.filter("planes", lambda p: off(p["n"], p["d"]) <= tolerance)).alias("p"))
-        best = near.groupBy(*by, "p.trial").agg(F.count("*").alias("c"), F.first("p").alias("p")).groupBy(*by).agg(F.max_by(F.struct("p.n", "p.d"), F.struct("c", (-F.col("trial")).alias("t"))).alias("b"))
-        plane = cut_lineage(best.select(*by, "b.n", "b.d"))
+        tri = solve_triples(rest, k).groupBy(*by).agg(F.collect_list(F.struct(F.col("_trial").alias("trial"), F.col("_n").alias("n"), F.col("_d").alias("d"))).alias("_planes"))  # `trials` small structs
+        near = rest.join(tri, by).select(*by, F.explode(F.filter("_planes", lambda p: off(p["n"], p["d"]) <= tolerance)).alias("_p"))
+        best = near.groupBy(*by, F.col("_p.trial").alias("_trial")).agg(F.count("*").alias("_c"), F.first("_p").alias("_p"))
+        best = best.groupBy(*by).agg(F.max_by(F.struct("_p.n", "_p.d"), F.struct("_c", -F.col("_trial"))).alias("_b"))
+        plane = cut_lineage(best.select(*by, F.col("_b.n").alias("_n"), F.col("_b.d").alias("_d")))
         for _ in range(3):
-            fit = plane_of(rest.join(plane, by).where(off(F.col("n"), F.col("d")) <= tolerance).drop("n", "d"), by)
-            plane = cut_lineage(fit.select(*by, F.array("nx", "ny", "nz").alias("n"), "d", F.col("n").alias("inliers")))
-        cam = cameras.join(plane, by).withColumn("h", F.col("n")[0] * F.col("x") + F.col("n")[1] * F.col("y") + F.col("n")[2] * F.col("z") + F.col("d"))
-        g = cam.groupBy(*by).agg(F.percentile("h", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg((F.col("h") > 0).cast("double")).alias("up"))
-        ok = plane.join(g, by).withColumn("s", F.when(F.col("q")[1] < 0, -1.0).otherwise(1.0))
-        share = F.when(F.col("s") < 0, 1 - F.col("up")).otherwise(F.col("up"))
-        ok = ok.where((share >= above) & F.abs(F.col("q")[1]).between(*heights) & (F.col("q")[2] - F.col("q")[0] <= max_spread))
-        ok = ok.select(*by, *[(F.col("s") * F.col("n")[i]).alias(f"n{a}") for i, a in enumerate(AXES)], (F.col("s") * F.col("d")).alias("d"), "inliers")
+            fit = plane_of(rest.join(plane, by).where(off(F.col("_n"), F.col("_d")) <= tolerance).select(*by, *AXES), by)
+            plane = cut_lineage(fit.select(*by, F.array("nx", "ny", "nz").alias("_n"), F.col("d").alias("_d"), F.col("n").alias("_inliers")))
+        cam = cameras.select(*by, *AXES).join(plane, by).withColumn("_h", F.col("_n")[0] * F.col("x") + F.col("_n")[1] * F.col("y") + F.col("_n")[2] * F.col("z") + F.col("_d"))
+        g = cam.groupBy(*by).agg(F.percentile("_h", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.avg((F.col("_h") > 0).cast("double")).alias("_up"))
+        ok = plane.join(g, by).withColumn("_sign", F.when(F.col("_q")[1] < 0, -1.0).otherwise(1.0))
+        share = F.when(F.col("_sign") < 0, 1 - F.col("_up")).otherwise(F.col("_up"))
+        ok = ok.where((share >= above) & F.abs(F.col("_q")[1]).between(*heights) & (F.col("_q")[2] - F.col("_q")[0] <= max_spread))
+        ok = ok.select(*by, *[(F.col("_sign") * F.col("_n")[i]).alias(f"n{a}") for i, a in enumerate(AXES)], (F.col("_sign") * F.col("_d")).alias("d"), F.col("_inliers").alias("inliers"))
         found = ok if found is None else found.unionByName(ok)
-        rest = cut_lineage(rest.join(plane.drop("inliers"), by).where(off(F.col("n"), F.col("d")) > tolerance).drop("n", "d"))
+        rest = cut_lineage(rest.join(plane, by).where(off(F.col("_n"), F.col("_d")) > tolerance).select(*by, "_i", *AXES))
     if found is None:
         found = points.select(*by).where("false").select(*by, *[F.lit(0.0).alias(c) for c in ("nx", "ny", "nz", "d")], F.lit(0).cast("bigint").alias("inliers"))
-    top = found.groupBy(*by).agg(F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), "inliers").alias("b")).select(*by, "b.*")
+    top = found.groupBy(*by).agg(F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), "inliers").alias("_b")).select(*by, "_b.*")
     return top.join(total, by).where(F.col("inliers") >= min_share * F.col("_total")).drop("_total")
 
 
@@ -135,7 +136,7 @@ def register(source: DataFrame, target: DataFrame, by: list[str], row_id: str, r
     moved = source.select(*by, F.col(row_id).alias("_i"), *AXES)
     tgt = target.select(*by, F.monotonically_increasing_id().alias("_j") if row_id not in target.columns else F.col(row_id).alias("_j"), *AXES)
     tgt = cut_lineage(tgt)
-    total = cut_lineage(source.select(*by).distinct().withColumn("m", identity))
+    total = cut_lineage(source.select(*by).distinct().withColumn("_mat", identity))
     first = None
     for _ in range(rounds):
         moved = cut_lineage(moved)
@@ -146,14 +147,14 @@ def register(source: DataFrame, target: DataFrame, by: list[str], row_id: str, r
         if first is None:
             first = limit.select(*by, F.col("_m").alias("before"))
         fit = similarity(pairs.join(limit, by).where(F.col("distance") <= F.col("_p")), by, ("x", "y", "z"), ("tx", "ty", "tz"), False, 3)
-        fit = cut_lineage(fit.select(*by, F.col("tmat").alias("s")))
-        moved = moved.join(fit, by).select(*by, "_i", *[(F.col("s")[4 * i] * F.col("x") + F.col("s")[4 * i + 1] * F.col("y") + F.col("s")[4 * i + 2] * F.col("z") + F.col("s")[4 * i + 3]).alias(a) for i, a in enumerate(AXES)])
-        step = [[sum((F.col("s")[4 * i + k] * F.col("m")[4 * k + j] for k in range(1, 4)), F.col("s")[4 * i] * F.col("m")[j]) for j in range(4)] for i in range(4)]
-        total = cut_lineage(total.join(fit, by).select(*by, F.array(*[c for row in step for c in row]).alias("m")))
+        fit = cut_lineage(fit.select(*by, F.col("tmat").alias("_fit")))
+        moved = moved.join(fit, by).select(*by, "_i", *[(F.col("_fit")[4 * i] * F.col("x") + F.col("_fit")[4 * i + 1] * F.col("y") + F.col("_fit")[4 * i + 2] * F.col("z") + F.col("_fit")[4 * i + 3]).alias(a) for i, a in enumerate(AXES)])
+        step = [[sum((F.col("_fit")[4 * i + k] * F.col("_mat")[4 * k + j] for k in range(1, 4)), F.col("_fit")[4 * i] * F.col("_mat")[j]) for j in range(4)] for i in range(4)]
+        total = cut_lineage(total.join(fit, by).select(*by, F.array(*[c for row in step for c in row]).alias("_mat")))
     nn = nearest_neighbours(moved, tgt, by, 1, reach, "_i", "_j").where(F.col("distance") <= reach)
     last = nn.groupBy(*by).agg(F.percentile("distance", 0.5).alias("after"))
     kept = F.coalesce(F.col("after") <= gain * F.col("before"), F.lit(False))
-    return first.join(last, by, "left").join(total, by).select(*by, "before", "after", kept.alias("kept"), F.when(kept, F.col("m")).otherwise(identity).alias("tmat"))
+    return first.join(last, by, "left").join(total, by).select(*by, "before", "after", kept.alias("kept"), F.when(kept, F.col("_mat")).otherwise(identity).alias("tmat"))
 
 
 def k_medians_1d(values: DataFrame, by: list[str], value: str, max_k: int = 5, drop: float = 0.35, bin_size: float = 0.01) -> DataFrame:

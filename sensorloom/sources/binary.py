@@ -93,7 +93,7 @@ def _points(files: DataFrame, decode, columns: list[str]) -> DataFrame:
 
 
 def read_ply(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """(path, row, columns) of PLY files; columns a file lacks are NaN."""
+    """(path, row, columns) of PLY files; columns a file lacks are null."""
     return _points(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), ply_vertices, columns)
 
 
