@@ -29,7 +29,8 @@ def a04_population_std(spark: SparkSession, d: str) -> DataFrame:
 
 def a16_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.groupBy("l_partkey").agg(F.round(F.try_divide(F.sum(F.col("l_quantity") * F.col("l_extendedprice")), F.sum("l_quantity")), 4).alias("price"))
+    q, cents = F.col("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return li.groupBy("l_partkey").agg(F.try_divide(F.sum(q * cents).cast("double"), F.sum(q).cast("double")).alias("price"))
 
 
 def a18_cond_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -301,7 +302,7 @@ ORACLE = {
     "a01_stats": f"WITH {IMU}, w AS (SELECT seq, sqrt(pow(ox, 2) + pow(oy, 2) + pow(oz, 2)) AS w FROM imu) SELECT seq, count(*) AS n, {', '.join(f'round(quantile_cont(w, {q}), 5) AS {n}' for q, n in ((0.5, 'median'), (0.1, 'p10'), (0.9, 'p90'), (0.95, 'p95')))}, round(max(w), 5) AS max FROM w GROUP BY seq",
     "a03_percentile": "SELECT event_type, round(quantile_cont(value, 0.6), 6) AS p60 FROM events GROUP BY event_type",
     "a04_population_std": f"WITH {BLUR} SELECT seq, round(stddev_pop(rate), 6) AS std, round(var_pop(rate), 6) AS var FROM blur GROUP BY seq",
-    "a16_weighted_mean": "SELECT l_partkey, round(sum(l_quantity * l_extendedprice) / nullif(sum(l_quantity), 0), 4) AS price FROM lineitem GROUP BY l_partkey",
+    "a16_weighted_mean": "SELECT l_partkey, sum(CAST(l_quantity AS BIGINT) * CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / nullif(sum(CAST(l_quantity AS BIGINT))::DOUBLE, 0) AS price FROM lineitem GROUP BY l_partkey",
     "a18_cond_ratio": f"WITH {BLUR}, b AS (SELECT seq, count(rate) AS valid, count(*) FILTER (WHERE rate > 1) AS blurred FROM blur GROUP BY seq HAVING count(rate) > 0) SELECT site, round(avg(1 - blurred / valid), 6) AS sharp, count(*) AS recordings FROM b JOIN recordings USING (seq) GROUP BY site",
     "a19_pooled_vs_macro": """WITH f AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS frame, sum(l_discount * l_tax) AS se, sum(l_quantity) AS px FROM lineitem GROUP BY ALL HAVING sum(l_quantity) >= 20)
         SELECT l_suppkey, count(*) AS frames, round(avg(CASE WHEN se / px > 0 THEN -10 * log10(se / px) ELSE 'inf'::DOUBLE END), 4) AS macro_psnr, round(-10 * log10(sum(se) / sum(px)), 4) AS pooled_psnr FROM f GROUP BY l_suppkey""",
