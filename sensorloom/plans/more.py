@@ -10,7 +10,7 @@ from sensorloom.functions import keys
 from sensorloom.operators import gating, grids
 from sensorloom.operators import relational as rel
 from sensorloom.operators import spatial as sp
-from sensorloom.plans.base import BLUR, POSES, blur, imu, poses
+from sensorloom.plans.base import BLUR, IMU, POSES, blur, imu, poses
 from sensorloom.plans.relational import _records
 from sensorloom.session import table
 from sensorloom.sources import text
@@ -111,3 +111,12 @@ ORACLE = {
     "x11_transfer": """WITH a AS (SELECT DISTINCT l_discount, l_discount + 0.01::DOUBLE AS a FROM lineitem), r AS (SELECT *, greatest(0, least(1, a * 5)) AS c FROM a)
         SELECT l_discount, round(a, 9) AS same, round(c * c * (3 - 2 * c), 9) AS ramp, round(1 - pow(1 - a, 1 / 3), 9) AS shared, round(-(a * ln(a) + (1 - a) * ln(1 - a)), 9) AS entropy, round(a, 9) AS colour FROM r""",
 }
+
+_CODED = f"""{_P}, e AS (SELECT seq, {', '.join(f'min({c}) AS l{c}, max({c}) AS h{c}' for c in 'xyz')} FROM pts GROUP BY seq),
+  q AS (SELECT seq, line, {', '.join(f'CAST(greatest(0, least(1023, floor(CASE WHEN h{c} - l{c} < 1e-5 THEN 0 ELSE ({c} - l{c}) / (h{c} - l{c}) END * 1023 + 0.5::DOUBLE))) AS BIGINT) AS k{c}' for c in 'xyz')} FROM pts JOIN e USING (seq))"""
+ORACLE["w19_morton_order"] = f"""WITH {_CODED}, c AS (SELECT seq, line, CAST({' + '.join(f'list_sum(list_transform(range(10), lambda i: ((k{c} >> i) & 1) << (3 * i + {n})))' for n, c in enumerate('xyz'))} AS BIGINT) AS code FROM q)
+  SELECT seq, line, code, CAST(row_number() OVER (PARTITION BY seq ORDER BY code, line) AS INTEGER) AS rank FROM c"""
+ORACLE["x08_projections"] = f"""WITH {_P}, a AS (SELECT seq, line, x, y, z + 1.5::DOUBLE AS z, sqrt(x * x + y * y) AS r, sqrt(x * x + y * y + (z + 1.5::DOUBLE) * (z + 1.5::DOUBLE)) AS n FROM pts), t AS (SELECT *, atan2(r, z) AS th FROM a),
+  k AS (SELECT *, CASE WHEN r > 1e-12 THEN th * (1 + th * th * (0.01::DOUBLE + th * th * -0.002::DOUBLE)) / r ELSE 1 END AS ratio FROM t)
+  SELECT seq, line, round(300.0::DOUBLE * x * ratio + 160, 3) AS fish_u, round(300.0::DOUBLE * y * ratio + 120, 3) AS fish_v, round((atan2(x, z) / (2 * pi()) + 0.5::DOUBLE) * 2048, 3) AS pano_u, round((asin(y / n) / pi() + 0.5::DOUBLE) * 1024, 3) AS pano_v FROM k"""
+ORACLE["s03_imu_log"] = f"WITH {IMU} SELECT seq AS path, count(*) AS n, max(printf('%.6f', ox)::DOUBLE) AS fastest, true AS seconds FROM imu WHERE quat IS NOT NULL GROUP BY seq"

@@ -403,3 +403,39 @@ ORACLE = {
     "x_turns": f"""WITH {VIEWS}, f AS (SELECT seq, arg_min(tmat, rec_id) AS m0 FROM views GROUP BY seq) SELECT rec_id, round(degrees(acos(greatest(-1, least(1, ({' + '.join(f'tmat[{i}] * m0[{i}]' for i in (1, 2, 3, 5, 6, 7, 9, 10, 11))} - 1) / 2)))), 3) AS turn,
         round(m0[1] * (tmat[4] - m0[4]) + m0[5] * (tmat[8] - m0[8]) + m0[9] * (tmat[12] - m0[12]), 4) + 0.0 AS x, round(m0[1] * (tmat[4] - m0[4]) + m0[5] * (tmat[8] - m0[8]) + m0[9] * (tmat[12] - m0[12]), 4) + 0.0 AS rel_x FROM views JOIN f USING (seq)""",
 }
+
+
+def _bits(*cells: str) -> str:
+    """Z-order code of three ten-bit whole numbers."""
+    return " + ".join(f"list_sum(list_transform(range(10), lambda i: (({c} >> i) & 1) << (3 * i + {k})))" for k, c in enumerate(cells))
+
+
+def _azimuth(x: str, y: str, step: float) -> str:
+    a = f"degrees(atan2({y}, {x}))"
+    return f"CAST(floor((CASE WHEN {a} < 0 THEN ({a} + 360) % 360 ELSE {a} END) / {step}::DOUBLE) % {round(360 / step)} AS INTEGER)"
+
+
+_KEYED = f"c AS ({_cell(0.25)}), lo AS (SELECT seq, min(ix) AS mx, min(iy) AS my, min(iz) AS mz FROM c GROUP BY seq)"
+ORACLE["x_keys"] = f"""WITH {_PTS}, {_KEYED} SELECT seq, line, ((ix + 1048576) << 42) | ((iy + 1048576) << 21) | (iz + 1048576) AS voxel,
+    CAST({_bits(*[f'((i{c} - m{c}) & 1023)' for c in 'xyz'])} AS BIGINT) AS morton, {_azimuth('x', 'y', 0.5)} AS azimuth FROM c JOIN lo USING (seq)"""
+
+
+def _vote_sql(best: str) -> str:
+    local = ", ".join(f"m[{i + 1}] * (x - m[4]) + m[{i + 5}] * (y - m[8]) + m[{i + 9}] * (z - m[12]) AS q{c}" for i, c in enumerate("xyz"))
+    binned = f"CAST(floor(degrees(asin(qz / r)) / 10) AS INTEGER) AS ring, {_azimuth('qx', 'qy', 4.0)} AS az, r"
+    return f"""WITH {_PTS}, base AS (SELECT seq, line // 400 AS scan, arg_min(tmat, line) AS m FROM pts GROUP BY ALL),
+    own AS (SELECT p.seq, b.scan, {local} FROM pts p JOIN base b ON b.seq = p.seq AND b.scan = p.line // 400), own_r AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS r FROM own),
+    image AS (SELECT seq, scan, ring, az, {best}(r) AS far FROM (SELECT seq, scan, {binned} FROM own_r WHERE r > 0.3) GROUP BY ALL),
+    cloud AS (SELECT p.seq, p.line, b.scan, {local} FROM pts p JOIN base b ON b.seq = p.seq), cloud_r AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS r FROM cloud),
+    seen AS (SELECT seq, line, scan, {binned} FROM cloud_r WHERE r > 0.3),
+    v AS (SELECT s.seq, s.line, count(*) FILTER (WHERE far > s.r + (0.10::DOUBLE + 0.01::DOUBLE * s.r)) AS free, count(*) FILTER (WHERE abs(far - s.r) <= 0.10::DOUBLE + 0.01::DOUBLE * s.r) AS hit FROM seen s JOIN image i ON i.seq = s.seq AND i.scan = s.scan AND i.ring = s.ring AND i.az = s.az GROUP BY ALL)
+    SELECT seq, line, free, hit, free >= 3 AND free > 2 * hit AS dynamic FROM v"""
+
+
+ORACLE["j20_vote_join"] = _vote_sql("min")
+ORACLE["j21_carve"] = _vote_sql("max")
+ORACLE["a17_surface_depth"] = f"""WITH {_PROJ}, s AS (SELECT rec_id, u, v, z, greatest(1, least(6, ceil(0.5 * {FX}::DOUBLE * 0.05::DOUBLE / z)))::INT AS radius FROM hits WHERE z > 0.5),
+    p AS (SELECT rec_id, u + du AS u, v + dv AS v, z, radius, du, dv FROM s, range(-5, 6) a(du), range(-5, 6) b(dv) WHERE abs(du) < radius AND abs(dv) < radius AND u + du BETWEEN 0 AND {W - 1} AND v + dv BETWEEN 0 AND {H - 1}),
+    k AS (SELECT *, exp(-1.0::DOUBLE * (du * du + dv * dv) / (0.5::DOUBLE * radius * radius)) AS w FROM (SELECT *, min(z) OVER (PARTITION BY rec_id, u, v) AS z0 FROM p) WHERE z <= 1.02::DOUBLE * z0)
+    SELECT rec_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, round(sum(w) / sum(w / z), 5) AS depth, count(*) AS hits FROM k GROUP BY ALL"""
+
