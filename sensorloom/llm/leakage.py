@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import unicodedata
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_SPAN = 0.5  # share of the item's words between the passage's ends
-MIN_DENSITY = 0.82  # share of the passage's words that match
-SEED_SHARE = 0.15  # share of the item's word pairs that a document must hold to be tiled
+MIN_DENSITY = 0.82  # share of the passage's words that match, where it spans up to 70 % of the item
+WHOLE_DENSITY = 0.7  # the same where it spans the whole item; in between in proportion
+SEED_SHARE = 0.22  # share of the item's word pairs that a document must hold to be tiled
 MAX_DOC_GAP = 12  # words of the document between two tiles (added words, line prefixes)
 MAX_ITEM_GAP = 5  # words of the item between two tiles (changed words)
 BLOCK_BYTES = 16 << 20
@@ -161,9 +162,17 @@ class ItemIndex:
                 own = min(near) if near else -1
             doc.append(own)
         best = (0.0, 0.0)
+        left = Counter(item)
+        shared = 0
+        for n in doc:
+            if left.get(n, 0):
+                left[n] -= 1
+                shared += 1
+        if shared < WHOLE_DENSITY * (MIN_SPAN * len(item) - 1):  # too few words for any passage that counts
+            return best
         for first, last, matched in passages(tile(item, doc), len(item)):
             span, density = min(1.0, (last - first + 1) / len(item)), matched / (last - first)  # a changed word at an end is not seen
-            if density >= MIN_DENSITY:
+            if density >= MIN_DENSITY - (MIN_DENSITY - WHOLE_DENSITY) * max(0.0, (span - 0.7) / 0.3):
                 best = max(best, (span, density))
         return best
 
