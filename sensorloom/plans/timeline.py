@@ -109,7 +109,7 @@ def w09_merge_close(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select("seq", (F.col("us") / 1e6).alias("t"))
     first = f.groupBy("seq").agg(F.min("t").alias("t0"))
     m = ordered.merge_close(f.join(first, "seq").select("seq", F.round(F.col("t") - F.col("t0"), 3).alias("rel")), ["seq"], "rel", 0.15)
-    return m.select("seq", "group", "n", F.round("mean", 4).alias("mean"))
+    return m.select("seq", "group", "n", F.round("mean", 7).alias("mean"))
 
 
 def w10_minavg(spark: SparkSession, d: str) -> DataFrame:
@@ -266,7 +266,7 @@ ORACLE = {
         SELECT seq, segment, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM s GROUP BY ALL HAVING count(*) >= 16""",
     "w09_merge_close": f"""WITH {FRAMES}, r AS (SELECT seq, round(us / 1e6 - min(us / 1e6) OVER (PARTITION BY seq), 3) AS rel FROM frames), a AS (SELECT seq, rel, rel - lag(rel) OVER (PARTITION BY seq ORDER BY rel) AS step FROM r),
         g AS (SELECT seq, rel, CAST(sum(coalesce(step >= 0.15::DOUBLE, false)::INT) OVER (PARTITION BY seq ORDER BY rel ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "group" FROM a)
-        SELECT seq, "group", count(*) AS n, round(avg(rel), 4) AS mean FROM g GROUP BY ALL""",
+        SELECT seq, "group", count(*) AS n, round(avg(rel), 7) AS mean FROM g GROUP BY ALL""",
     "w10_minavg": f"""WITH {_BLURRED}, low AS (SELECT seq, name, us, min(rate) OVER (PARTITION BY seq ORDER BY us, name ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS low FROM known),
         p AS ({_padded('low', 'low', 4)}) SELECT seq, name, round(list_avg(vals), 6) AS smooth FROM p""",
     "w11_even_rows": f"""WITH {POSES}, n AS (SELECT seq, line, row_number() OVER (PARTITION BY seq ORDER BY us, line) - 1 AS rn, count(*) OVER (PARTITION BY seq) AS k FROM poses)
