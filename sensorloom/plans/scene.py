@@ -100,7 +100,7 @@ def a36_hist_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 def a40_outliers(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
-    o = sp.outliers(p, ["seq"], 8, 0.25, "line", 2.0, p.where("line % 20 = 0"))
+    o = sp.outliers(p, ["seq"], 8, 0.25, "line", 2.0)
     return o.select("seq", "line", F.round("mean_distance", 5).alias("mean_distance"), "kept")
 
 
