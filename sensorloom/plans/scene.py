@@ -160,42 +160,50 @@ def j17_guard(spark: SparkSession, d: str) -> DataFrame:
     return v.where("split = 'train'").join(near.select("rec_id").distinct(), "rec_id", "left_anti").select("rec_id")
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    pts = _points(spark, d)
+PIXEL = ["seq", "block", "rec_id", "u", "v"]
+
+
+def _cameras(spark: SparkSession, d: str) -> DataFrame:
     looking = F.array(*[F.lit(float(v)) for v in (0, 0, 1, 0, -1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 0, 1)])  # camera in the body: z forward, y down
-    cams = views(spark, d).where("rec_id % 20 = 0").select("seq", "rec_id", geo.compose(F.col("tmat"), looking).alias("tmat"))
-    return pj.seen_from(pts, cams, ["seq"], "rec_id", FX, FY, CX, CY, W, H, 0.1)
+    return views(spark, d).select("seq", "rec_id", geo.compose(F.col("tmat"), looking).alias("tmat"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Points in every camera of their recording, by blocks of cameras: a pixel's hits are in one block."""
+    pts, cams = pj.camera_blocks(_points(spark, d), _cameras(spark, d), ["seq"], "rec_id")
+    return pj.seen_from(pts, cams, ["seq", "block"], "rec_id", FX, FY, CX, CY, W, H, 0.1)
 
 
 def j18_visibility_any(spark: SparkSession, d: str) -> DataFrame:
-    h = _hits(spark, d)
-    z = pj.z_buffer(h, ["seq", "rec_id", "u", "v"]).select("seq", "rec_id", "u", "v", F.col("z").alias("depth"))
-    j = h.join(z, ["seq", "rec_id", "u", "v"])
+    from pyspark.sql.window import Window
+
+    j = _hits(spark, d).select(*PIXEL, "line", "z").withColumn("depth", F.min("z").over(Window.partitionBy(*PIXEL)))
     rules = [F.bool_or(pj.visibility(F.col("z"), F.col("depth"), r)).alias(r) for r in ("surface", "open", "fill")]
     return j.groupBy("seq", "line").agg(*rules)
 
 
 def j19_view_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).groupBy("seq", "line").agg(F.count("*").alias("any_views"), F.count_if(F.col("range") < 5).alias("good_views"))
+    h = pj.seen_from(_points(spark, d), _cameras(spark, d), ["seq"], "rec_id", FX, FY, CX, CY, W, H, 0.1)
+    return h.groupBy("seq", "line").agg(F.count("*").alias("any_views"), F.count_if(F.col("range") < 5).alias("good_views"))
 
 
 def a14_zbuffer(spark: SparkSession, d: str) -> DataFrame:
-    z = pj.z_buffer(_hits(spark, d), ["rec_id", "u", "v"], 2)
+    z = pj.z_buffer(_hits(spark, d), PIXEL, 2)
     return z.select("rec_id", "u", "v", F.round("z", 5).alias("z"), "hits")
 
 
 def a15_nearest_payload(spark: SparkSession, d: str) -> DataFrame:
-    return pj.nearest_payload(_hits(spark, d), ["rec_id", "u", "v"], ["line"], "line")
+    return pj.nearest_payload(_hits(spark, d), PIXEL, ["line"], "line").select("rec_id", "u", "v", "line")
 
 
 def a17_surface_depth(spark: SparkSession, d: str) -> DataFrame:
-    s = pj.surface_depth(pj.splat(_hits(spark, d).where("z > 0.5"), FX, 0.05, W, H), ["rec_id", "u", "v"])
+    s = pj.surface_depth(pj.splat(_hits(spark, d).where("z > 0.5"), FX, 0.05, W, H), PIXEL)
     return s.select("rec_id", "u", "v", F.round("depth", 5).alias("depth"), "hits")
 
 
 def f17_support(spark: SparkSession, d: str) -> DataFrame:
-    s = pj.surface_depth(pj.splat(_hits(spark, d).where("z > 0.5"), FX, 0.05, W, H), ["rec_id", "u", "v"])
-    return pj.supported(s, ["rec_id"]).groupBy("rec_id").agg(F.count("*").alias("pixels"))
+    s = pj.surface_depth(pj.splat(_hits(spark, d).where("z > 0.5"), FX, 0.05, W, H), PIXEL)
+    return pj.supported(s, PIXEL[:3]).groupBy("rec_id").agg(F.count("*").alias("pixels"))
 
 
 def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -27,3 +27,41 @@ def test_a40_judges_every_point(spark, tmp_path):
     got = {(x.seq, x.line): (round(x.mean_distance, 4), x.kept) for x in scene.a40_outliers(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-4 for k in want)
     assert not got["a", 73][1] and not got["b", 33][1]
+
+
+def view_table(spark, path, rows):
+    full = [(i, s, "train", f"{i}.png", [1.0, 0.0, 0.0, x, 0.0, 1.0, 0.0, y, 0.0, 0.0, 1.0, z, 0.0, 0.0, 0.0, 1.0]) for i, s, x, y, z in rows]
+    spark.createDataFrame(full, "rec_id bigint, seq string, split string, rgb_name string, tmat array<double>").write.parquet(f"{path}/split_frames.parquet")
+
+
+def test_hits_are_of_all_cameras(spark, tmp_path):
+    rnd = random.Random(5)
+    pts = [(s, i, rnd.uniform(1, 6), rnd.uniform(-2, 2), rnd.uniform(-1, 1)) for s in "ab" for i in range(40)] + [("a", 40, 1.3, 0.0, 0.0), ("a", 41, 2.6, 0.0, 0.0)]
+    cams = [(i, "a" if i < 150 else "b", rnd.uniform(-1, 1), rnd.uniform(-1, 1), 0.0) for i in range(1, 160)] + [(161, "a", 0.0, 0.0, 0.0)]  # "a" has two blocks, "b" no multiple of 20
+    pose_table(spark, tmp_path, pts)
+    view_table(spark, tmp_path, cams)
+    pixels, seen = {}, {}
+    for c, cs, cx, cy, cz in cams:
+        for s, i, x, y, z in pts:
+            q = (cy - y, cz - z, x - cx)  # right, down, forward
+            u, v = (math.floor(300 * q[k] / q[2] + m) if q[2] > 0.1 else -1 for k, m in ((0, 160), (1, 120)))
+            if s == cs and q[2] > 0.1 and 0 <= u < 320 and 0 <= v < 240:
+                pixels.setdefault((c, u, v), []).append((q[2], i, s))
+                n = seen.setdefault((s, i), [0, 0])
+                n[0] += 1
+                n[1] += math.hypot(*q) < 5
+    d = str(tmp_path)
+    assert {(x.seq, x.line): [x.any_views, x.good_views] for x in scene.j19_view_counts(spark, d).collect()} == seen
+    assert {(x.rec_id, x.u, x.v): x.line for x in scene.a15_nearest_payload(spark, d).collect()} == {k: min(h)[1] for k, h in pixels.items()}
+    many = {k: (round(min(h)[0], 4), len(h)) for k, h in pixels.items() if len(h) > 1}
+    assert many and {(x.rec_id, x.u, x.v): (round(x.z, 4), x.hits) for x in scene.a14_zbuffer(spark, d).collect()} == many
+    rules = {}
+    for h in pixels.values():
+        near = min(h)[0]
+        for z, i, s in h:
+            r = rules.setdefault((s, i), [False] * 3)
+            for k, yes in enumerate((abs(z - near) < 0.05 * near, z <= near * 1.05, z < near * 1.05 or z < near + 0.15)):
+                r[k] |= yes
+    assert {(x.seq, x.line): [x.surface, x.open, x.fill] for x in scene.j18_visibility_any(spark, d).collect()} == rules
+    deep = {x.rec_id for x in scene.a17_surface_depth(spark, d).collect()}
+    assert deep == {k[0] for k, h in pixels.items() if max(h)[0] > 0.5} and {x.rec_id for x in scene.f17_support(spark, d).collect()} <= deep
