@@ -67,7 +67,7 @@ def plane_of(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def floor_plane(
-    points: DataFrame, cameras: DataFrame, by: list[str], row_id: str, tolerance: float = 0.03, trials: int = 256, peels: int = 10, above: float = 0.95,
+    points: DataFrame, cameras: DataFrame, by: list[str], row_id: str, tolerance: float = 0.03, trials: int = 2000, peels: int = 10, above: float = 0.95,
     heights: tuple[float, float] = (0.05, 2.0), max_spread: float = 0.30, min_share: float = 0.02, min_points: int = 1000, seed: int = 0,
 ) -> DataFrame:
     """(by, nx, ny, nz, d, inliers): the largest plane that the cameras ride above; no row where there is none.
@@ -76,18 +76,20 @@ def floor_plane(
     through three points drawn by hashed ids, then refitted to its inliers from moments three
     times. A plane, turned so that the median camera is above, counts if at least `above` of the
     cameras are above it, their median height is within `heights` and the quartiles are at most
-    max_spread apart. The drawn triples are a fixed number a group; each point meets only its
-    group's, and inliers are counted map-side.
+    max_spread apart. The drawn triples are a fixed number a group; points meet their group's in
+    chunks of about 4096, and counts of chunks are summed. Small groups draw points repeatedly,
+    so that they have as many triples as large ones.
     """
     rest = cut_lineage(points.select(*by, F.col(row_id).alias("_i"), *AXES))
     total = rest.groupBy(*by).agg(F.count("*").alias("_total"))
     found = None
 
     def solve_triples(side: DataFrame, round_: int) -> DataFrame:
-        # Three picks a trial: the row with the smallest hash of (id, trial, k); trials are spread over hash buckets.
+        # Three picks a trial: the row with the smallest hash of its slot; rows fall into so many slots that each has about eight or more.
         slots = 3 * trials
-        h = side.withColumn("_slot", F.pmod(F.xxhash64("_i", F.lit(seed), F.lit(round_)), F.lit(slots)))
-        pick = h.groupBy(*by, "_slot").agg(F.min_by(F.struct(*AXES), F.xxhash64("_i", F.lit(seed + 1), F.lit(round_))).alias("_p"))
+        h = side.withColumn("_r", F.explode(F.sequence(F.lit(1), F.ceil(8 * slots / F.col("_size")).cast("int"))))
+        h = h.withColumn("_slot", F.pmod(F.xxhash64("_i", "_r", F.lit(seed), F.lit(round_)), F.lit(slots)))
+        pick = h.groupBy(*by, "_slot").agg(F.min_by(F.struct(*AXES), F.xxhash64("_i", "_r", F.lit(seed + 1), F.lit(round_))).alias("_p"))
         tri = pick.groupBy(*by, F.floor(F.col("_slot") / 3).alias("_trial")).agg(F.collect_list("_p").alias("_t")).where(F.size("_t") == 3)
         a, b, c = (F.col("_t")[i] for i in range(3))
         e, f = [b[k] - a[k] for k in AXES], [c[k] - a[k] for k in AXES]
@@ -99,15 +101,29 @@ def floor_plane(
     def off(n: Column, d: Column) -> Column:
         return F.abs(n[0] * F.col("x") + n[1] * F.col("y") + n[2] * F.col("z") + d)
 
+    @F.pandas_udf("array<bigint>")
+    def inliers_of(xs: pd.Series, ys: pd.Series, zs: pd.Series, flat: pd.Series) -> pd.Series:
+        out = []
+        for x, y, z, f in zip(xs, ys, zs, flat):
+            q = np.asarray(f, float).reshape(-1, 4)
+            p = np.column_stack([x, y, z, np.ones(len(x))])
+            out.append(sum((np.abs(p[i : i + 512] @ q.T) <= tolerance).sum(0) for i in range(0, len(p), 512)))
+        return pd.Series(out)
+
     for k in range(peels):
-        big = rest.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points)
-        rest = rest.join(big.select(*by), by, "left_semi")
-        if rest.isEmpty():
+        big = rest.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") >= min_points)
+        sized = rest.join(big, by)
+        if sized.isEmpty():
             break
-        tri = solve_triples(rest, k).groupBy(*by).agg(F.collect_list(F.struct(F.col("_trial").alias("trial"), F.col("_n").alias("n"), F.col("_d").alias("d"))).alias("_planes"))  # `trials` small structs
-        near = rest.join(tri, by).select(*by, F.explode(F.filter("_planes", lambda p: off(p["n"], p["d"]) <= tolerance)).alias("_p"))
-        best = near.groupBy(*by, F.col("_p.trial").alias("_trial")).agg(F.count("*").alias("_c"), F.first("_p").alias("_p"))
-        best = best.groupBy(*by).agg(F.max_by(F.struct("_p.n", "_p.d"), F.struct("_c", -F.col("_trial"))).alias("_b"))
+        tri = solve_triples(sized, k).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_trial").alias("trial"), F.col("_n").alias("n"), F.col("_d").alias("d")))).alias("_planes"))  # `trials` small structs
+        tri = cut_lineage(tri)
+        rest = sized.drop("_size")
+        chunk = F.pmod(F.xxhash64("_i"), F.ceil(F.col("_size") / 4096))
+        parts = sized.where("x is not null and y is not null and z is not null").groupBy(*by, chunk.alias("_chunk")).agg(*[F.collect_list(c).alias(f"_{c}s") for c in AXES])
+        flat = F.flatten(F.transform("_planes", lambda p: F.concat(p["n"], F.array(p["d"]))))
+        near = parts.join(tri, by).select(*by, F.posexplode(inliers_of("_xs", "_ys", "_zs", flat)).alias("_at", "_c"))
+        best = near.groupBy(*by, "_at").agg(F.sum("_c").alias("_c")).groupBy(*by).agg(F.max_by("_at", F.struct("_c", -F.col("_at"))).alias("_at"))
+        best = best.join(tri, by).select(*by, F.col("_planes")[F.col("_at")].alias("_b"))
         plane = cut_lineage(best.select(*by, F.col("_b.n").alias("_n"), F.col("_b.d").alias("_d")))
         for _ in range(3):
             fit = plane_of(rest.join(plane, by).where(off(F.col("_n"), F.col("_d")) <= tolerance).select(*by, *AXES), by)

@@ -106,7 +106,7 @@ def a43_plane(spark: SparkSession, d: str) -> DataFrame:
     g = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
     ground = g.select("seq", (F.col("line") * 4 + F.col("k")).alias("pid"), (F.col("x") + F.col("k") * 0.7 - 1).alias("x"), (F.col("y") + (F.col("line") % 5) * 0.4 - 1).alias("y"), F.lit(-0.5).alias("z"))
     cams = p.select("seq", "x", "y", "z")
-    f = fitting.floor_plane(ground, cams, ["seq"], "pid", trials=64, peels=2, min_points=500, heights=(0.05, 5.0), max_spread=3.0)
+    f = fitting.floor_plane(ground, cams, ["seq"], "pid", min_points=500, heights=(0.05, 5.0), max_spread=3.0)
     return f.select("seq", F.round("nz", 6).alias("nz"), F.round("d", 6).alias("d"), "inliers")
 
 
@@ -137,7 +137,7 @@ def i08_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
 
 def a48_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_id is not null")
-    b = rel.bootstrap_interval(e, ["event_type"], "event_id", "value", 200)
+    b = rel.bootstrap_interval(e, ["event_type"], "event_id", "value")
     return b.select("event_type", F.round("mean", 4).alias("mean"), (F.col("low") <= F.col("high")).alias("ordered"))
 
 

@@ -4,7 +4,9 @@ import math
 import random
 from statistics import mean, pstdev
 
-from sensorloom.plans import scene
+from sensorloom.operators import fitting
+from sensorloom.operators import relational as rel
+from sensorloom.plans import formats, scene
 
 
 def pose_table(spark, path, rows):
@@ -65,3 +67,25 @@ def test_hits_are_of_all_cameras(spark, tmp_path):
     assert {(x.seq, x.line): [x.surface, x.open, x.fill] for x in scene.j18_visibility_any(spark, d).collect()} == rules
     deep = {x.rec_id for x in scene.a17_surface_depth(spark, d).collect()}
     assert deep == {k[0] for k, h in pixels.items() if max(h)[0] > 0.5} and {x.rec_id for x in scene.f17_support(spark, d).collect()} <= deep
+
+
+def test_small_floor_share_is_found(spark):
+    rnd = random.Random(6)
+    floor = [("r", i, rnd.uniform(-4, 4), rnd.uniform(-4, 4), rnd.gauss(-1, 0.005)) for i in range(150)]
+    clutter = [("r", 150 + i, rnd.uniform(-4, 4), rnd.uniform(-4, 4), rnd.uniform(-1, 4)) for i in range(1350)]  # the floor is a tenth
+    pts = spark.createDataFrame(floor + clutter, "s string, i int, x double, y double, z double")
+    cams = spark.createDataFrame([("r", rnd.uniform(-2, 2), rnd.uniform(-2, 2), 0.3) for _ in range(50)], "s string, x double, y double, z double")
+    p = fitting.floor_plane(pts, cams, ["s"], "i", peels=1).collect()
+    assert len(p) == 1 and p[0].nz > 0.999 and abs(p[0].d - 1) < 0.02
+
+
+def test_a48_draws_500_resamples(spark, sf_dir, monkeypatch):
+    whole, drawn = rel.bootstrap_interval, []
+
+    def spy(df, by, order, value, resamples=500, **kw):
+        drawn.append(resamples)
+        return whole(df, by, order, value, resamples, **kw)
+
+    monkeypatch.setattr(rel, "bootstrap_interval", spy)
+    formats.a48_bootstrap(spark, sf_dir)
+    assert drawn == [500]
