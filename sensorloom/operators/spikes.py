@@ -2,11 +2,11 @@
 
 Per source and channel the residual of a reading is how far it stands out from the
 readings on both sides of it (of its run of up to five), over the elapsed time, divided
-by the source's usual change per second; what the signal does from season to season
-(gait, turns, slow drift) is common to both sides and drops out. Residuals over a
-threshold follow a generalised Pareto tail whose fit per source and channel sets the
-cutoff at a fixed risk. Readings beyond it are checked against the stated factor. Stuck
-runs and physical limits are rules beside it.
+by the source's usual change per second. These signals have no known period, so the
+season is taken locally: what a reading shares with both its sides (gait, turns, slow
+drift) drops out. Residuals over a threshold follow a generalised Pareto tail whose fit
+per source and channel sets the cutoff at a fixed risk. Stuck runs and physical limits
+are rules beside it.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sensorloom.operators.regular_grid import present
 from sensorloom.session import cut_lineage
@@ -26,6 +26,10 @@ CHUNK_LINES = 8192
 HALO_LINES = 256
 LONGEST_RUN = 5
 SHORTEST_STUCK = 8
+NEEDED_HALO = 8  # valid readings that a run at a chunk's edge can reach beyond it
+BINS_PER_OCTAVE = 512
+OVER = 3.0
+RISK = 1e-6
 FACTOR = 10.0
 # Limits of working sensors and rigid bodies.
 MAX_OMEGA = 35.0  # rad/s, a 2000 degree/s gyroscope
@@ -54,7 +58,7 @@ def _stand_out(t: np.ndarray, apart: Callable[[np.ndarray, np.ndarray], np.ndarr
             rate = np.minimum(np.abs(a) / enter, np.abs(b) / leave)
             least = np.minimum(least, np.where(same_side(i + j, before, after, a, b), rate, 0.0))
         for j in range(1, k + 1):
-            np.maximum.at(best, i + j, least)
+            np.maximum(best[j : j + len(i)], least, out=best[j : j + len(i)])
     return best
 
 
@@ -80,107 +84,184 @@ def _angles(r: np.ndarray):
     return apart, lambda i, p, q, a, b: apart(p, q) < np.maximum(a, b)  # turned away and back
 
 
-def _measure(track: str, g: pd.DataFrame, chunk_lines: int) -> pd.DataFrame:
-    """Residual rates, changes per second and rule flags of one chunk of one source, halo rows dropped."""
-    g = g.sort_values("line", kind="stable").drop_duplicates("line")
-    t = g["t"].to_numpy(float)
-    x = np.stack(g["values"].to_numpy()).astype(float)
+def _channels(track: str, x: np.ndarray) -> list:
+    if track == "imu":
+        return [_signed(x[:, c]) for c in range(6)]
+    m = x.reshape(-1, 3, 4)
+    return [*(_signed(m[:, c, 3]) for c in range(3)), _angles(np.ascontiguousarray(m[:, :, :3]))]
+
+
+def _rules(track: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stuck, impossible) of each reading."""
+    if track == "imu":
+        stuck = np.zeros(len(x), bool)
+        for c in range(6):
+            stuck |= _stuck(x[1:, c] == x[:-1, c])
+        return stuck, (np.linalg.norm(x[:, :3], axis=1) > MAX_OMEGA) | (np.linalg.norm(x[:, 3:], axis=1) > MAX_ACCEL)
+    m = x.reshape(-1, 3, 4)
+    r, p = m[:, :, :3], m[:, :, 3]
+    skew = np.abs(np.einsum("nij,nkj->nik", r, r) - np.eye(3)).max(axis=(1, 2))
+    bad = ~(skew <= MAX_SKEW) | (np.linalg.det(r) < 0) | ~(np.abs(p).max(axis=1) <= MAX_POSITION)
+    return _stuck((x[1:] == x[:-1]).all(axis=1)), bad
+
+
+def _measure(track: str, g: pa.Table, chunk_lines: int) -> pa.Table:
+    """Residual rates and rule flags of one chunk of one source, its counts of changes, and how many halo readings it had."""
+    line = g["line"].to_numpy()
+    line, first = np.unique(line, return_index=True)
+    t = g["t"].to_numpy()[first]
+    width = 6 if track == "imu" else 12
+    x = np.stack([g[f"v{c}"].to_numpy()[first] for c in range(width)], axis=1)
+    source, chunk = g["source"][0].as_py(), g["chunk"][0].as_py()
+    core = (line // chunk_lines) == chunk
+    names = _channel_names(track)
+    empty = pa.table({"source": pa.array([], pa.string())})
+    if not core.any():
+        return _as_output(empty, names)
     with np.errstate(all="ignore"):
+        channels = _channels(track, x)
+        stuck, bad = _rules(track, x)
         dt = np.maximum(np.diff(t), 1e-6)
-        if track == "imu":
-            channels = [_signed(x[:, c]) for c in range(6)]
-            stuck = np.zeros(len(t), bool)
-            for c in range(6):
-                stuck |= _stuck(x[1:, c] == x[:-1, c])
-            bad = (np.linalg.norm(x[:, :3], axis=1) > MAX_OMEGA) | (np.linalg.norm(x[:, 3:], axis=1) > MAX_ACCEL)
-        else:
-            m = x.reshape(-1, 3, 4)
-            r, p = m[:, :, :3], m[:, :, 3]
-            channels = [*(_signed(p[:, c]) for c in range(3)), _angles(r)]
-            stuck = _stuck((x[1:] == x[:-1]).all(axis=1))
-            skew = np.abs(np.einsum("nij,nkj->nik", r, r) - np.eye(3)).max(axis=(1, 2))
-            bad = ~(skew <= MAX_SKEW) | (np.linalg.det(r) < 0) | ~(np.abs(p).max(axis=1) <= MAX_POSITION)
         n = np.arange(len(t))
-        rates = np.stack([_stand_out(t, a, s) for a, s in channels], axis=1)
-        change = np.full((len(t), len(channels)), np.nan)
-        for c, (a, _) in enumerate(channels):
-            change[1:, c] = np.abs(a(n[1:], n[:-1])) / dt
-    core = (g["line"].to_numpy() // chunk_lines) == g["chunk"].to_numpy()
-    return pd.DataFrame(
+        readings = {"source": pa.array([source] * int(core.sum()), pa.string()), "chunk": np.full(int(core.sum()), chunk), "line": line[core], "stuck": stuck[core], "impossible": bad[core]}
+        counts: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for c, (apart, same_side) in enumerate(channels):
+            readings[f"r{c}"] = _stand_out(t, apart, same_side)[core]
+            change = (np.abs(apart(n[1:], n[:-1])) / dt)[core[1:]]
+            change = change[(change > 0) & np.isfinite(change)]
+            counts.append((c, *np.unique(np.floor(np.log2(change) * BINS_PER_OCTAVE).astype(np.int64), return_counts=True)))
+    before, after = int((line < chunk * chunk_lines).sum()), int((line >= (chunk + 1) * chunk_lines).sum())
+    rows = sum(len(b) for _, b, _ in counts)
+    tally = pa.table(
         {
-            "source": g["source"].to_numpy()[core], "line": g["line"].to_numpy()[core],
-            "rates": pd.Series(list(rates[core].astype(np.float32)), dtype=object), "changes": pd.Series(list(change[core].astype(np.float32)), dtype=object),
-            "stuck": stuck[core], "impossible": bad[core],
+            "source": pa.array([source] * (rows + 2), pa.string()),
+            "chunk": np.full(rows + 2, chunk),
+            "channel": np.concatenate([*(np.full(len(b), c) for c, b, _ in counts), [-1, -2]]),
+            "bin": np.concatenate([*(b for _, b, _ in counts), [0, 0]]),
+            "n": np.concatenate([*(k for _, _, k in counts), [before, after]]),
         }
-    )
+    )
+    return pa.concat_tables([_as_output(pa.table(readings), names), _as_output(tally, names)])
+
+
+def _channel_names(track: str) -> tuple[str, ...]:
+    return IMU_CHANNELS if track == "imu" else POSE_CHANNELS
+
+
+def _as_output(t: pa.Table, channels: tuple[str, ...]) -> pa.Table:
+    kinds = {"source": pa.string(), "chunk": pa.int64(), "line": pa.int64(), **{f"r{c}": pa.float32() for c in range(len(channels))}, "stuck": pa.bool_(), "impossible": pa.bool_(), "channel": pa.int32(), "bin": pa.int64(), "n": pa.int64()}
+    return pa.table({k: t[k].cast(v) if k in t.column_names else pa.nulls(len(t), v) for k, v in kinds.items()})
 
 
 def measure_readings(readings: DataFrame, track: str, chunk_lines: int = CHUNK_LINES, halo_lines: int = HALO_LINES) -> DataFrame:
-    """(source, line, rates, changes, stuck, impossible) of each valid reading (source, line, t, values).
+    """Rows of two kinds, written out: readings (source, chunk, line, r0.., stuck, impossible) with one residual
+    rate a channel, and tallies (source, chunk, channel, bin, n) with line null: how many changes per second
+    fall into each of 512 bins an octave.
 
     A source is worked through in chunks of chunk_lines lines, each with halo_lines more on
     both sides, so a source with a third of all rows is spread over many tasks of bounded
-    size. A run is seen whole where at least eight of the halo's readings are valid.
+    size. Eight valid readings on either side make a chunk's result exact; chunks that found
+    fewer, though the track goes on, are measured again with eight times the halo until none
+    is left.
     """
-    out = "source string, line bigint, rates array<float>, changes array<float>, stuck boolean, impossible boolean"
+    channels = _channel_names(track)
+    rates = ", ".join(f"r{c} float" for c in range(len(channels)))
+    out = f"source string, chunk bigint, line bigint, {rates}, stuck boolean, impossible boolean, channel int, bin bigint, n bigint"
     line = F.col("line")
-    chunks = F.array_distinct(F.array(*[F.floor((line + h) / chunk_lines) for h in (0, -halo_lines, halo_lines)]))
-    spread = readings.select("source", "line", "t", "values", F.explode(chunks).alias("chunk"))
-    return spread.groupBy("source", "chunk").applyInPandas(lambda g: _measure(track, g, chunk_lines), out)
-
-
-def usual_changes(measured: DataFrame, channels: tuple[str, ...]) -> DataFrame:
-    """(source, usual): per channel the median change per second from one reading to the next, zero changes left out."""
-    medians = []
-    for c in range(len(channels)):
-        v = F.col("changes")[c]
-        medians.append(F.percentile_approx(F.when((v > 0) & ~F.isnan(v) & (v < float("inf")), v.cast("double")), 0.5, 10_000))
-    return measured.groupBy("source").agg(F.array(*medians).alias("usual"))
+    width = 6 if track == "imu" else 12
+    flat = readings.select("source", "line", "t", *[F.col("values")[c].alias(f"v{c}") for c in range(width)])
+
+    def measure(halo: int, only: DataFrame | None) -> DataFrame:
+        chunks = F.sequence(F.floor((line - halo) / chunk_lines), F.floor((line + halo) / chunk_lines))
+        spread = flat.withColumn("chunk", F.explode(chunks))
+        if only is not None:
+            spread = spread.join(only, ["source", "chunk"], "left_semi")
+        return cut_lineage(spread.groupBy("source", "chunk").applyInArrow(lambda g: _measure(track, g, chunk_lines), out))
+
+    measured, halo = measure(halo_lines, None), halo_lines
+    latest = measured
+    while True:
+        ends = measured.where("line is not null").groupBy("source").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+        short = latest.where((F.col("channel") < 0) & (F.col("n") < NEEDED_HALO)).join(ends, "source")
+        short = short.where(
+            ((F.col("channel") == -1) & (F.col("lo") < F.col("chunk") * chunk_lines - halo)) | ((F.col("channel") == -2) & (F.col("hi") >= (F.col("chunk") + 1) * chunk_lines + halo))
+        )
+        short = short.select("source", "chunk").distinct()
+        if short.isEmpty():
+            return measured
+        halo *= 8
+        latest = measure(halo, short)
+        measured = cut_lineage(measured.join(short, ["source", "chunk"], "left_anti").select(measured.columns).unionByName(latest))
+
+
+def usual_changes(measured: DataFrame) -> DataFrame:
+    """(source, channel, usual): the median change per second from one reading to the next, zero changes left out.
+
+    Taken from the tallies: the middle of the bin that holds the median, within 0.07 % of it.
+    """
+    t = measured.where(F.col("line").isNull() & (F.col("channel") >= 0)).groupBy("source", "channel", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("source", "channel")  # bins of a channel, not readings
+    run = t.select("*", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("all"))
+    median = run.where((2 * F.col("upto") >= F.col("all")) & (2 * (F.col("upto") - F.col("n")) < F.col("all")))
+    return median.select("source", "channel", F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS_PER_OCTAVE).alias("usual"))
 
 
-def tail_cutoffs(measured: DataFrame, usual: DataFrame, channels: tuple[str, ...], over: float = 3.0, risk: float = 1e-6, factor: float = FACTOR) -> DataFrame:
-    """(source, channel, usual, readings, peaks, shape, scale, cutoff): generalised Pareto tails of the residuals.
+def tail_cutoffs(measured: DataFrame, usual: DataFrame, channels: tuple[str, ...], over: float = OVER, risk: float = RISK, factor: float | None = None) -> DataFrame:
+    """(source, c, channel, usual, readings, peaks, shape, scale, cutoff): generalised Pareto tails of the residuals.
 
-    Peaks are residuals over `over` usual changes; beyond `factor` they are certain cases and
-    stay out of the fit. Shape and scale by moments; the cutoff is the residual exceeded with
-    probability `risk`, at least `over` and at most `factor`, and `factor` with under ten peaks.
+    Peaks are residuals over `over` usual changes. Those beyond `certain` (ten) are no normal
+    readings and stay out of the fit. Shape and scale by moments; the cutoff is the residual
+    that a normal reading exceeds with probability `risk`, at least `over`; with under ten
+    peaks it is ten. factor: an upper bound of the cutoff, where a stated factor decides.
     """
-    rows = measured.join(usual, "source").select(
-        "source", F.posexplode(F.arrays_zip("rates", "usual")).alias("c", "z")
-    ).select("source", "c", F.col("z.usual").alias("usual"), (F.col("z.rates") / F.col("z.usual")).alias("res"))
-    peak = (F.col("res") > over) & (F.col("res") < factor)
-    y = F.when(peak, F.col("res") - over)
-    g = rows.groupBy("source", "c").agg(
-        F.first("usual").alias("usual"), F.count("*").alias("readings"), F.count_if(peak).alias("peaks"), F.avg(y).alias("m"), F.var_samp(y).alias("v")
-    )
+    per = usual.groupBy("source").agg(*[F.max(F.when(F.col("channel") == c, F.col("usual"))).alias(f"u{c}") for c in range(len(channels))])
+    j = measured.where("line is not null").join(per, "source")
+    aggs = []
+    for c in range(len(channels)):
+        res = F.col(f"r{c}").cast("double") / F.col(f"u{c}")
+        y = F.when((res > over) & (res < FACTOR), res - over)
+        aggs += [F.max(f"u{c}").alias(f"u{c}"), F.count(y).alias(f"k{c}"), F.avg(y).alias(f"m{c}"), F.var_samp(y).alias(f"v{c}")]
+    g = j.groupBy("source").agg(F.count("*").alias("readings"), *aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("channel"), F.col(f"u{c}").alias("usual"), F.col(f"k{c}").alias("peaks"), F.col(f"m{c}").alias("m"), F.col(f"v{c}").alias("v")) for c, n in enumerate(channels)])
+    g = g.select("source", "readings", F.explode(rows).alias("z")).select("source", "readings", "z.*").where("usual is not null")
     ratio = F.col("m") * F.col("m") / F.col("v")
-    g = g.withColumn("shape", F.when(F.col("peaks") >= 10, 0.5 * (1 - ratio))).withColumn("scale", F.when(F.col("peaks") >= 10, 0.5 * F.col("m") * (ratio + 1)))
-    s = F.pow(F.lit(risk) * F.col("readings") / F.col("peaks"), -F.col("shape"))
-    z = F.lit(over) + F.when(F.abs("shape") > 1e-9, F.col("scale") / F.col("shape") * (s - 1)).otherwise(-F.col("scale") * F.log(F.lit(risk) * F.col("readings") / F.col("peaks")))
-    cutoff = F.coalesce(F.least(F.greatest(z, F.lit(over)), F.lit(factor)), F.lit(factor))
-    names = F.array(*[F.lit(c) for c in channels])
-    return g.select("source", F.element_at(names, F.col("c") + 1).alias("channel"), "c", "usual", "readings", "peaks", "shape", "scale", cutoff.alias("cutoff"))
+    fitted = (F.col("peaks") >= 10) & (F.col("v") > 0)
+    g = g.withColumn("shape", F.when(fitted, 0.5 * (1 - ratio))).withColumn("scale", F.when(fitted, 0.5 * F.col("m") * (ratio + 1)))
+    rate = F.lit(risk) * F.col("readings") / F.col("peaks")
+    z = F.lit(over) + F.when(F.abs("shape") > 1e-9, F.col("scale") / F.col("shape") * (F.pow(rate, -F.col("shape")) - 1)).otherwise(-F.col("scale") * F.log(rate))
+    cutoff = F.coalesce(F.greatest(z, F.lit(over)), F.lit(FACTOR))
+    if factor is not None:
+        cutoff = F.least(cutoff, F.lit(float(factor)))
+    return g.select("source", "c", "channel", "usual", "readings", "peaks", "shape", "scale", cutoff.alias("cutoff"))
 
 
-def flag_readings(readings: DataFrame, track: str, factor: float = FACTOR, chunk_lines: int = CHUNK_LINES, halo_lines: int = HALO_LINES) -> tuple[DataFrame, DataFrame]:
-    """(flags, cutoffs): flags has (source, line, spike, stuck, impossible) of the readings with any of them.
+def flag_readings(
+    readings: DataFrame, track: str, factor: float | None = None, risk: float = RISK, chunk_lines: int = CHUNK_LINES, halo_lines: int = HALO_LINES
+) -> tuple[DataFrame, DataFrame]:
+    """(flags, cutoffs): flags has (source, line, spike, severity, stuck, impossible) of the readings with any of them.
 
     readings has source, line, t and values with all present (imu_values, pose_values). Re-delivered
     lines count once; sources without two readings, or without any change, have no spikes; empty
-    tables give none. Every residual beyond its source's tail cutoff is a candidate; a candidate
-    is a spike if it exceeds `factor` usual changes, which no cutoff is above.
+    tables give none. A reading is a spike if its residual in some channel is beyond the tail
+    cutoff of its source; severity is the largest residual, in cutoffs.
+
+    factor: judge by a stated number of usual changes instead. Then the cutoff, held to at most
+    `factor`, only chooses candidates, and those over `factor` are spikes: the fit decides how
+    many readings are checked, the factor which are flagged.
     """
-    channels = IMU_CHANNELS if track == "imu" else POSE_CHANNELS
-    measured = cut_lineage(measure_readings(readings, track, chunk_lines, halo_lines))
-    usual = usual_changes(measured, channels)
-    cutoffs = tail_cutoffs(measured, usual, channels, factor=factor)
-    per_source = cutoffs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("c", "usual", "cutoff"))).alias("tails"))
-    res = F.transform(F.arrays_zip("rates", "tails"), lambda z: F.struct((z["rates"] / z["tails"]["usual"]).alias("res"), z["tails"]["cutoff"].alias("cutoff")))
-    candidate = F.exists(res, lambda z: F.coalesce(z["res"] > z["cutoff"], F.lit(False)))
-    beyond = F.exists(res, lambda z: F.coalesce(z["res"] > factor, F.lit(False)))
-    flags = measured.join(per_source, "source", "left").select(
-        "source", "line", F.coalesce(candidate & beyond, F.lit(False)).alias("spike"), "stuck", "impossible"
-    )
+    channels = _channel_names(track)
+    measured = measure_readings(readings, track, chunk_lines, halo_lines)
+    cutoffs = tail_cutoffs(measured, usual_changes(measured), channels, risk=risk, factor=factor)
+    per = cutoffs.groupBy("source").agg(
+        *[F.max(F.when(F.col("c") == c, F.col(v))).alias(f"{n}{c}") for c in range(len(channels)) for n, v in (("u", "usual"), ("q", "cutoff"))]
+    )
+    beyond = [F.coalesce(F.col(f"r{c}") / F.col(f"u{c}") / F.col(f"q{c}"), F.lit(0.0)) for c in range(len(channels))]
+    j = measured.where("line is not null").join(per, "source", "left").withColumn("severity", F.greatest(*beyond))
+    candidates = j.where((F.col("severity") > 1) | F.col("stuck") | F.col("impossible"))
+    spike = F.col("severity") > 1
+    if factor is not None:
+        spike = spike & F.coalesce(F.greatest(*[F.col(f"r{c}") / F.col(f"u{c}") for c in range(len(channels))]) > factor, F.lit(False))
+    flags = candidates.select("source", "line", spike.alias("spike"), "severity", "stuck", "impossible")
     return flags.where("spike or stuck or impossible"), cutoffs
 
 

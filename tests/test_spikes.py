@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from sensorloom.operators import spikes
 
@@ -54,7 +55,7 @@ def test_spikes_match_plain_loops_over_chunk_edges(spark):
     rows = [("a", i, t[i], (x[i], *noise(rnd)[:2]), (0.0 + rnd.gauss(0, 0.1), rnd.gauss(0, 0.1), 9.8 + rnd.gauss(0, 0.1))) for i in range(600)]
     rows += rows[::7]
     rnd.shuffle(rows)
-    flags, cutoffs = spikes.flag_readings(spikes.imu_values(as_imu(spark, rows)), "imu", chunk_lines=100, halo_lines=20)
+    flags, cutoffs = spikes.flag_readings(spikes.imu_values(as_imu(spark, rows)), "imu", 10.0, chunk_lines=100, halo_lines=20)
     got = {r.line for r in flags.where("spike").collect()}
     assert naive_runs(t, x) <= got
     others = got - naive_runs(t, x)
@@ -119,3 +120,39 @@ def test_empty_and_short(spark):
 def test_runs_helper():
     same = pd.Series([True] * 7 + [False] + [True] * 6).to_numpy()
     assert spikes._stuck(same).tolist() == [True] * 8 + [False] * 7
+
+
+def test_the_risk_decides_without_a_factor(spark):
+    rnd = random.Random(11)
+    rows, t = [], 0.0
+    for i in range(4000):
+        t += 0.01
+        rows.append(("a", i, t, (rnd.gauss(0, 1) * rnd.choice([0.03, 0.03, 0.12]), rnd.gauss(0, 0.05), rnd.gauss(0, 0.05)), noise(rnd)))
+    values = spikes.imu_values(as_imu(spark, rows))
+    got = {}
+    for risk in (1e-1, 1e-3, 1e-6):
+        flags, cutoffs = spikes.flag_readings(values, "imu", risk=risk)
+        got[risk] = {r.line for r in flags.where("spike").collect()}
+        assert cutoffs.where("channel = 'omega_x' and peaks >= 10").count() == 1
+    assert got[1e-6] < got[1e-3] < got[1e-1]
+    low, _ = spikes.flag_readings(values, "imu", 10.0, risk=1e-1)
+    high, _ = spikes.flag_readings(values, "imu", 10.0, risk=1e-6)
+    assert sorted(low.select("line").collect()) == sorted(high.select("line").collect())  # a stated factor holds whatever the fit
+
+
+@pytest.mark.parametrize("halo", [1, 20])
+def test_runs_over_chunk_edges_behind_missing_readings(spark, halo):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(600):
+        if i in range(196, 200) or i in range(204, 296) or i % 3 == 0 and i > 400:
+            continue  # lines without a valid reading
+        o = [rnd.gauss(0, 0.05) for _ in range(3)]
+        if 190 <= i < 300:
+            o[0] = 0.25  # one run over two chunk edges
+        rows.append(("a", i, i * 0.01, tuple(o), noise(rnd)))
+    want = {r[1] for r in rows if 190 <= r[1] < 300}
+    flags, _ = spikes.flag_readings(spikes.imu_values(as_imu(spark, rows)), "imu", chunk_lines=100, halo_lines=halo)
+    assert {r.line for r in flags.where("stuck").collect()} == want
+    whole, _ = spikes.flag_readings(spikes.imu_values(as_imu(spark, rows)), "imu")
+    assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, whole.collect()))
