@@ -34,7 +34,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     cutoffs, items = score_cutoffs(table(spark, d, "per_frame"), table(spark, d, "recordings"))
     kept = kept_items(cutoffs, items).groupBy("source").agg(F.count("*").alias("kept"))
-    return cutoffs.join(kept, "source").select(F.col("source").alias("seq"), "n", "need", "kept", "cutoff")
+    return cutoffs.join(kept, "source").select(F.col("source").alias("seq"), "n", "need", "kept", "cutoff", F.round(F.col("loss") + 2e-9, 6).alias("loss"))
+
+
+def p3_passes(spark: SparkSession, d: str) -> DataFrame:
+    """How many cutting-plane passes each recording took."""
+    cutoffs, _ = score_cutoffs(table(spark, d, "per_frame"), table(spark, d, "recordings"))
+    return cutoffs.select(F.col("source").alias("seq"), "n", "passes")
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
@@ -77,4 +83,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_cutoffs, p4_found, p4_offsets, p6_ids, p6_roundtrip, p7_found, p7_report, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_cutoffs, p3_passes, p4_found, p4_offsets, p6_ids, p6_roundtrip, p7_found, p7_report, p8_found, p8_pieces)}

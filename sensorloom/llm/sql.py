@@ -62,7 +62,8 @@ ORACLE = {
         SELECT eval_split, seq, eval_id, count(*) AS links, max((same_stamp::INT + same_pose::INT) / kinds) AS containment FROM hits GROUP BY ALL)
         SELECT eval_split, seq, count(*) AS eval_records, CAST(sum(links) AS BIGINT) AS links, count(*) FILTER (WHERE containment >= 1) AS contained_whole FROM per GROUP BY ALL""",
     "p3_found": f"WITH {_CUTOFFS} SELECT f.seq, f.name FROM frames f JOIN cutoffs c USING (seq) WHERE f.rate <= c.cutoff",
-    "p3_cutoffs": f"""WITH {_CUTOFFS} SELECT c.seq, c.n, c.need, count(*) AS kept, c.cutoff FROM frames f JOIN cutoffs c USING (seq) WHERE f.rate <= c.cutoff GROUP BY ALL""",
+    "p3_cutoffs": f"""WITH {_CUTOFFS} SELECT c.seq, c.n, c.need, count(*) FILTER (WHERE f.rate <= c.cutoff) AS kept, c.cutoff,
+        round(sum(CASE WHEN f.rate > c.cutoff THEN q * (f.rate - c.cutoff) ELSE (1 - q) * (c.cutoff - f.rate) END) + 2e-9, 6) AS loss FROM frames f JOIN cutoffs c USING (seq) JOIN fractions USING (seq) GROUP BY c.seq, c.n, c.need, c.cutoff""",
     "p4_found": f"WITH {_READINGS} SELECT frame_id, clock, line FROM matched",
     "p4_offsets": f"WITH {_READINGS} SELECT clock, count(*) AS matched, max(d) AS worst_us, CAST(sum(d) AS BIGINT) AS total_us FROM matched GROUP BY clock",
 }

@@ -86,10 +86,15 @@ def test_cutoffs_are_exact(spark):
     fr = {"uniform": 0.625, "ties": 0.5, "huge": 0.75, "one": 0.3, "late": 0.9, "exp": 1.0}
     scores = spark.createDataFrame(rows, "seq string, name string, rate_px_per_ms_med double, keep_fraction double")
     fractions = spark.createDataFrame([*fr.items(), *list(fr.items())[:2], ("nobody", 0.5), ("unasked", None)], "seq string, keep_fraction double")
-    for snap in (4096, 3):  # read off at once, and after many cuts
+    for snap in (4096, 64, 3):  # read off after one pass, after some, and after many
         cutoffs, items = score_cutoffs(scores, fractions, snap_rows=snap)
         got = {r.source: r for r in cutoffs.collect()}
         assert set(got) == set(fr)
+        assert all(r.passes >= 1 for r in got.values())
+        for s in ("uniform", "ties", "one", "exp"):
+            c, q = got[s].cutoff, fr[s]
+            loss = {v: sum(q * max(x - v, 0) + (1 - q) * max(v - x, 0) for x in valid[s]) for v in set(valid[s])}
+            assert abs(got[s].loss - loss[c]) < 1e-6 and loss[c] <= min(loss.values()) + 1e-9
         for s, q in fr.items():
             assert got[s].cutoff == brute_cutoff(valid[s], q), s
             assert got[s].n == 400
@@ -99,6 +104,19 @@ def test_cutoffs_are_exact(spark):
     assert e.count() == 0
 
 
+def test_one_source_with_a_third_of_all_rows(spark):
+    rnd = random.Random(7)
+    rows = [("hot" if i % 3 == 0 else f"s{i % 40}", f"n{i}", rnd.choice([rnd.random(), rnd.expovariate(3), 0.25, 1e-9 * rnd.random()])) for i in range(9000)]
+    scores = spark.createDataFrame(rows, "seq string, name string, rate_px_per_ms_med double").repartition(4)
+    names = sorted({r[0] for r in rows})
+    fractions = spark.createDataFrame([(s, 0.3 + 0.01 * i) for i, s in enumerate(names)], "seq string, keep_fraction double")
+    got = {r.source: r for r in score_cutoffs(scores, fractions)[0].collect()}
+    for i, s in enumerate(names):
+        v = sorted(x for n, _, x in rows if n == s)
+        assert got[s].cutoff == next(c for k, c in enumerate(v) if k + 1 == len(v) or v[k + 1] > c and k + 1 >= (0.3 + 0.01 * i) * len(v)), s
+    assert got["hot"].passes >= 2
+
+
 def test_nearest_matches_brute_force(spark):
     rnd = random.Random(8)
     base = 1_700_000_000_000_000
