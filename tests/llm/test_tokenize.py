@@ -1,14 +1,18 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sensorloom.llm.bpe import DEFAULT_VOCABULARY, PIECE_PATTERN, MergeList, Transducer
-from sensorloom.llm.split import cut, split_corpus
+from sensorloom.llm.bpe import pieces as split_pieces
+from sensorloom.llm.split import _Offsets, cut, split_corpus
 from sensorloom.llm.tokenize import decode_corpus, encode_corpus, roundtrip_report
 
 tiktoken = pytest.importorskip("tiktoken")
+PATTERN = regex.compile(PIECE_PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +113,45 @@ def test_natural_boundaries_first(merges):
         cut("x", merges, 32, 16)
 
 
+def test_a_boundary_in_the_first_half_comes_before_a_hard_cut(merges):
+    text = "One paragraph here.\n\nAnd a second one.\n\n" + "x7" * 400
+    pieces = cut(text, merges, 128, 8)
+    assert pieces[0].cut == "paragraph" and text[: pieces[0].end].endswith("one.\n\n")
+    assert all(p.cut == "hard" for p in pieces[1:-1]) and len(pieces) > 2
+    _check(text, pieces, merges, 128, 8)
+
+
+def test_pieces_of_odd_texts(merges, reference):
+    rnd = random.Random(2)
+    parts = ["'", "s", "re", "ll", " ", "  ", "\n", "\r\n", "\t", "é", "漢", "1", "²", "-", "_", "\x1c", "\x85", "Ⅷ", "a", "word", "end. ", "。", "🙂"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(30)))
+        for window in (3, 1 << 16):  # whatever the window
+            assert [p for _, ps in split_pieces(text, window) for p in ps] == [m.group() for m in PATTERN.finditer(text)]
+        o = _Offsets(text, merges)
+        i, j = sorted((rnd.randrange(len(text) + 1), rnd.randrange(len(text) + 1)))
+        assert o.count(i, j) == len(reference.encode_ordinary(text[i:j]))
+
+
+def test_pairs_by_merges(merges):
+    rnd = random.Random(3)
+    n = len(merges.tokens)
+    for top in (600, 5000, n):
+        for _ in range(4000):
+            a, b = rnd.randrange(top), rnd.randrange(top)
+            assert merges.follows(a, b) == (merges.merge(merges.tokens[a] + merges.tokens[b]) == [a, b])
+
+
+def test_all_documents_are_cut_within_the_limit(merges, reference):
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        pieces = cut(text or "", merges)
+        n = len(reference.encode_ordinary(text or ""))
+        assert (len(pieces) > 1) == (n > 1024)
+        if len(pieces) > 1:
+            _check(text, pieces, merges, 1024, 64)
+            assert all(p.tokens == len(reference.encode_ordinary(text[p.start : p.end])) for p in pieces)
+
+
 def test_split_corpus(spark):
     rows = [(1, "word " * 2000, 1), (2, "short", 1), (3, None, 1), (4, "", 1), (5, "é" * 3000, 1), (1, "word " * 2000, 1)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, piece int")
