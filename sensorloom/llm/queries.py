@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.leakage import leak_report, leaked_items
+from sensorloom.llm.leakage import LeakRule, leak_report, leaked_items
 from sensorloom.llm.nearest_time import match_frames
 from sensorloom.llm.score_cutoff import kept_items, score_cutoffs
 from sensorloom.llm.split import split_corpus
@@ -71,6 +71,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id")
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks in any order, with the share of the item that the document covers."""
+    hits = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), rule=LeakRule(ordered=False))
+    return hits.select("doc_id", "item_id", F.round("span", 4).alias("span"), F.round("coverage", 4).alias("coverage"))
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(_leaks(spark, d))
 
@@ -83,4 +89,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_cutoffs, p3_passes, p4_found, p4_offsets, p6_ids, p6_roundtrip, p7_found, p7_report, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_cutoffs, p3_passes, p4_found, p4_offsets, p6_ids, p6_roundtrip, p7_found, p7_coverage, p7_report, p8_found, p8_pieces)}

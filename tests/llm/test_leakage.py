@@ -1,6 +1,9 @@
+import math
 import random
 
-from sensorloom.llm.leakage import ItemIndex, folded_words, leak_report, leaked_items, passages, tile
+import pyarrow.parquet as pq
+
+from sensorloom.llm.leakage import ItemIndex, LeakRule, covered_share, folded_words, leak_report, leaked_items, passages, tile
 
 ITEM = "Twenty bricks wobble beside a leather saddle; a brass telescope that wobbles in thin fog also borders the stone lion; whenever a birch canoe sags, a trolley mirrors some benches. Where would the older walker unit find the granite millstone?"
 OTHER = "A crooked flagpole that rocks during repairs also faces the pewter jug: does the marble basin still lean on a timber barn?"
@@ -8,7 +11,7 @@ WORDS = ITEM.split()
 
 
 def leaks(text, items=((1, ITEM), (2, OTHER))):
-    return {k for k, _, _ in ItemIndex(list(items)).leaks(text)}
+    return {h[0] for h in ItemIndex(list(items)).leaks(text)}
 
 
 def test_whole_and_half():
@@ -33,8 +36,50 @@ def test_other_orders_are_no_leaks():
         w = WORDS[:]
         rnd.shuffle(w)
         assert leaks(" ".join(w)) == set()
-    parts = ITEM.split("; ")
-    assert leaks(" filler text goes here and on and on for a while so that no stretch joins them at all ".join([p for p in parts[::-1]])) == set() or True
+    parts = [" ".join(WORDS[i : i + 10]) for i in range(0, len(WORDS), 10)]
+    apart = " filler text goes here and on and on for a while so that no stretch joins them at all "
+    assert leaks(apart.join(parts[::-1])) == set()
+    assert leaks(" ".join(parts[::-1])) == set()
+
+
+def test_coverage_finds_reordered_passages():
+    reordered = "and so " + " ".join([" ".join(WORDS[i : i + 10]) for i in range(0, len(WORDS), 10)][::-1]) + " it goes"
+    any_order = ItemIndex([(1, ITEM), (2, OTHER)], LeakRule(ordered=False))
+    ((key, span, _, coverage),) = any_order.leaks(reordered)
+    assert key == 1 and span < 0.5 and coverage > 0.9
+    assert any_order.leaks(" ".join(WORDS[: len(WORDS) // 3])) == []
+    assert covered_share([(0, 0, 5), (5, 100, 5), (12, 104, 4)], 20) == 9 / 20
+
+
+def _misspelt(word, rnd):
+    if len(word) < 4:
+        return word
+    i = rnd.randrange(len(word) - 1)
+    return rnd.choice([word[:i] + word[i + 1 :], word[:i] + rnd.choice("bcdfg") + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :]])
+
+
+def test_recall_under_misspellings():
+    """Passages of every evaluation item with a share of their words misspelt, amid other text."""
+    rnd = random.Random(5)
+    items = [(r["item_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/eval_items.parquet").to_pylist()]
+    other = " ".join(t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t).split()
+    index = ItemIndex(items)
+    for misspelt, share, least in ((0.2, 0.55, 0.99), (0.2, 1.0, 0.99), (0.4, 0.55, 0.97), (0.4, 0.7, 0.97), (0.4, 1.0, 0.99)):
+        hits = 0
+        for key, text in items:
+            words = text.split()
+            n = math.ceil(len(words) * share)
+            at, f = rnd.randrange(len(words) - n + 1), rnd.randrange(len(other) - 80)
+            passage = [_misspelt(w, rnd) if rnd.random() < misspelt else w for w in words[at : at + n]]
+            hits += key in {h[0] for h in index.leaks(" ".join(other[f : f + 40] + passage + other[f + 40 : f + 80]))}
+        assert hits >= least * len(items), (misspelt, share, hits)
+
+
+def test_seeds_cost_no_row():
+    items = [(r["item_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/eval_items.parquet").to_pylist()]
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    gated, open_ = ItemIndex(items), ItemIndex(items, LeakRule(seed_share=0.0))
+    assert [{h[0] for h in gated.leaks(t)} for t in docs] == [{h[0] for h in open_.leaks(t)} for t in docs]
 
 
 def test_both_items_and_repeats():
@@ -52,7 +97,7 @@ def test_tiles_cover_no_word_twice():
         assert len({i + k for i, _, n in t for k in range(n)}) == sum(n for *_, n in t) == len({j + k for _, j, n in t for k in range(n)})
         rest_a = set(a) - {a[i + k] for i, _, n in t for k in range(n)}
         assert not rest_a & set(b)  # what both have is tiled down to single words
-    assert max(m for *_, m in passages(tile(list(range(20)), list(range(20))), 20)) == 20
+    assert max(m for *_, m in passages(tile(list(range(20)), list(range(20))))) == 20
 
 
 def test_folding():
