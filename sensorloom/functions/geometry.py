@@ -32,12 +32,26 @@ def quat_norm(q: Column) -> Column:
 
 
 def unit_quat(q: Column, tolerance: float = 1e-3) -> Column:
-    """q itself; an error for one whose norm is further than `tolerance` from 1."""
-    return F.when(F.abs(quat_norm(q) - 1) <= tolerance, q).when(q.isNull(), q).otherwise(F.raise_error(F.lit("quaternion is not of unit length")))
+    """q itself; null for one with a null part, an error for one whose norm is further than `tolerance` from 1."""
+    return F.when(F.abs(quat_norm(q) - 1) <= tolerance, q).when(quat_norm(q).isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("quaternion is not of unit length")))
 
 
-def quat_to_rotation(q: Column) -> Column:
-    """Rotation matrix of a unit quaternion, nine doubles row by row."""
+def quat_of(values: Column, order: str = "wxyz") -> Column:
+    """Quaternion of an array of four values, scalar first (wxyz) or scalar last (xyzw)."""
+    if order not in ("wxyz", "xyzw"):
+        raise ValueError(f"unknown quaternion order {order!r}")
+    return quat(*[values[order.index(c)] for c in "wxyz"])
+
+
+def quat_values(q: Column, order: str = "wxyz") -> Column:
+    """The four values of a quaternion in the given order."""
+    if order not in ("wxyz", "xyzw"):
+        raise ValueError(f"unknown quaternion order {order!r}")
+    return F.array(*[q[c] for c in order])
+
+
+def quat_to_rotation(q: Column, tolerance: float = 1e-3) -> Column:
+    """Rotation matrix of a quaternion, nine doubles row by row; its length may be off by `tolerance`, beyond that is an error."""
 
     def cells(v: Column) -> Column:
         w, x, y, z = (v[c] for c in "wxyz")
@@ -47,7 +61,10 @@ def quat_to_rotation(q: Column) -> Column:
             2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
         )
 
-    return let(q, cells)
+    def unit(v: Column) -> Column:
+        return let(quat_norm(v), lambda n: quat(*[v[c] / n for c in "wxyz"]))
+
+    return let(unit_quat(q, tolerance), lambda v: let(unit(v), cells))
 
 
 def rotation_to_quat(r: Column) -> Column:
@@ -142,17 +159,22 @@ def lerp(a: Column, b: Column, w: Column) -> Column:
 
 def slerp(a: Column, b: Column, w: Column) -> Column:
     """Between two unit quaternions on the shorter arc; nearly equal ones are mixed in a line and normalised."""
-    dot = sum((a[c] * b[c] for c in "xyz"), a["w"] * b["w"])
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    c = F.least(F.abs(dot), F.lit(1.0))
-    angle = F.acos(c)
-    s = F.sin(angle)
-    near = c > 0.9995
-    u = F.when(near, 1 - w).otherwise(F.sin((1 - w) * angle) / s)
-    v = sign * F.when(near, w).otherwise(F.sin(w * angle) / s)
-    mixed = [a[k] * u + b[k] * v for k in "wxyz"]
-    norm = F.sqrt(sum((m * m for m in mixed[1:]), mixed[0] * mixed[0]))
-    return quat(*[m / norm for m in mixed])
+
+    def turn(s: Column) -> Column:
+        dot = sum((s["a"][c] * s["b"][c] for c in "xyz"), s["a"]["w"] * s["b"]["w"])
+        return let(dot, lambda d: shares(s, d))
+
+    def shares(s: Column, dot: Column) -> Column:
+        c, sign = F.least(F.abs(dot), F.lit(1.0)), F.when(dot < 0, -1.0).otherwise(1.0)
+        angle, near = F.acos(c), c > 0.9995
+        u = F.when(near, 1 - s["w"]).otherwise(F.sin((1 - s["w"]) * angle) / F.sin(angle))
+        v = sign * F.when(near, s["w"]).otherwise(F.sin(s["w"] * angle) / F.sin(angle))
+        return let(F.struct(u.alias("u"), v.alias("v")), lambda k: let(quat(*[s["a"][c] * k["u"] + s["b"][c] * k["v"] for c in "wxyz"]), unit))
+
+    def unit(q: Column) -> Column:
+        return let(quat_norm(q), lambda n: quat(*[q[c] / n for c in "wxyz"]))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(a.alias("a"), b.alias("b"), w.cast("double").alias("w")), turn))
 
 
 def project(p: Column, fx: float, fy: float, cx: float, cy: float, min_z: float = 0.0) -> Column:
@@ -239,3 +261,97 @@ def footprint_radius(a: Column, b: Column, d: Column, sigmas: float = 3.0) -> Co
     mid, det = (a + d) / 2, a * d - b * b
     top = mid + F.sqrt(F.greatest(F.lit(0.0), mid * mid - det))
     return F.ceil(sigmas * F.sqrt(top))
+
+
+def body_covariance(r: Column, scales: Column) -> Column:
+    """Covariance of an ellipsoid with the axes of a rotation (nine doubles) and three scales: xx, xy, xz, yy, yz, zz."""
+    cells = []
+    for i in range(3):
+        for j in range(i, 3):
+            cells.append(sum((r[3 * i + k] * r[3 * j + k] * scales[k] * scales[k] for k in (1, 2)), r[3 * i] * r[3 * j] * scales[0] * scales[0]))
+    return F.array(*cells)
+
+
+def image_covariance(p: Column, cov: Column, world_camera: Column, fx: float, fy: float) -> Column:
+    """Covariance (a, b, d) on the image of a point's covariance (six values) seen by a camera-to-world transform; null behind it.
+
+    The projection is taken as linear at the point: rows g and h are its derivatives after the
+    world's axes.
+    """
+    full = [[0, 1, 2], [1, 3, 4], [2, 4, 5]]
+
+    def cells(q: Column) -> Column:
+        z = q["z"]
+        g = [fx / z * world_camera[4 * k] - fx * q["x"] / (z * z) * world_camera[4 * k + 2] for k in range(3)]
+        h = [fy / z * world_camera[4 * k + 1] - fy * q["y"] / (z * z) * world_camera[4 * k + 2] for k in range(3)]
+
+        def form(u: list[Column], v: list[Column]) -> Column:
+            terms = [u[i] * cov[full[i][j]] * v[j] for i in range(3) for j in range(3)]
+            return sum(terms[1:], terms[0])
+
+        return F.struct(form(g, g).alias("a"), form(g, h).alias("b"), form(h, h).alias("d"))
+
+    return let(apply_inverse(world_camera, p), lambda q: F.when(q["z"] > 0, cells(q)))
+
+
+# Constants of the real spherical harmonics of bands 1, 2 and 3 in the order used for colour.
+BAND1 = 0.4886025119029199
+BAND2 = (1.0925484305920792, 0.31539156525252005, 0.5462742152960396)
+BAND3 = (0.5900435899266435, 2.890611442640554, 0.4570457994644658, 0.3731763325901154, 1.445305721320277)
+
+
+def harmonics(x, y, z) -> list:
+    """The fifteen values of bands 1 to 3 at a unit direction, for columns as for arrays."""
+    a, (b, c, d), (e, f, g, h, k) = BAND1, BAND2, BAND3
+    x2, y2, z2 = x * x, y * y, z * z
+    first = [-a * y, a * z, -a * x]
+    second = [b * x * y, -b * y * z, c * (2 * z2 - x2 - y2), -b * x * z, d * (x2 - y2)]
+    third = [
+        -e * y * (3 * x2 - y2), f * x * y * z, -g * y * (4 * z2 - x2 - y2), h * z * (2 * z2 - 3 * x2 - 3 * y2),
+        -g * x * (4 * z2 - x2 - y2), k * z * (x2 - y2), -e * x * (x2 - 3 * y2),
+    ]
+    return first + second + third
+
+
+def harmonic_turns(rotation_values: list[float]) -> list[list[list[float]]]:
+    """For each band the matrix that turns its coefficients with a rotation (nine values), found on the driver.
+
+    The new colour in a direction is the old one in the direction turned back; one exact
+    fit over a fixed set of directions gives each band's matrix.
+    """
+    import numpy as np
+
+    n = np.arange(64)
+    up, around = 1 - (2 * n + 1) / 64, n * np.pi * (3 - 5**0.5)
+    d = np.stack([np.sqrt(1 - up * up) * np.cos(around), np.sqrt(1 - up * up) * np.sin(around), up], axis=1)
+    back = d @ np.asarray(rotation_values, float).reshape(3, 3)
+    here, there = np.stack(harmonics(*d.T), axis=1), np.stack(harmonics(*back.T), axis=1)
+    return [np.linalg.lstsq(here[:, lo:hi], there[:, lo:hi], rcond=None)[0].tolist() for lo, hi in ((0, 3), (3, 8), (8, 15))]
+
+
+def turn_harmonics(coefficients: Column, rotation_values: list[float]) -> Column:
+    """Fifteen coefficients of one colour after turning their body by a constant rotation."""
+    out, at = [], 0
+    for m in harmonic_turns(rotation_values):
+        for row in m:
+            terms = [coefficients[at + j] * float(v) for j, v in enumerate(row)]
+            out.append(sum(terms[1:], terms[0]))
+        at += len(m)
+    return F.array(*out)
+
+
+def ramp(step: Column, start: float, stop: float, low: float = 0.0, high: float = 1.0) -> Column:
+    """From `low` at `start` in a line to `high` at `stop`, constant outside."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (step - start) / (stop - start)))
+    return low + (high - low) * share
+
+
+def decay(step: Column, total: float, first: float, last: float) -> Column:
+    """From `first` to `last` in a line of the logarithm."""
+    return first * F.pow(F.lit(last / first), F.greatest(F.lit(0.0), F.least(F.lit(1.0), step / total)))
+
+
+def budget(step: Column, total: float, first: float, last: float) -> Column:
+    """Rows allowed at a step: from `first` to `last` along the root of the progress, rounded down."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), step / total))
+    return F.floor(first + (last - first) * F.sqrt(share)).cast("bigint")

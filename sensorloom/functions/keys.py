@@ -86,3 +86,29 @@ def even_rows(n: Column, total: Column) -> Column:
     return F.when(total <= n, F.sequence(F.lit(0).cast("bigint"), total - 1)).when(n == 1, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.array_distinct(F.transform(few, lambda i: F.bround(i * step).cast("bigint")))
     )
+
+
+def pack_quat(q: Column) -> Column:
+    """A unit quaternion in 32 bits: which part is largest (two bits, the first of equal ones), and the other three, in order, in ten bits each."""
+    parts = F.array(*[q[c] for c in "wxyz"])
+
+    def word(v: Column) -> Column:
+        size = F.transform(v, lambda x: F.abs(x))
+        at = (F.array_position(size, F.array_max(size)) - 1).cast("int")
+        sign = F.when(v[at] < 0, -1.0).otherwise(1.0)
+        codes = F.transform(v, lambda x: F.greatest(F.lit(0), F.least(F.lit(1023), F.floor((x * sign * 0.5**0.5 + 0.5) * 1023 + 0.5))).cast("bigint"))
+        rest = F.filter(codes, lambda _, i: i != at)
+        return F.aggregate(rest, at.cast("bigint"), lambda s, c: s * 1024 + c)
+
+    return F.element_at(F.transform(F.array(parts), word), 1)
+
+
+def unpack_quat(word: Column) -> Column:
+    """The quaternion of pack_quat's word (signed or not): its largest part is what the others leave of the unit length."""
+    w = word.cast("bigint").bitwiseAND(0xFFFFFFFF)
+    largest = F.shiftrightunsigned(w, 30).cast("int")
+    small = [(F.shiftrightunsigned(w, s).bitwiseAND(1023) / 1023.0 - 0.5) * 2**0.5 for s in (20, 10, 0)]
+    left = F.sqrt(F.greatest(F.lit(0.0), 1 - small[0] * small[0] - small[1] * small[1] - small[2] * small[2]))
+    # Part i is the largest, or the small one that stands at its place once the largest is left out.
+    parts = [F.when(largest == i, left).otherwise(F.when(largest < i, small[i - 1] if i else left).otherwise(small[min(i, 2)])) for i in range(4)]
+    return F.struct(*[v.alias(c) for v, c in zip(parts, "wxyz")])

@@ -24,36 +24,44 @@ def unique_times(right: DataFrame, entity: str, at: str, order: str) -> DataFram
     return g.select(entity, at, "_row.*")
 
 
-def bracket(left: DataFrame, right: DataFrame, entity: str, left_at: str, right_at: str, values: list[str], block_us: int = BLOCK_US) -> DataFrame:
+def bracket(left: DataFrame, right: DataFrame, entity: str, left_at: str, right_at: str, values: list[str], block_us: int = BLOCK_US, tie: str | None = None) -> DataFrame:
     """left with `before` and `after`: structs (at, *values) of the last right row at or before, and the first at or after.
 
     Times are whole microseconds. Null entities or times on the right take no part; on the
-    left they get null brackets. Right rows should have distinct times (unique_times);
-    with repeated ones some row of that time is taken. Left columns are kept whatever
-    their names.
+    left they get null brackets. Of right rows with equal times the one with the smallest
+    `tie` counts (by default the smallest values). Left columns are kept whatever their names.
+
+    Both directions are running lasts over the same exchange, one by rising and one by falling
+    time, so a block costs its rows once each way.
     """
     pay = F.struct(F.col(right_at).alias("at"), *[F.col(v).alias(v) for v in values])
-    r = right.where(F.col(entity).isNotNull() & F.col(right_at).isNotNull()).select(F.col(entity).alias("_e"), F.col(right_at).alias("_t"), pay.alias("_p"))
+    r = right.where(F.col(entity).isNotNull() & F.col(right_at).isNotNull()).select(
+        F.col(entity).alias("_e"), F.col(right_at).alias("_t"), (F.col(tie) if tie else pay).alias("_o"), pay.alias("_p")
+    )
     r = r.withColumn("_b", floor_div(F.col("_t"), block_us))
-    kind = r.schema["_p"].dataType
     ls = left.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in left.columns]).alias("_l"), F.col(entity).alias("_e"), F.col(left_at).alias("_t"))
-    ls = ls.withColumn("_b", floor_div(F.col("_t"), block_us))
-    both = ls.select("_e", "_b", "_t", "_l", F.lit(None).cast(kind).alias("_p")).unionByName(
-        r.select("_e", "_b", "_t", F.lit(None).cast(ls.schema["_l"].dataType).alias("_l"), "_p")
+    # Rows without a time or entity are spread over blocks that no reading has.
+    nowhere = F.pmod(F.xxhash64("_l"), F.lit(1 << 20)) + (1 << 50)
+    ls = ls.withColumn("_b", F.when(F.col("_e").isNull() | F.col("_t").isNull(), nowhere).otherwise(floor_div(F.col("_t"), block_us)))
+    kinds = {c: r.schema[c].dataType for c in ("_o", "_p")}
+    both = ls.select("_e", "_b", "_t", F.lit(1).alias("_side"), "_l", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]).unionByName(
+        r.select("_e", "_b", "_t", F.lit(0).alias("_side"), F.lit(None).cast(ls.schema["_l"].dataType).alias("_l"), "_o", "_p")
     )
-    # Rows of equal time see each other in both directions.
-    w = Window.partitionBy("_e", "_b").orderBy("_t")
-    prev = F.last("_p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    next_ = F.first("_p", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Readings come before the left rows of their time; of equal times the smallest tie comes last.
+    w = Window.partitionBy("_e", "_b")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    prev = F.last("_p", ignorenulls=True).over(w.orderBy(F.asc("_t"), F.asc("_side"), F.desc("_o")).rowsBetween(*upto))
+    next_ = F.last("_p", ignorenulls=True).over(w.orderBy(F.desc("_t"), F.asc("_side"), F.desc("_o")).rowsBetween(*upto))
     inner = both.select("_e", "_b", "_t", "_l", prev.alias("_prev"), next_.alias("_next")).where("_l is not null")
 
-    edges = r.groupBy("_e", "_b").agg(F.min_by("_p", "_t").alias("lo"), F.max_by("_p", "_t").alias("hi"))
-    empty = ls.where("_e is not null and _b is not null").select("_e", "_b").distinct().select("_e", "_b", F.lit(None).cast(kind).alias("lo"), F.lit(None).cast(kind).alias("hi"))
-    blocks = edges.unionByName(empty).groupBy("_e", "_b").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    bw = Window.partitionBy("_e").orderBy("_b")  # one row a block
-    reach = blocks.select(
-        "_e", "_b", F.last("hi", ignorenulls=True).over(bw.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
-        F.first("lo", ignorenulls=True).over(bw.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    reading = F.col("_p").isNotNull()
+    blocks = both.groupBy("_e", "_b").agg(
+        F.min_by("_p", F.when(reading, F.struct("_t", "_o"))).alias("lo"), F.min_by("_p", F.when(reading, F.struct((-F.col("_t")).alias("back"), "_o"))).alias("hi")
+    )
+    bw, before = Window.partitionBy("_e"), (Window.unboundedPreceding, -1)  # one row a block
+    reach = blocks.where(F.col("_b") < 1 << 50).select(
+        "_e", "_b", F.last("hi", ignorenulls=True).over(bw.orderBy(F.asc("_b")).rowsBetween(*before)).alias("_earlier"),
+        F.last("lo", ignorenulls=True).over(bw.orderBy(F.desc("_b")).rowsBetween(*before)).alias("_later"),
     )
     out = inner.join(reach, ["_e", "_b"], "left")
     return out.select("_l.*", F.coalesce("_prev", "_earlier").alias("before"), F.coalesce("_next", "_later").alias("after"))

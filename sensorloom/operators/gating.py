@@ -11,7 +11,7 @@ from sensorloom.operators import asof
 def rate_at(frames: DataFrame, imu: DataFrame, at: str = "us") -> DataFrame:
     """frames with omega: the gyro's three axes interpolated at the frame's time, clamped to the track, then their norm."""
     axes = ["ox", "oy", "oz"]
-    b = asof.interpolate(asof.bracket(frames, imu, "seq", at, "us", axes), at, axes, outside="clamp")
+    b = asof.interpolate(asof.bracket(frames, imu, "seq", at, "us", axes, tie="line"), at, axes, outside="clamp")
     norm = F.sqrt(sum((F.col(f"at_{c}") ** 2 for c in axes[1:]), F.col("at_ox") ** 2))
     return b.withColumn("omega", norm).select(*frames.columns, "omega")
 

@@ -128,6 +128,37 @@ def see_through_votes(cloud: DataFrame, image: DataFrame, scan: str, point_id: s
     return g.withColumn("dynamic", (F.col("free") >= min_free) & (F.col("free") > ratio * F.col("hit")))
 
 
+def scans_near(points: DataFrame, scans: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """points x scans of the same `by` whose origin may lie within `reach`: scans has tmat (sensor to world), taken along as `_sensor`.
+
+    Scans are copied to the 27 cells of that size around their origin and meet points by cell,
+    so the pairs grow with the points near each scan, not with the length of the recording.
+    """
+    from sensorloom.operators.spatial import neighbour_cells, with_cells
+
+    names = [c for c in scans.columns if c not in (*by, "tmat")]
+    s = scans.select(*by, *names, F.col("tmat").alias("_sensor"), *[F.col("tmat")[i].alias(f"_o{c}") for c, i in zip("xyz", (3, 7, 11))])
+    s = neighbour_cells(with_cells(s, reach, ["_ox", "_oy", "_oz"])).drop("_ox", "_oy", "_oz")
+    return with_cells(points, reach).join(s, [*by, "ix", "iy", "iz"]).drop("ix", "iy", "iz")
+
+
+def clear_image(image: DataFrame, scan: str, rings: int, bins: int) -> DataFrame:
+    """Range images (scan, ring, az, m) after a 3x3 minimum that wraps around on both axes; bins beside one without a return are left out."""
+    step = F.sequence(F.lit(-1), F.lit(1))
+    c = image.withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step))
+    c = c.select(scan, F.pmod(F.col("ring") + F.col("_a"), F.lit(rings)).alias("ring"), F.pmod(F.col("az") + F.col("_b"), F.lit(bins)).alias("az"), "m")
+    return c.groupBy(scan, "ring", "az").agg(F.min("m").alias("m"), F.count("*").alias("_n")).where("_n = 9").drop("_n")
+
+
+def free_votes(cloud: DataFrame, clear: DataFrame, scan: str, point_id: str, step: int = 1, base: float = 0.10, slope: float = 0.02) -> DataFrame:
+    """(point_id, free): in how many scans all bins around a point's own lie behind it by more than base + slope·r, times `step`.
+
+    cloud has scan, ring, az, r of each point in each scan; points that no clear bin meets have 0.
+    """
+    j = cloud.join(clear, [scan, "ring", "az"], "left")
+    return j.groupBy(point_id).agg((F.count_if(F.col("m") > F.col("r") + base + slope * F.col("r")) * step).alias("free"))
+
+
 def ray_samples(rays: DataFrame, step: float, margin: float = 0.05, slope: float = 0.01) -> DataFrame:
     """rays copied to the samples at (j + 1/2)·step before their return: adds j and s (distance); rays has r."""
     n = F.floor(F.greatest(F.lit(0.0), F.col("r") - margin - slope * F.col("r")) / step).cast("int")

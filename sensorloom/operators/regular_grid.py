@@ -87,7 +87,7 @@ def regular_series(intervals: DataFrame, slot_us: int = SLOT_US, width: int = 3)
     averages: `width` time-weighted means; where a cell has a reading but no time is held in
     it (the reading before a longer gap, at the cell's last microsecond), the plain mean of
     its readings. state: measured (a reading, covered whole), partial (a reading, not whole)
-    or filled. Cells beyond the longest gap have no row.
+    or filled. Cells beyond the longest gap have no row here (whole_series marks them).
     """
     cells = intersect_cells(intervals, slot_us)
     v = F.col("values")
@@ -99,6 +99,30 @@ def regular_series(intervals: DataFrame, slot_us: int = SLOT_US, width: int = 3)
     return g.select("source", "slot", "readings", coverage.alias("coverage"), means.alias("averages"), state.alias("state"))
 
 
+def missing_slots(readings: DataFrame, slot_us: int = SLOT_US, max_gap_us: int = MAX_GAP_US) -> DataFrame:
+    """(source, slot) of the cells strictly between two successive readings that are further apart than max_gap_us.
+
+    Such readings lie in different blocks, so the last and first readings of the blocks tell
+    the gaps; a gap is cut into spans first, which spread a long one over tasks.
+    """
+    edges = readings.groupBy("source", floor_div(F.col("at"), max_gap_us).alias("block")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    w = Window.partitionBy("source").orderBy("block")  # one row a block
+    gaps = edges.select("source", F.col("last").alias("lo"), F.lead("first").over(w).alias("hi")).where(F.col("hi") - F.col("lo") > max_gap_us)
+    lo, hi, span = floor_div(F.col("lo"), slot_us) + 1, floor_div(F.col("hi"), slot_us) - 1, 100_000
+    spans = gaps.select("source", lo.alias("lo"), hi.alias("hi")).where("hi >= lo").withColumn("from", F.explode(F.sequence("lo", "hi", F.lit(span).cast("bigint"))))
+    spans = spans.repartition("source", "from")
+    return spans.select("source", F.explode(F.sequence("from", F.least(F.col("from") + span - 1, "hi"))).alias("slot"))
+
+
+def whole_series(readings: DataFrame, slot_us: int = SLOT_US, width: int = 3, max_gap_us: int = MAX_GAP_US) -> DataFrame:
+    """regular_series with a row, state missing, for every cell of the periods longer than max_gap_us too."""
+    s = regular_series(validity_intervals(readings, max_gap_us), slot_us, width)
+    gone = missing_slots(readings, slot_us, max_gap_us)
+    return s.unionByName(
+        gone.select("source", "slot", F.lit(0).cast("bigint").alias("readings"), F.lit(0.0).alias("coverage"), F.lit(None).cast("array<double>").alias("averages"), F.lit("missing").alias("state"))
+    )
+
+
 def imu_readings(imu: DataFrame) -> DataFrame:
     """Valid gyro readings: t and all three values present. Null sources and lines take no part."""
     o = [F.col(f"omega.{a}") for a in "xyz"]

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorloom.functions import geometry as geo
+from sensorloom.operators import asof
 from sensorloom.operators.ordered import adjacent
 from sensorloom.operators.regular_grid import floor_div
+from sensorloom.session import cut_lineage
 
 WINDOW_US = 1_000_000
 STEP_US = 5_000
 MAX_LAG = 10
+GRID_BLOCK = 4096
 
 
 def motion_windows(imu: DataFrame) -> DataFrame:
@@ -65,54 +68,88 @@ def preamble_end(windows: DataFrame, search: int = 25, swing_share: float = 0.6,
     return g.select("seq", "swings", F.when(F.col("swings") > 0, F.coalesce(start, fallback)).alias("end_window"))
 
 
-def turn_rates(poses: DataFrame) -> DataFrame:
-    """(seq, us, rate): angle to the next pose over the time between, rad/s; the last pose repeats the value before."""
-    a = adjacent(poses, ["seq"], "us", ["line"], ["us", "tmat"])
-    r = geo.rotation(F.col("tmat"))
+def common_grid(poses: DataFrame, imu: DataFrame, ends: DataFrame, step: int = STEP_US) -> DataFrame:
+    """(seq, i, n, a, b): the gyro's rate (a) and the pose track's (b) on the grid lo, lo + step, .. below hi of each recording.
 
-    def rate(other: str):
-        return F.radians(geo.turn_degrees(r, geo.rotation(F.col(f"{other}.tmat")))) / (F.abs(F.col(f"{other}.us") - F.col("us")) / 1e6)
-
-    return a.select("seq", "us", F.coalesce(rate("next"), rate("prev")).alias("rate"))
-
-
-def on_grid(df: DataFrame, at: str, value, step: int = STEP_US) -> DataFrame:
-    """(seq, k, v): mean of the values in each step of time."""
-    return df.groupBy("seq", floor_div(F.col(at), step).alias("k")).agg(F.avg(value).alias("v"))
-
-
-def stream_lag(rates: DataFrame, imu: DataFrame, step: int = 40_000, max_lag: int = MAX_LAG, lo: str | None = None, hi: str | None = None) -> DataFrame:
-    """(seq, lag, lag_ms): shift of the gyro's rate, in steps, at which it correlates most with the pose's.
-
-    Both rates are averaged on one grid and centred; cells that one of them lacks are left
-    out (linear, not circular, shifts). Of equal correlations the smallest shift holds; an
-    inner peak is refined by a parabola; a flat signal has lag 0.
+    ends has seq, lo, hi. a is the gyro's length interpolated, its end values outside of the
+    track. b is the angle between the poses interpolated at a grid point and at the next, over
+    the step; the last point of the track repeats the one before, points outside have 0.
+    """
+    n = F.ceil((F.col("hi") - F.col("lo")) / step).cast("bigint")
+    g = ends.where("hi > lo").select("seq", "lo", n.alias("n")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), floor_div(F.col("n") - 1, GRID_BLOCK))))
+    last = F.least((F.col("block") + 1) * GRID_BLOCK, F.col("n")) - 1
+    g = g.withColumn("i", F.explode(F.sequence(F.col("block") * GRID_BLOCK, last))).select("seq", "i", "n", (F.col("lo") + F.col("i") * step).alias("us"))
+    rated = imu.select("seq", "us", "line", F.sqrt(F.col("ox") ** 2 + F.col("oy") ** 2 + F.col("oz") ** 2).alias("rate"))
+    a = asof.interpolate(asof.bracket(g, rated, "seq", "us", "us", ["rate"], tie="line"), "us", ["rate"], "clamp").select("seq", "i", "n", "us", F.col("at_rate").alias("a"))
+    a = cut_lineage(a)  # the join below reads its left side twice, and so does `adjacent`
+    turned = poses.select("seq", "us", "line", geo.rotation_to_quat(geo.rotation(F.col("tmat"))).alias("q"))
+    b = asof.bracket(a, turned, "seq", "us", "us", ["q"], tie="line")
+    inside = F.col("before").isNotNull() & F.col("after").isNotNull()
+    b = b.select("seq", "i", "n", "a", F.when(inside, geo.slerp(F.col("before.q"), F.col("after.q"), asof.weight(F.col("us")))).alias("q"))
+    b = cut_lineage(b)
+    steps = adjacent(b, ["seq"], "i", [], ["q"], block=GRID_BLOCK)
+
+    def rate(p, q):
+        dot = F.abs(sum((p[c] * q[c] for c in "xyz"), p["w"] * q["w"]))
+        return 2 * F.acos(F.least(F.lit(1.0), dot)) / (step / 1e6)
+
+    ahead, behind = rate(F.col("q"), F.col("next.q")), rate(F.col("prev.q"), F.col("q"))
+    out = F.when(F.col("q").isNull(), 0.0).when(F.col("next.q").isNotNull(), ahead).otherwise(F.coalesce(behind, F.lit(0.0)))
+    return steps.select("seq", "i", "n", "a", out.alias("b"))
+
+
+def circular_products(grid: DataFrame, max_lag: int = MAX_LAG, block: int = GRID_BLOCK) -> DataFrame:
+    """(seq, c): sums of a[i - lag]·b[i] for the lags -max_lag..max_lag, the recording taken as a ring; both centred.
+
+    Rows are put into blocks with max_lag neighbours on both sides (the first and last rows
+    stand at both ends), ordered there, and summed map-side: 1 + 2·max_lag / block copies.
+    """
+    m = grid.groupBy("seq").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+    j = grid.join(m, "seq").select("seq", "i", "n", (F.col("a") - F.col("ma")).alias("a"), (F.col("b") - F.col("mb")).alias("b"))
+    turns = F.explode(F.array(*[F.lit(t) for t in (-1, 0, 1)]))
+    p = j.withColumn("turn", turns).withColumn("p", F.col("i") + F.col("turn") * F.col("n")).where((F.col("p") >= -max_lag) & (F.col("p") < F.col("n") + max_lag))
+    top = floor_div(F.col("n") - 1, block)
+    first, last = F.greatest(F.lit(0).cast("bigint"), floor_div(F.col("p") - max_lag, block)), F.least(top, floor_div(F.col("p") + max_lag, block))
+    p = p.where(first <= last).withColumn("block", F.explode(F.sequence(first, last)))
+    w = Window.partitionBy("seq", "block").orderBy("p")
+    lags = [(F.lag("a", k) if k >= 0 else F.lead("a", -k)).over(w).alias(f"a{k + max_lag}") for k in range(-max_lag, max_lag + 1)]
+    own = p.select("*", *lags).where((F.col("turn") == 0) & (floor_div(F.col("i"), block) == F.col("block")))
+    return own.groupBy("seq").agg(F.array(*[F.sum(F.col(f"a{k}") * F.col("b")) for k in range(2 * max_lag + 1)]).alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
+
+
+def stream_lag(poses: DataFrame, imu: DataFrame, ends: DataFrame, step: int = STEP_US, max_lag: int = MAX_LAG) -> DataFrame:
+    """(seq, lag, lag_ms): shift of the gyro's rate, in steps, at which it correlates most with the pose track's, on [lo, hi) of `ends`.
+
+    Of equal correlations the smallest shift holds; an inner peak is refined by a parabola; a
+    flat signal has lag 0. Recordings without a grid point have no row.
     """
-    a = on_grid(imu, "us", F.sqrt(F.col("ox") ** 2 + F.col("oy") ** 2 + F.col("oz") ** 2), step).withColumnRenamed("v", "a")
-    b = on_grid(rates.where(~F.isnan("rate")), "us", F.least("rate", F.lit(100.0)), step).withColumnRenamed("v", "b")
-    b = b.join(b.groupBy("seq").agg(F.avg("b").alias("mb"), F.stddev_pop("b").alias("sb")), "seq")
-    a = a.join(a.groupBy("seq").agg(F.avg("a").alias("ma"), F.stddev_pop("a").alias("sa")), "seq")
-    shifted = a.select("seq", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"), "k", (F.col("a") - F.col("ma")).alias("a"), "sa")
-    shifted = shifted.withColumn("k", F.col("k") + F.col("lag"))
-    c = shifted.join(b, ["seq", "k"]).groupBy("seq", "lag").agg(F.sum(F.col("a") * (F.col("b") - F.col("mb"))).alias("c"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
-    w = Window.partitionBy("seq").orderBy("lag")  # 2 * max_lag + 1 rows
-    c = c.select("*", F.lag("c").over(w).alias("cp"), F.lead("c").over(w).alias("cn"))
-    best = c.groupBy("seq").agg(F.min_by(F.struct("lag", "c", "cp", "cn", "sa", "sb"), F.struct((-F.col("c")).alias("m"), F.col("lag").alias("l"))).alias("b")).select("seq", "b.*")
-    curve = F.col("cp") - 2 * F.col("c") + F.col("cn")
-    fine = F.when(curve.isNotNull() & (F.abs(curve) > 1e-12), F.col("lag") + 0.5 * (F.col("cp") - F.col("cn")) / curve).otherwise(F.col("lag"))
+    c = circular_products(common_grid(poses, imu, ends, step), max_lag)
+    at = (F.array_position("c", F.array_max("c")) - 1).cast("int")
+    c = c.withColumn("at", at)
+    low, mid, high = F.col("c")[F.col("at") - 1], F.col("c")[F.col("at")], F.col("c")[F.col("at") + 1]
+    curve = low - 2 * mid + high
+    inner = (F.col("at") > 0) & (F.col("at") < 2 * max_lag)
+    fine = F.when(inner & (F.abs(curve) > 1e-12), F.col("at") + 0.5 * (low - high) / curve).otherwise(F.col("at"))
     flat = (F.col("sa") < 1e-9) | (F.col("sb") < 1e-9)
-    return best.select("seq", F.when(flat, 0).otherwise(F.col("lag")).alias("lag"), F.when(flat, 0.0).otherwise(fine * step / 1e3).alias("lag_ms"))
+    return c.select("seq", F.when(flat, 0).otherwise(F.col("at") - max_lag).alias("lag"), F.when(flat, 0.0).otherwise((fine - max_lag) * step / 1e3).alias("lag_ms"))
 
 
-def clock_drift(rates: DataFrame, imu: DataFrame, window_us: int = 10_000_000) -> DataFrame:
-    """(seq, first_lag, last_lag, drift_ms): lags of the first and the last window, at most a third of the recording; null under 3 s."""
-    ends = imu.groupBy("seq").agg(F.min("us").alias("t0"), F.max("us").alias("t1"))
-    ends = ends.withColumn("w", F.least(F.lit(window_us), ((F.col("t1") - F.col("t0")) / 3).cast("bigint")))
+def track_ends(imu: DataFrame) -> DataFrame:
+    """(seq, lo, hi): first and last reading."""
+    return imu.groupBy("seq").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
 
-    def part(first: bool) -> DataFrame:
-        cond = (F.col("us") < F.col("t0") + F.col("w")) if first else (F.col("us") > F.col("t1") - F.col("w"))
-        keep = lambda df: df.join(ends, "seq").where(cond & (F.col("w") >= 3_000_000)).drop("t0", "t1", "w")
-        return stream_lag(keep(rates), keep(imu))
 
-    a, b = part(True).select("seq", F.col("lag").alias("first_lag"), F.col("lag_ms").alias("_a")), part(False).select("seq", F.col("lag").alias("last_lag"), F.col("lag_ms").alias("_b"))
-    return ends.select("seq").join(a, "seq", "left").join(b, "seq", "left").select("seq", "first_lag", "last_lag", F.round(F.col("_b") - F.col("_a"), 3).alias("drift_ms"))
+def clock_drift(poses: DataFrame, imu: DataFrame, starts: DataFrame | None = None, window_us: int = 10_000_000, least_us: int = 3_000_000) -> DataFrame:
+    """(seq, first_ms, last_ms, drift_ms): lags of the first and the last window; null where a window would be under least_us.
+
+    A window is at most a third of what follows the start: the first reading, or that of
+    `starts` (seq, start_us), the end of a preamble.
+    """
+    e = track_ends(imu)
+    if starts is not None:
+        e = e.join(starts.select("seq", "start_us"), "seq", "left").withColumn("lo", F.coalesce("start_us", "lo"))
+    e = e.withColumn("w", F.least(F.lit(window_us), floor_div(F.col("hi") - F.col("lo"), 3)))
+    long = e.where(F.col("w") >= least_us)
+    first = stream_lag(poses, imu, long.select("seq", "lo", (F.col("lo") + F.col("w")).alias("hi"))).select("seq", F.col("lag_ms").alias("first_ms"))
+    last = stream_lag(poses, imu, long.select("seq", (F.col("hi") - F.col("w")).alias("lo"), "hi")).select("seq", F.col("lag_ms").alias("last_ms"))
+    return e.select("seq").join(first, "seq", "left").join(last, "seq", "left").select("seq", "first_ms", "last_ms", (F.col("last_ms") - F.col("first_ms")).alias("drift_ms"))

@@ -86,7 +86,7 @@ def l08_diversified(spark: SparkSession, d: str) -> DataFrame:
     from sensorloom.operators import asof
 
     b = blur(spark, d).where("rate is not null and us is not null")
-    j = asof.interpolate(asof.bracket(b.select("seq", "name", "us", "rate"), poses(spark, d), "seq", "us", "us", ["x", "y", "z"]), "us", ["x", "y", "z"])
+    j = asof.interpolate(asof.bracket(b.select("seq", "name", "us", "rate"), poses(spark, d), "seq", "us", "us", ["x", "y", "z"], tie="line"), "us", ["x", "y", "z"])
     c = j.where("at_x is not null").select("seq", "name", "rate", *[F.col(f"at_{a}").alias(a) for a in "xyz"])
     return greedy.spaced(c, ["seq"], ["rate", "name"], "name", 0.5, most=10)
 

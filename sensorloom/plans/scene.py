@@ -206,44 +206,53 @@ def f17_support(spark: SparkSession, d: str) -> DataFrame:
     return pj.supported(s, PIXEL[:3]).groupBy("rec_id").agg(F.count("*").alias("pixels"))
 
 
+REACH = 12.0  # metres that a scanner sees
+
+
 def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Scans: points of one 400-line block in the frame of its first pose; the cloud in every scan's frame."""
+    """Scans: points of one 400-line block in the frame of its first pose; the cloud in the frames of the scans it may be seen from."""
     p = poses(spark, d).where("abs(x) < 1000 and abs(y) < 1000 and abs(z) < 1000").withColumn("scan_no", keys.cell(F.col("line"), 400))
-    base = p.groupBy("seq", "scan_no").agg(F.min_by("tmat", "line").alias("m"))
-    own = p.join(base, ["seq", "scan_no"])
-    cloud = p.select("seq", "line", "x", "y", "z").join(base, "seq")
+    base = p.groupBy("seq", "scan_no").agg(F.min_by("tmat", "line").alias("tmat"))
+    own = p.drop("tmat").join(base.select("seq", "scan_no", F.col("tmat").alias("_sensor")), ["seq", "scan_no"])
+    cloud = pj.scans_near(p.select("seq", "line", "x", "y", "z"), base, ["seq"], REACH)
 
     def local(df: DataFrame) -> DataFrame:
-        q = geo.apply_inverse(F.col("m"), geo.point(F.col("x"), F.col("y"), F.col("z")))
-        return df.withColumn("q", q).select(F.struct("seq", "scan_no").alias("scan"), F.struct("seq", "line").alias("pid"), *[F.col(f"q.{c}").alias(c) for c in "xyz"])
+        q = geo.apply_inverse(F.col("_sensor"), geo.point(F.col("x"), F.col("y"), F.col("z")))
+        q = df.withColumn("q", q).select(F.struct("seq", "scan_no").alias("scan"), F.struct("seq", "line").alias("pid"), *[F.col(f"q.{c}").alias(c) for c in "xyz"])
+        return q.withColumn("r", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).where(F.col("r") < REACH)
 
     return local(own), local(cloud)
 
 
-def _votes(spark: SparkSession, d: str, farthest: bool) -> DataFrame:
-    own, cloud = _scans(spark, d)
-    point = geo.point(F.col("x"), F.col("y"), F.col("z"))
-    ring = F.floor(geo.elevation_degrees(point) / 10).cast("int")
-    r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    image = pj.range_image(own.where(r > 0.3), "scan", 4.0, ring, farthest)
-    seen = cloud.where(r > 0.3).select("scan", "pid", ring.alias("ring"), geo.azimuth_bin(F.col("x"), F.col("y"), 4.0).alias("az"), r.alias("r"))
-    return pj.see_through_votes(seen, image, "scan", "pid").select("pid.seq", "pid.line", "free", "hit", "dynamic")
+def _ring(degrees: float):
+    """Number of the elevation ring from the bottom, 0 .. 180/degrees - 1."""
+    e = geo.elevation_degrees(geo.point(F.col("x"), F.col("y"), F.col("z")))
+    return F.least(F.floor((e + 90) / degrees), F.lit(round(180 / degrees) - 1)).cast("int")
 
 
 def j20_vote_join(spark: SparkSession, d: str) -> DataFrame:
-    return _votes(spark, d, False)
+    own, cloud = _scans(spark, d)
+    image = pj.range_image(own.where("r > 0.3"), "scan", 4.0, _ring(10))
+    seen = cloud.where("r > 0.3").select("scan", "pid", _ring(10).alias("ring"), geo.azimuth_bin(F.col("x"), F.col("y"), 4.0).alias("az"), "r")
+    return pj.see_through_votes(seen, image, "scan", "pid").select("pid.seq", "pid.line", "free", "hit", "dynamic")
 
 
 def j21_carve(spark: SparkSession, d: str) -> DataFrame:
-    return _votes(spark, d, True)
+    """Scans that see through a reading: farthest returns, in coarse bins (60 by 45 degrees) so that paths fill whole neighbourhoods."""
+    own, cloud = _scans(spark, d)
+    image = pj.range_image(own.where("r > 0"), "scan", 45.0, _ring(60), True)
+    seen = cloud.where("r > 0.5").select("scan", "pid", _ring(60).alias("ring"), geo.azimuth_bin(F.col("x"), F.col("y"), 45.0).alias("az"), "r")
+    return pj.free_votes(seen, pj.clear_image(image, "scan", 3, 8), "scan", "pid").select("pid.seq", "pid.line", "free")
 
 
 def j23_multires_member(spark: SparkSession, d: str) -> DataFrame:
+    """Readings in space that the views have occupied: coarse leaves that at least three views share, fine ones for the rest."""
     p = _points(spark, d)
-    c = sp.with_cells(p.where("line % 2 = 0"), 0.25).where("line % 4 = 0").groupBy("seq", F.shiftright("ix", 2).alias("kx"), F.shiftright("iy", 2).alias("ky"), F.shiftright("iz", 2).alias("kz")).agg(F.count("*").alias("n"))
-    leaves = c.where("n >= 3").select("seq", F.lit(6).alias("depth"), "kx", "ky", "kz")
-    fine = sp.with_cells(p.where("line % 7 = 0"), 0.25).select("seq", F.lit(8).alias("depth"), F.col("ix").alias("kx"), F.col("iy").alias("ky"), F.col("iz").alias("kz")).distinct()
-    k = sp.member_of_levels(p, leaves.unionByName(fine), ["seq"], 0.25, [6, 8], 8)
+    v = views(spark, d).select("seq", *[F.col("tmat")[i].alias(c) for c, i in zip("xyz", (3, 7, 11))])
+    c = sp.with_cells(v, 0.25).where("ix is not null and iy is not null and iz is not null")
+    coarse = c.groupBy("seq", *[F.shiftright(f"i{a}", 2).alias(f"k{a}") for a in "xyz"]).agg(F.count("*").alias("n")).where("n >= 3").select("seq", F.lit(6).alias("depth"), "kx", "ky", "kz")
+    fine = c.select("seq", F.lit(8).alias("depth"), *[F.col(f"i{a}").alias(f"k{a}") for a in "xyz"]).distinct()
+    k = sp.member_of_levels(p, coarse.unionByName(fine), ["seq"], 0.25, [6, 8], 8)
     return k.groupBy("seq", "known").agg(F.count("*").alias("n"))
 
 
@@ -396,8 +405,9 @@ ORACLE = {
     "j18_visibility_any": f"""WITH {_PROJ}, zb AS (SELECT rec_id, u, v, min(z) AS depth FROM hits GROUP BY ALL), j AS (SELECT h.*, depth FROM hits h JOIN zb USING (rec_id, u, v))
         SELECT seq, line, bool_or(depth > 0 AND abs(z - depth) < 0.05::DOUBLE * depth) AS surface, bool_or(depth <= 0 OR z <= depth * 1.05::DOUBLE) AS open, bool_or(depth <= 0 OR z < depth * 1.05::DOUBLE OR z < depth + 0.15::DOUBLE) AS fill FROM j GROUP BY ALL""",
     "j19_view_counts": f"WITH {_PROJ} SELECT seq, line, count(*) AS any_views, count(*) FILTER (WHERE rng < 5) AS good_views FROM hits GROUP BY ALL",
-    "j23_multires_member": f"""WITH {_PTS}, c AS ({_cell(0.25)}), big AS (SELECT seq, ix >> 2 AS kx, iy >> 2 AS ky, iz >> 2 AS kz FROM c WHERE line % 4 = 0 GROUP BY ALL HAVING count(*) >= 3), fine AS (SELECT DISTINCT seq, ix, iy, iz FROM c WHERE line % 7 = 0)
-        SELECT seq, EXISTS (SELECT 1 FROM big b WHERE b.seq = c.seq AND b.kx = c.ix >> 2 AND b.ky = c.iy >> 2 AND b.kz = c.iz >> 2) OR EXISTS (SELECT 1 FROM fine f WHERE f.seq = c.seq AND f.ix = c.ix AND f.iy = c.iy AND f.iz = c.iz) AS known, count(*) AS n FROM c GROUP BY ALL""",
+    "j23_multires_member": f"""WITH {_PTS}, {VIEWS}, c AS ({_cell(0.25)}), v AS (SELECT seq, {', '.join(f'CAST(floor(tmat[{i}] / 0.25::DOUBLE) AS BIGINT) AS v{c}' for c, i in zip('xyz', (4, 8, 12)))} FROM views WHERE tmat[4] IS NOT NULL AND tmat[8] IS NOT NULL AND tmat[12] IS NOT NULL AND NOT isnan(tmat[4]) AND NOT isnan(tmat[8]) AND NOT isnan(tmat[12])),
+        big AS (SELECT seq, vx >> 2 AS kx, vy >> 2 AS ky, vz >> 2 AS kz FROM v GROUP BY ALL HAVING count(*) >= 3)
+        SELECT seq, EXISTS (SELECT 1 FROM big b WHERE b.seq = c.seq AND b.kx = c.ix >> 2 AND b.ky = c.iy >> 2 AND b.kz = c.iz >> 2) OR EXISTS (SELECT 1 FROM v f WHERE f.seq = c.seq AND f.vx = c.ix AND f.vy = c.iy AND f.vz = c.iz) AS known, count(*) AS n FROM c GROUP BY ALL""",
     "j24_grid_lookup": f"WITH {_PTS}, {VIEWS}, s AS (SELECT seq, ix, iy FROM ({_cell(0.5)}) GROUP BY ALL HAVING count(*) > 10) SELECT rec_id, s.ix IS NOT NULL AS solid FROM views v LEFT JOIN s ON s.seq = v.seq AND s.ix = CAST(floor(tmat[4] / 0.5::DOUBLE) AS BIGINT) AND s.iy = CAST(floor(tmat[8] / 0.5::DOUBLE) AS BIGINT)",
     "j26_theta_pairs": f"WITH {_VPOS} SELECT a.seq, a.split = b.split AS within, count(*) AS pairs FROM v a JOIN v b ON a.seq = b.seq AND a.rec_id <> b.rec_id AND a.rec_id % 20 = 0 WHERE a.split IS NOT NULL AND b.split IS NOT NULL AND {_DIST} <= 1.5 AND {_DIST} > 0.3 AND a.tmat[3] * b.tmat[3] + a.tmat[7] * b.tmat[7] + a.tmat[11] * b.tmat[11] > 0.8 GROUP BY ALL",
     "j27_neighbour_pairs": f"""WITH {_VPOS}, n AS (SELECT a.rec_id AS p, b.rec_id AS q, a.tmat AS m, b.tmat AS o FROM v a JOIN v b ON a.seq = b.seq AND a.rec_id <> b.rec_id AND a.rec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.rec_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.rec_id) <= 4)
@@ -428,20 +438,22 @@ ORACLE["x_keys"] = f"""WITH {_PTS}, {_KEYED} SELECT seq, line, ((ix + 1048576) <
     CAST({_bits(*[f'((i{c} - m{c}) & 1023)' for c in 'xyz'])} AS BIGINT) AS morton, {_azimuth('x', 'y', 0.5)} AS azimuth FROM c JOIN lo USING (seq)"""
 
 
-def _vote_sql(best: str) -> str:
+def _scan_sql(ring: int, az: float) -> str:
+    """CTEs own and cloud: (seq, [line,] scan, ring, az, r) of each reading in its own scan, and in every scan of its recording within reach."""
     local = ", ".join(f"m[{i + 1}] * (x - m[4]) + m[{i + 5}] * (y - m[8]) + m[{i + 9}] * (z - m[12]) AS q{c}" for i, c in enumerate("xyz"))
-    binned = f"CAST(floor(degrees(asin(qz / r)) / 10) AS INTEGER) AS ring, {_azimuth('qx', 'qy', 4.0)} AS az, r"
-    return f"""WITH {_PTS}, base AS (SELECT seq, line // 400 AS scan, arg_min(tmat, line) AS m FROM pts GROUP BY ALL),
-    own AS (SELECT p.seq, b.scan, {local} FROM pts p JOIN base b ON b.seq = p.seq AND b.scan = p.line // 400), own_r AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS r FROM own),
-    image AS (SELECT seq, scan, ring, az, {best}(r) AS far FROM (SELECT seq, scan, {binned} FROM own_r WHERE r > 0.3) GROUP BY ALL),
-    cloud AS (SELECT p.seq, p.line, b.scan, {local} FROM pts p JOIN base b ON b.seq = p.seq), cloud_r AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS r FROM cloud),
-    seen AS (SELECT seq, line, scan, {binned} FROM cloud_r WHERE r > 0.3),
-    v AS (SELECT s.seq, s.line, count(*) FILTER (WHERE far > s.r + (0.10::DOUBLE + 0.01::DOUBLE * s.r)) AS free, count(*) FILTER (WHERE abs(far - s.r) <= 0.10::DOUBLE + 0.01::DOUBLE * s.r) AS hit FROM seen s JOIN image i ON i.seq = s.seq AND i.scan = s.scan AND i.ring = s.ring AND i.az = s.az GROUP BY ALL)
-    SELECT seq, line, free, hit, free >= 3 AND free > 2 * hit AS dynamic FROM v"""
+    binned = f"CAST(least(floor((degrees(asin(qz / r)) + 90) / {ring}), {180 // ring - 1}) AS INTEGER) AS ring, {_azimuth('qx', 'qy', az)} AS az, r"
+    far = f"SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS r FROM"
+    return f"""{_PTS}, base AS (SELECT seq, line // 400 AS scan, arg_min(tmat, line) AS m FROM pts GROUP BY ALL),
+    own AS (SELECT seq, scan, {binned} FROM ({far} (SELECT p.seq, b.scan, {local} FROM pts p JOIN base b ON b.seq = p.seq AND b.scan = p.line // 400)) WHERE r > 0 AND r < {REACH}),
+    cloud AS (SELECT seq, line, scan, {binned} FROM ({far} (SELECT p.seq, p.line, b.scan, {local} FROM pts p JOIN base b ON b.seq = p.seq)) WHERE r > 0 AND r < {REACH})"""
 
 
-ORACLE["j20_vote_join"] = _vote_sql("min")
-ORACLE["j21_carve"] = _vote_sql("max")
+ORACLE["j20_vote_join"] = f"""WITH {_scan_sql(10, 4.0)}, image AS (SELECT seq, scan, ring, az, min(r) AS far FROM own WHERE r > 0.3 GROUP BY ALL),
+    v AS (SELECT s.seq, s.line, count(*) FILTER (WHERE far > s.r + (0.10::DOUBLE + 0.01::DOUBLE * s.r)) AS free, count(*) FILTER (WHERE abs(far - s.r) <= 0.10::DOUBLE + 0.01::DOUBLE * s.r) AS hit FROM cloud s JOIN image i ON i.seq = s.seq AND i.scan = s.scan AND i.ring = s.ring AND i.az = s.az WHERE s.r > 0.3 GROUP BY ALL)
+    SELECT seq, line, free, hit, free >= 3 AND free > 2 * hit AS dynamic FROM v"""
+ORACLE["j21_carve"] = f"""WITH {_scan_sql(60, 45.0)}, image AS (SELECT seq, scan, ring, az, max(r) AS far FROM own GROUP BY ALL), full_ AS (SELECT b.*, ring, az FROM (SELECT DISTINCT seq, scan FROM image) b, range(3) a(ring), range(8) c(az)),
+    clear AS (SELECT f.seq, f.scan, f.ring, f.az, min(coalesce(i.far, 0)) AS far FROM full_ f, range(-1, 2) p(dr), range(-1, 2) q(da) LEFT JOIN image i ON i.seq = f.seq AND i.scan = f.scan AND i.ring = (f.ring + dr + 3) % 3 AND i.az = (f.az + da + 8) % 8 GROUP BY ALL)
+    SELECT s.seq, s.line, count(*) FILTER (WHERE c.far > 0 AND c.far > s.r + 0.10::DOUBLE + 0.02::DOUBLE * s.r) AS free FROM cloud s LEFT JOIN clear c ON c.seq = s.seq AND c.scan = s.scan AND c.ring = s.ring AND c.az = s.az WHERE s.r > 0.5 GROUP BY ALL"""
 ORACLE["a17_surface_depth"] = f"""WITH {_PROJ}, s AS (SELECT rec_id, u, v, z, greatest(1, least(6, ceil(0.5 * {FX}::DOUBLE * 0.05::DOUBLE / z)))::INT AS radius FROM hits WHERE z > 0.5),
     p AS (SELECT rec_id, u + du AS u, v + dv AS v, z, radius, du, dv FROM s, range(-5, 6) a(du), range(-5, 6) b(dv) WHERE abs(du) < radius AND abs(dv) < radius AND u + du BETWEEN 0 AND {W - 1} AND v + dv BETWEEN 0 AND {H - 1}),
     k AS (SELECT *, exp(-1.0::DOUBLE * (du * du + dv * dv) / (0.5::DOUBLE * radius * radius)) AS w FROM (SELECT *, min(z) OVER (PARTITION BY rec_id, u, v) AS z0 FROM p) WHERE z <= 1.02::DOUBLE * z0)

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sensorloom.functions import geometry as geo
 from sensorloom.operators import asof, gating, ordered, sync
 from sensorloom.plans.base import BLUR, FRAMES, IMU, POSES, blur, frames, imu, poses
-from sensorloom.session import table
+from sensorloom.session import cut_lineage, table
 
 XYZ = ["x", "y", "z"]
 
 
 def _frames_on_poses(spark: SparkSession, d: str) -> DataFrame:
-    return asof.bracket(frames(spark, d).select("frame_id", "seq", "us"), poses(spark, d), "seq", "us", "us", XYZ)
+    return asof.bracket(frames(spark, d).select("frame_id", "seq", "us"), poses(spark, d), "seq", "us", "us", XYZ, tie="line")
 
 
 def j01_asof_interp(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def j01_asof_interp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j01_asof_slerp(spark: SparkSession, d: str) -> DataFrame:
-    b = asof.bracket(frames(spark, d).select("frame_id", "seq", "us"), imu(spark, d).where("quat is not null"), "seq", "us", "us", ["quat"])
+    b = asof.bracket(frames(spark, d).select("frame_id", "seq", "us"), imu(spark, d).where("quat is not null"), "seq", "us", "us", ["quat"], tie="line")
     q = geo.slerp(F.col("before.quat"), F.col("after.quat"), asof.weight(F.col("us")))
     b = b.where("before is not null and after is not null").select("frame_id", q.alias("q"))
     return b.select("frame_id", F.round(geo.quat_norm(F.col("q")), 6).alias("norm"), *[F.round(F.abs(F.col("q")[c]), 5).alias(f"q{c}") for c in "wxyz"])
@@ -44,7 +44,7 @@ def j04_asof_tol(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j05_nearest_asof(spark: SparkSession, d: str) -> DataFrame:
-    b = asof.bracket(frames(spark, d).select("frame_id", "seq", "us"), poses(spark, d), "seq", "us", "us", ["line"])
+    b = asof.bracket(frames(spark, d).select("frame_id", "seq", "us"), poses(spark, d), "seq", "us", "us", ["line"], tie="line")
     return b.select("frame_id", asof.nearest(b, "us")["line"].alias("line")).where("line is not null")
 
 
@@ -141,7 +141,7 @@ def w16_slot_best(spark: SparkSession, d: str) -> DataFrame:
 def w17_deskew_bins(spark: SparkSession, d: str) -> DataFrame:
     """One interpolated position a 2 ms bin of the depth clock."""
     bins = frames(spark, d).select("seq", (F.bround(F.col("depth_us") / 2000) * 2000).cast("bigint").alias("us")).distinct()
-    b = asof.bracket(bins, poses(spark, d), "seq", "us", "us", XYZ)
+    b = asof.bracket(bins, poses(spark, d), "seq", "us", "us", XYZ, tie="line")
     return asof.interpolate(b, "us", ["x"]).select("seq", "us", F.round("at_x", 4).alias("x"))
 
 
@@ -160,7 +160,8 @@ def _gated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f04_motion_gate(spark: SparkSession, d: str) -> DataFrame:
-    g = gating.motion_gate(_gated(spark, d), "seq", "omega", 0.6, F.coalesce(F.col("rate") <= 1.0, F.lit(False)))
+    rated = cut_lineage(_gated(spark, d))  # a row a frame; the percentile, the gate and the split read it instead of the IMU track
+    g = gating.motion_gate(rated, "seq", "omega", 0.6, F.coalesce(F.col("rate") <= 1.0, F.lit(False)))
     return ordered.holdout(g.where("kept"), ["seq"], "us", ["frame_id"], 8).select("frame_id", F.round("threshold", 6).alias("threshold"), "split")
 
 
@@ -188,11 +189,16 @@ def f12_robust_box(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a46_xcorr(spark: SparkSession, d: str) -> DataFrame:
-    return sync.stream_lag(sync.turn_rates(poses(spark, d)), imu(spark, d)).select("seq", "lag", F.round("lag_ms", 3).alias("lag_ms"))
+    i = imu(spark, d)
+    return sync.stream_lag(poses(spark, d), i, sync.track_ends(i)).select("seq", "lag", F.round("lag_ms", 3).alias("lag_ms"))
 
 
 def a47_drift(spark: SparkSession, d: str) -> DataFrame:
-    return sync.clock_drift(sync.turn_rates(poses(spark, d)), imu(spark, d)).select("seq", "first_lag", "last_lag", "drift_ms")
+    """Lags of the first and last ten seconds, after the preamble."""
+    i = imu(spark, d)
+    first = i.groupBy("seq").agg(F.min("us").alias("us"))
+    ends = sync.preamble_end(sync.motion_windows(i)).join(first, "seq").select("seq", (F.col("us") + F.col("end_window") * 1_000_000).alias("start_us"))
+    return sync.clock_drift(poses(spark, d), i, ends).select("seq", *[F.round(c, 3).alias(c) for c in ("first_ms", "last_ms", "drift_ms")])
 
 
 def a05_path_length(spark: SparkSession, d: str) -> DataFrame:

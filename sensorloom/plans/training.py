@@ -21,13 +21,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_series(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (grid.regular_series(i).select(F.lit(t).alias("track"), F.col("source").alias("seq"), "slot", "readings", "coverage", "averages", "state") for t, i in _tracks(spark, d))
+    """Every cell of every recording: how many readings, how much of it is covered, the time-weighted means, and its state."""
+    imu, pose = grid.imu_readings(table(spark, d, "imu_track")), grid.pose_readings(table(spark, d, "pose_track"))
+    means = F.transform("averages", lambda v: F.round(v, 6)).alias("averages")
+    a, b = (grid.whole_series(r).select(F.lit(t).alias("track"), F.col("source").alias("seq"), "slot", "readings", F.round("coverage", 6).alias("coverage"), means, "state") for t, r in (("imu", imu), ("pose", pose)))
     return a.unionByName(b)
 
 
 def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     g = p2_series(spark, d).groupBy("track", "seq")
-    return g.agg(F.count("*").alias("slots"), F.count_if(F.col("state") == "filled").alias("filled"), F.sum(F.round(F.col("coverage") * grid.SLOT_US).cast("bigint")).alias("covered_us"))
+    return g.agg(F.count("*").alias("slots"), F.count_if(F.col("state") == "filled").alias("filled"), F.count_if(F.col("state") == "missing").alias("missing"), F.sum(F.round(F.col("coverage") * grid.SLOT_US).cast("bigint")).alias("covered_us"))
 
 
 def _flags(spark: SparkSession, d: str, factor: float | None = None) -> list[tuple[str, DataFrame, DataFrame]]:
@@ -58,18 +61,20 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_series, p2_coverage, p5_found, p
 
 _GRID = """
 valid AS (
-  SELECT DISTINCT 'imu' AS track, seq, line, CAST(round(t * 1e6) AS BIGINT) AS us FROM imu_track
+  SELECT DISTINCT 'imu' AS track, seq, line, CAST(round(t * 1e6) AS BIGINT) AS us, [omega.x, omega.y, omega.z] AS vals FROM imu_track
   WHERE seq IS NOT NULL AND line IS NOT NULL AND t IS NOT NULL AND NOT isnan(t) AND NOT isnan(omega.x) AND NOT isnan(omega.y) AND NOT isnan(omega.z)
     AND omega.x IS NOT NULL AND omega.y IS NOT NULL AND omega.z IS NOT NULL
   UNION ALL
-  SELECT DISTINCT 'pose', seq, line, CAST(round(t * 1e6) AS BIGINT) FROM pose_track
+  SELECT DISTINCT 'pose', seq, line, CAST(round(t * 1e6) AS BIGINT), [tmat[4], tmat[8], tmat[12]] FROM pose_track
   WHERE seq IS NOT NULL AND line IS NOT NULL AND t IS NOT NULL AND NOT isnan(t) AND len(list_filter(tmat[1:12], lambda v: v IS NOT NULL AND NOT isnan(v))) = 12
 ), intervals AS (
-  SELECT track, seq, us, lead(us) OVER (PARTITION BY track, seq ORDER BY us, line) AS next_us FROM valid
+  SELECT track, seq, us, vals, lead(us) OVER (PARTITION BY track, seq ORDER BY us, line) AS next_us FROM valid
 ), held AS (
-  SELECT track, seq, us, CASE WHEN next_us - us <= 60000000 THEN next_us END AS until FROM intervals
+  SELECT track, seq, us, vals, CASE WHEN next_us - us <= 60000000 THEN next_us END AS until FROM intervals
 ), cells AS (
-  SELECT track, seq, us, coalesce(until, us) AS until, us // 100000 AS first, coalesce(until, us) // 100000 AS last, unnest(range(us // 100000, coalesce(until, us) // 100000 + 1)) AS slot FROM held
+  SELECT track, seq, us, vals, coalesce(until, us) AS until, us // 100000 AS first, coalesce(until, us) // 100000 AS last, unnest(range(us // 100000, coalesce(until, us) // 100000 + 1)) AS slot FROM held
+), gone AS (
+  SELECT track, seq, unnest(range(us // 100000 + 1, next_us // 100000)) AS slot FROM intervals WHERE next_us - us > 60000000
 )
 """
 
@@ -163,8 +168,15 @@ _SPIKES = f"{_spike_sql('imu')}, {_spike_sql('pose')}"
 ORACLE = {
     "p2_found": f"WITH {_GRID} SELECT track, seq, slot FROM cells WHERE slot > first AND slot < last",
     "p2_coverage": f"""WITH {_GRID}, slots AS (
-        SELECT track, seq, slot, count(*) FILTER (WHERE slot = first) AS readings, sum(least(until, (slot + 1) * 100000) - greatest(us, slot * 100000)) AS held FROM cells GROUP BY ALL)
-        SELECT track, seq, count(*) AS slots, count(*) FILTER (WHERE readings = 0) AS filled, CAST(sum(least(held, 100000)) AS BIGINT) AS covered_us FROM slots GROUP BY ALL""",
+        SELECT track, seq, slot, count(*) FILTER (WHERE slot = first) AS readings, sum(least(until, (slot + 1) * 100000) - greatest(us, slot * 100000)) AS held FROM cells GROUP BY ALL),
+        g AS (SELECT track, seq, count(*) AS missing FROM gone GROUP BY ALL)
+        SELECT s.track, s.seq, count(*) + coalesce(any_value(missing), 0) AS slots, count(*) FILTER (WHERE readings = 0) AS filled, coalesce(any_value(missing), 0) AS missing, CAST(sum(least(held, 100000)) AS BIGINT) AS covered_us
+        FROM slots s LEFT JOIN g ON g.track = s.track AND g.seq = s.seq GROUP BY s.track, s.seq""",
+    "p2_series": f"""WITH {_GRID}, parts AS (SELECT *, least(until, (slot + 1) * 100000) - greatest(us, slot * 100000) AS held FROM cells), slots AS (
+        SELECT track, seq, slot, count(*) FILTER (WHERE slot = first) AS readings, sum(held) AS held,
+          [{', '.join(f'CASE WHEN sum(held) > 0 THEN sum(held * vals[{i}]) / sum(held) ELSE avg(vals[{i}]) FILTER (WHERE slot = first) END' for i in (1, 2, 3))}] AS averages FROM parts GROUP BY ALL)
+        SELECT track, seq, slot, readings, round(least(1, held / 100000), 6) AS coverage, list_transform(averages, lambda v: round(v, 6)) AS averages, CASE WHEN readings = 0 THEN 'filled' WHEN held >= 100000 THEN 'measured' ELSE 'partial' END AS state FROM slots
+        UNION ALL SELECT track, seq, slot, 0, 0.0, NULL, 'missing' FROM gone""",
     "p5_found": f"WITH {_SPIKES} {_found_sql('imu')} UNION ALL ({_found_sql('pose')})",
     "p5_tails": f"WITH {_SPIKES} {_tails_sql('imu', spikes.IMU_CHANNELS)} UNION ALL {_tails_sql('pose', spikes.POSE_CHANNELS)}",
 }

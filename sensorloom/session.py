@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +32,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and continue from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local
-    session without that setting gets a folder of its own.
+    Only a session whose executors are threads of this process (local, local[n]) and that has
+    no such setting gets a temporary folder of its own, removed when the process ends.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="sensorloom-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
+    return own
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder (shared_folder) and continue from the written copy."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="sensorloom-checkpoint-")
-        sc.setCheckpointDir(shared)
+        folder = shared_folder(df.sparkSession)
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -59,18 +59,29 @@ def read_metric_records(spark: SparkSession, root: str, max_depth: int = 7) -> D
 
 
 def labelled(records: DataFrame) -> DataFrame:
-    """records without chains through per_camera or a whole number, with set_name, background and a clean tag.
+    """records without chains through per_camera or a whole number, each once, with background, label and set_name.
 
-    grey wins over black where a name has both; the words are cut from tag and set.
+    Records of one pred_dir are one, else those of one path and chain. The background is sought
+    in pred_dir, file name and tag, in their own case, grey before black. The words _black and
+    _grey are cut from label and set, folders of these names from the set, which ends in the
+    background in brackets.
     """
     odd = F.exists("chain", lambda c: (c == "per_camera") | c.rlike("^[0-9]+$"))
-    tag = F.coalesce("tag", F.when(F.size("chain") > 0, F.array_join("chain", "/")), F.regexp_extract("path", r"([^/]*?)(\.[^.]*)?$", 1))
-    folder = F.element_at(F.split("path", "/"), -3)
-    set_name = F.when(F.size("chain") > 1, F.array_join(F.array_except(F.slice("chain", 2, F.size("chain")), F.array("tag")), "/")).otherwise(folder)
-    hint = F.lower(F.concat_ws("/", "path", tag))
+    parts = F.split("path", "/")
+    file = F.element_at(parts, -1)
+    tag = F.coalesce(F.nullif("tag", F.lit("")), F.when(F.size("chain") > 0, F.array_join("chain", "/")), F.regexp_replace(file, r"(?<=.)\.[^.]*$", ""))
+    inner = F.when(F.size("chain") > 1, F.array_join(F.filter(F.slice("chain", F.lit(2), F.size("chain")), lambda c: c != F.col("_tag")), "/"))
+    folder = F.when(F.size(parts) >= 3, F.element_at(parts, -3)).otherwise("")
+    hint = F.concat(F.coalesce("pred_dir", F.lit("")), F.lit("/"), file, F.lit("/"), F.col("_tag"))
     background = F.when(hint.contains("grey"), "grey").when(hint.contains("black"), "black").otherwise("bg?")
     cut = lambda c: F.replace(F.replace(c, F.lit("_black"), F.lit("")), F.lit("_grey"), F.lit(""))
-    return records.where(~odd).select("*", background.alias("background"), cut(tag).alias("label"), cut(set_name).alias("set_name"))
+    key = F.coalesce(F.nullif("pred_dir", F.lit("")), F.concat_ws("\x00", "path", F.to_json("chain")))
+    r = records.where(~odd).withColumn("_tag", tag).withColumn("_key", key)
+    whole = F.struct(*[F.col(c) for c in r.columns])
+    once = r.groupBy("_key").agg(F.min_by(whole, F.struct("path", "chain")).alias("_r")).select("_r.*")
+    folders = F.filter(F.split(cut(F.coalesce(F.nullif(inner, F.lit("")), folder)), "/"), lambda c: ~c.isin("black", "grey"))
+    named = F.concat(F.array_join(folders, "/"), F.lit(" ["), F.col("background"), F.lit("]"))
+    return once.withColumn("background", background).select(*records.columns, "background", cut(F.col("_tag")).alias("label"), named.alias("set_name"))
 
 
 def merge(base: dict, over: dict) -> dict:

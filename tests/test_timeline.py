@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -123,15 +124,58 @@ def test_geometry(spark):
         assert "unit length" in str(e)
 
 
-def test_lag_is_found(spark):
+def _slow_lag(pose, imu, lo, hi, step=5_000, most=10):
+    """Lag by plain loops: rates on the grid, circular sums, first maximum, parabola."""
+    import numpy as np
+
+    grid = np.arange(lo, hi, step)
+    a = np.interp(grid, [u for u, _ in imu], [w for _, w in imu])
+    angle = np.interp(grid, [u for u, _ in pose], [t for _, t in pose])  # turns about one axis add up
+    inside = (grid >= pose[0][0]) & (grid <= pose[-1][0])
+    b = np.zeros(len(grid))
+    k = np.flatnonzero(inside)
+    b[k[:-1]] = np.abs(np.diff(angle[k])) / (step / 1e6)
+    b[k[-1]] = b[k[-2]]
+    a, b = a - a.mean(), b - b.mean()
+    c = [float(np.dot(np.roll(a, s), b)) for s in range(-most, most + 1)]
+    i = int(np.argmax(c))
+    fine = i + 0.5 * (c[i - 1] - c[i + 1]) / (c[i - 1] - 2 * c[i] + c[i + 1]) if 0 < i < 2 * most else i
+    return i - most, (fine - most) * step / 1e3
+
+
+def test_lag_matches_plain_loops(spark):
     rnd = random.Random(7)
-    wave = [abs(rnd.gauss(0, 1)) for _ in range(400)]
-    imu = spark.createDataFrame([("a", i * 40_000, wave[i], 0.0, 0.0) for i in range(400)], "seq string, us bigint, ox double, oy double, oz double")
-    rates = spark.createDataFrame([("a", (i + 3) * 40_000, wave[i]) for i in range(400)], "seq string, us bigint, rate double")
-    x = sync.stream_lag(rates, imu).first()
-    assert x.lag == 3 and abs(x.lag_ms - 120) < 20
-    flat = spark.createDataFrame([("a", i * 40_000, 1.0, 0.0, 0.0) for i in range(50)], "seq string, us bigint, ox double, oy double, oz double")
-    assert sync.stream_lag(rates, flat).first().lag == 0
+
+    def rate(t):
+        return 0.5 + 0.3 * math.sin(3.1 * t) + 0.2 * math.sin(17 * t + 1)
+
+    poses, imu, want = [], [], {}
+    for seq, shift, length in (("a", 0.0, 4.0), ("b", 0.02, 6.1), ("c", -0.035, 2.0)):
+        t, angle, pose, gyro = 0.0, 0.0, [], []
+        while t < length:
+            pose.append((BASE + int(t * 1e6), angle))
+            step = rnd.choice([0.01, 0.017])
+            angle += sum(rate(t + step * (i + 0.5) / 20) * step / 20 for i in range(20))
+            t += step
+        t = -0.1
+        while t < length + 0.1:
+            gyro.append((BASE + int(t * 1e6), rate(t + shift)))
+            t += 0.005
+        poses += [(seq, u, i, [math.cos(x), -math.sin(x), 0.0, 0.0, math.sin(x), math.cos(x), 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]) for i, (u, x) in enumerate(pose)]
+        imu += [(seq, u, i, 0.0, 0.0, w) for i, (u, w) in enumerate(gyro)]
+        want[seq] = _slow_lag(pose, gyro, gyro[0][0], gyro[-1][0])
+    p = spark.createDataFrame(poses, "seq string, us bigint, line bigint, tmat array<double>")
+    i = spark.createDataFrame(imu, "seq string, us bigint, line bigint, ox double, oy double, oz double")
+    got = {x.seq: x for x in sync.stream_lag(p, i, sync.track_ends(i)).collect()}
+    assert {k: x.lag for k, x in got.items()} == {k: v[0] for k, v in want.items()} and want["b"][0] == 4
+    assert all(abs(got[k].lag_ms - want[k][1]) < 1e-3 for k in want)
+    small = sync.circular_products(sync.common_grid(p, i, sync.track_ends(i)), 10, 64).collect()
+    whole = {x.seq: x.c for x in sync.circular_products(sync.common_grid(p, i, sync.track_ends(i)), 10, 10_000).collect()}
+    assert all(abs(u - v) < 1e-9 for x in small for u, v in zip(x.c, whole[x.seq]))
+    flat = i.withColumn("oz", F.lit(1.0))
+    assert {x.lag for x in sync.stream_lag(p, flat, sync.track_ends(flat)).collect()} == {0}
+    drift = {x.seq: x for x in sync.clock_drift(p, i, window_us=1_500_000, least_us=1_000_000).collect()}
+    assert drift["b"].drift_ms == drift["b"].last_ms - drift["b"].first_ms and drift["c"].first_ms is None
 
 
 def test_preamble(spark):
@@ -150,3 +194,13 @@ def test_preamble(spark):
     x = sync.preamble_end(sync.motion_windows(d)).first()
     assert x.swings >= 4 and x.end_window == 8
     assert sync.preamble_end(sync.motion_windows(d.where("us >= 8000000"))).first().end_window is None
+
+
+def test_of_equal_times_the_first_line_counts(spark):
+    readings = [("a", 10, 5, 1.0), ("a", 10, 2, 2.0), ("a", 10, 9, 3.0), ("a", 20, 7, 4.0), ("a", 20, 6, 5.0), ("a", 130, 1, 6.0), ("a", 130, 0, 7.0), ("b", 10, 0, 8.0)]
+    asked = [("a", 10, 0), ("a", 15, 1), ("a", 20, 2), ("a", 60, 3), ("a", 5, 4), ("a", 200, 5), ("a", None, 6), (None, 10, 7), ("c", 10, 8)]
+    r = spark.createDataFrame(readings, "seq string, us bigint, line bigint, v double")
+    for seed in range(3):
+        left = spark.createDataFrame(asked, "seq string, at bigint, k bigint")
+        got = {x.k: (x.before and x.before.v, x.after and x.after.v) for x in asof.bracket(left, r.orderBy(F.rand(seed)), "seq", "at", "us", ["v"], 100, tie="line").collect()}
+        assert got == {0: (2.0, 2.0), 1: (2.0, 5.0), 2: (5.0, 5.0), 3: (5.0, 7.0), 4: (None, 2.0), 5: (7.0, None), 6: (None, None), 7: (None, None), 8: (None, None)}
