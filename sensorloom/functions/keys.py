@@ -27,10 +27,14 @@ def flat_index(ix: Column, iy: Column, iz: Column, nx: int, ny: int, nz: int) ->
     return F.when(inside, (ix * ny + iy) * nz + iz)
 
 
+# Shifts and masks that spread ten bits to every third of thirty.
+SPREAD = ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249))
+
+
 def _spread(v: Column) -> Column:
     """Ten bits to every third of thirty, by shifts that halve in width."""
     v = v.bitwiseAND(0x3FF)
-    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+    for shift, mask in SPREAD:
         v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(mask)
     return v
 

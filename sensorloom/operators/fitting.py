@@ -142,6 +142,23 @@ def floor_plane(
     return top.join(total, by).where(F.col("inliers") >= min_share * F.col("_total")).drop("_total")
 
 
+def geometry_scores(found: DataFrame, truth: DataFrame, by: list[str], row_id: str, thresholds: list[float], size: float) -> DataFrame:
+    """(by, threshold, precision, recall, f): shares of found points near the truth and of true points near what was found.
+
+    Near is strictly closer than the threshold to the nearest neighbour; f is 0 where both
+    shares are. Groups that lack one side have no row. size is the first cell of the search.
+    """
+
+    def shares(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        nn = nearest_neighbours(a, b.withColumnRenamed(row_id, "_other"), by, 1, size, row_id, "_other")
+        return nn.groupBy(*by).agg(*[F.avg((F.col("distance") < t).cast("double")).alias(f"{name}{i}") for i, t in enumerate(thresholds)])
+
+    j = shares(found, truth, "p").join(shares(truth, found, "r"), by)
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"p{i}").alias("precision"), F.col(f"r{i}").alias("recall")) for i, t in enumerate(thresholds)])
+    p, r = F.col("precision"), F.col("recall")
+    return j.select(*by, F.explode(rows).alias("z")).select(*by, "z.*").withColumn("f", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
+
+
 def register(source: DataFrame, target: DataFrame, by: list[str], row_id: str, reach: float = 0.5, rounds: int = 10, trim: float = 0.8, min_pairs: int = 20, gain: float = 0.9) -> DataFrame:
     """(by, before, after, kept, tmat): iterated closest points of source onto target, the nearest `trim` of the pairs within `reach`.
 
@@ -218,6 +235,36 @@ def k_medians_1d(values: DataFrame, by: list[str], value: str, max_k: int = 5, d
     return h.groupBy(*by).applyInPandas(solve, f"{kinds}, k int, centres array<double>")
 
 
+def step_levels(points: DataFrame, by: list[str], cell: float, quantile: float = 0.95, evidence: int = 2, max_levels: int = 4, drop: float = 0.35, bin_size: float = 0.01) -> DataFrame:
+    """(by, u, v, level) for every cell of the box of the cells with evidence: the height of the step there.
+
+    A cell with at least `evidence` points has the interpolated quantile of their heights; the
+    levels are k-medians of these heights (k_medians_1d), and each cell takes the nearest. Cells
+    without take that of the nearest cell with evidence (of equally near ones the smallest u,
+    then v); then every cell takes the median of its 3x3 cells, edges repeated.
+    """
+    from sensorloom.operators.spatial import with_cells
+
+    c = with_cells(points, cell).groupBy(*by, F.col("ix").alias("u"), F.col("iy").alias("v")).agg(F.percentile("z", quantile).alias("_h"), F.count("*").alias("_n"))
+    tops = cut_lineage(c.where(F.col("_n") >= evidence).drop("_n"))
+    levels = k_medians_1d(tops, by, "_h", max_levels, drop, bin_size)
+    near = F.array_min(F.transform("centres", lambda m: F.struct(F.abs(m - F.col("_h")).alias("d"), m.alias("m"))))
+    known = cut_lineage(tops.join(levels, by).select(*by, "u", "v", near["m"].alias("level")))
+    box = tops.groupBy(*by).agg(*[f(a).alias(f"_{e}{a}") for a in "uv" for e, f in (("lo", F.min), ("hi", F.max))])
+    grid = box.withColumn("u", F.explode(F.sequence("_lou", "_hiu"))).withColumn("v", F.explode(F.sequence("_lov", "_hiv")))
+    place = [F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), F.lit(0.0).alias("z")]
+    empty = grid.join(known, [*by, "u", "v"], "left_anti").select(*by, F.struct("u", "v").alias("_to"), *place)
+    nn = nearest_neighbours(empty, known.select(*by, F.struct("u", "v").alias("_from"), *place), by, 1, 2.0, "_to", "_from")
+    filled = nn.select(*by, F.col("_to.u").alias("_u"), F.col("_to.v").alias("_v"), F.col("_from.u").alias("u"), F.col("_from.v").alias("v")).join(known, [*by, "u", "v"])
+    whole = cut_lineage(known.unionByName(filled.select(*by, F.col("_u").alias("u"), F.col("_v").alias("v"), "level")))
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    around = grid.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps))
+    at = {a: F.greatest(f"_lo{a}", F.least(f"_hi{a}", F.col(a) + F.col(o))) for a, o in (("u", "_a"), ("v", "_b"))}
+    around = around.select(*by, F.struct("u", "v").alias("_to"), at["u"].alias("u"), at["v"].alias("v"))
+    nine = around.join(whole, [*by, "u", "v"]).groupBy(*by, "_to").agg(F.array_sort(F.collect_list("level")).alias("_l"))  # nine values
+    return nine.select(*by, "_to.u", "_to.v", F.col("_l")[4].alias("level"))
+
+
 def spatial_clusters(points: DataFrame, row_id: str, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows with cluster, medoids): k-means over positions and the row nearest to each centre."""
     from pyspark.ml.clustering import KMeans

@@ -219,3 +219,22 @@ def bootstrap_interval(df: DataFrame, by: list[str], order: str, value: str, res
     ci = m.groupBy(*by).agg(F.percentile("m", F.array(F.lit((1 - coverage) / 2), F.lit((1 + coverage) / 2))).alias("q"))
     mean = b.groupBy(*by).agg((F.sum("_s") / F.sum("_k")).alias("mean"))
     return mean.join(ci, by).select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def two_level_sweep(entities: DataFrame, by: list[str], cost, reach: int, coarse: int, fine: int) -> DataFrame:
+    """(by, candidate, cost): the candidate of least cost per entity, of equal ones the smallest.
+
+    Candidates are -reach, -reach + coarse, .. reach, then the best one's surroundings up to a
+    coarse step in fine steps. cost takes (by, candidate) and gives (by, candidate, cost) of
+    all of them at once; candidates whose cost is null or NaN are skipped.
+    """
+    from sensorloom.session import cut_lineage
+
+    def least(candidates: DataFrame) -> DataFrame:
+        c = cost(candidates).where(F.col("cost").isNotNull() & ~F.isnan("cost"))
+        return c.groupBy(*by).agg(F.min(F.struct("cost", "candidate")).alias("_b")).select(*by, "_b.candidate", "_b.cost")
+
+    steps = F.sequence(F.lit(-reach), F.lit(reach), F.lit(coarse))
+    first = cut_lineage(least(entities.select(*by, F.explode(steps).alias("candidate"))))
+    around = F.sequence(F.col("candidate") - coarse, F.col("candidate") + coarse, F.lit(fine))
+    return least(first.select(*by, F.explode(around).alias("candidate")))

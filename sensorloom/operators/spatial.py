@@ -197,5 +197,37 @@ def components(cells: DataFrame, by: list[str], axes: Sequence[str] = ("ix", "iy
     return labels.select(*by, *[F.col(f"node.{a}").alias(a) for a in axes], F.col("label").alias("component"))
 
 
+def curve_order(points: DataFrame, by: list[str], row_id: str, crowded: int = 256) -> DataFrame:
+    """points with rank: the order along a space-filling curve of 1024 cells an axis over the group's box, from 1.
+
+    Rows that share a cell with more than `crowded` others are ordered along a curve of their
+    own box, and so on; rows that stay together (all in one place) are in order of row_id.
+    Every round writes the rows with one more code; only whether crowded cells are left comes
+    to the driver.
+    """
+    from sensorloom.functions.keys import morton
+    from sensorloom.operators.ordered import running
+
+    rows = points.select(*by, row_id, *XYZ).withColumn("_path", F.array().cast("array<bigint>"))
+    least = 0
+    while True:
+        ends = [f(c).alias(f"_{e}{c}") for c in XYZ for e, f in (("lo", F.min), ("hi", F.max))]
+        boxes = rows.groupBy(*by, "_path").agg(F.count("*").alias("_n"), *ends).where((F.col("_n") > least) & F.greatest(*[F.col(f"_hi{c}") > F.col(f"_lo{c}") for c in XYZ]))
+        boxes = cut_lineage(boxes.drop("_n"))
+        if boxes.isEmpty():
+            break
+        j = rows.join(boxes, [*by, "_path"], "left")
+        cells = []
+        for c in XYZ:
+            wide = F.col(f"_hi{c}") - F.col(f"_lo{c}")
+            cells.append(F.when(wide > 0, F.least(F.lit(1023), F.floor((F.col(c) - F.col(f"_lo{c}")) * (1024.0 / wide)))).otherwise(0).cast("bigint"))
+        code = F.when(F.col("_lox").isNotNull(), F.concat("_path", F.array(morton(*cells)))).otherwise(F.col("_path"))
+        rows = cut_lineage(j.select(*by, row_id, *XYZ, code.alias("_path")))
+        least = crowded
+    ordered = rows.withColumn("_at", F.coalesce(F.get("_path", F.lit(0)), F.lit(0).cast("bigint")))
+    r = running(ordered, by, "_at", ["_path", row_id], name="rank", block=1 << 15)
+    return r.select(*by, row_id, *XYZ, (F.col("rank") + 1).cast("bigint").alias("rank"))
+
+
 def bucket(x: Column, size: float) -> Column:
     return cell(x, size)

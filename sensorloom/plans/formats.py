@@ -124,7 +124,7 @@ def j32_icp(spark: SparkSession, d: str) -> DataFrame:
     p = sp.voxel_first(_points(spark, d).select("seq", "line", "x", "y", "z"), ["seq"], 0.3, "line").select("seq", "line", "x", "y", "z")
     moved = p.select("seq", "line", (F.col("x") + 0.04).alias("x"), (F.col("y") - 0.03).alias("y"), "z")
     r = fitting.register(moved, p, ["seq"], "line", 0.5, 3)
-    return r.select("seq", (F.round("before", 3) <= 0.051).alias("near"), "kept", (F.col("after") < 0.01).alias("registered"))
+    return r.select("seq", *[F.round(c, 4).alias(c) for c in ("before", "after")], "kept", *[F.round(F.col("tmat")[i], 3).alias(n) for n, i in (("tx", 3), ("ty", 7), ("tz", 11))])
 
 
 def i08_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ def i08_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
 def a48_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_id is not null")
     b = rel.bootstrap_interval(e, ["event_type"], "event_id", "value")
-    return b.select("event_type", F.round("mean", 4).alias("mean"), (F.col("low") <= F.col("high")).alias("ordered"))
+    return b.select("event_type", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
 
 
 QUERIES = {

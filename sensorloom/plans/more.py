@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import geometry as geo
 from sensorloom.functions import keys
-from sensorloom.operators import gating, grids
+from sensorloom.operators import fitting, gating, grids
 from sensorloom.operators import relational as rel
 from sensorloom.operators import spatial as sp
 from sensorloom.plans.base import BLUR, IMU, POSES, blur, imu, poses
@@ -71,14 +71,21 @@ def x11_transfer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w19_morton_order(spark: SparkSession, d: str) -> DataFrame:
-    """Readings in the order of a space-filling curve over their recording's own box, ties by line."""
-    from pyspark.sql.window import Window
+    """Readings in the order of a space-filling curve over their recording's own box, crowded cells ordered in boxes of their own, ties by line."""
+    return sp.curve_order(_points(spark, d).select("seq", "line", "x", "y", "z"), ["seq"], "line").select("seq", "line", "rank")
 
+
+def a56_top_level(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of each recording's tops: heights of cells with at least two readings, their levels, cells without evidence as their nearest, smoothed."""
     p = _points(spark, d)
-    ends = p.groupBy("seq").agg(*[f(c).alias(f"{e}_{c}") for c in "xyz" for e, f in (("lo", F.min), ("hi", F.max))])
-    codes = [keys.quantise(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), 1023) for c in "xyz"]
-    j = p.join(ends, "seq").select("seq", "line", keys.morton(*codes).alias("code"))
-    return j.select("seq", "line", "code", F.row_number().over(Window.partitionBy("seq").orderBy("code", "line")).alias("rank"))
+    return fitting.step_levels(p.select("seq", "x", "y", "z"), ["seq"], 1.0).select("seq", "u", "v", F.round("level", 6).alias("level"))
+
+
+def j34_absorb(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of every 100 readings, every third of them partial: which are taken up by which."""
+    p = _points(spark, d).withColumn("part", keys.cell(F.col("line"), 100))
+    b = p.groupBy("seq", "part").agg(*[f(c).alias(f"{e}_{c}") for c in "xyz" for e, f in (("lo", F.min), ("hi", F.max))])
+    return grids.absorb_boxes(b.withColumn("cut", F.col("part") % 3 == 0), ["seq"], "part", "cut", ("x", "y", "z"), 0.06, 4.0)
 
 
 def k07_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -86,18 +93,18 @@ def k07_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s03_imu_log(spark: SparkSession, d: str) -> DataFrame:
-    """IMU readings written as text rows and parsed again: how many, and the largest rate."""
+    """IMU readings written as text rows and parsed again, moved by half a second: how many, the largest rate, and the ends."""
     i = imu(spark, d).where("quat is not null")
     cols = [F.col("us").cast("string"), *[F.format_string("%.6f", c) for c in ("ox", "oy", "oz", "ax", "ay", "az")], *[F.lit("0")] * 3, *[F.format_string("%.6f", f"quat.{c}") for c in "wxyz"]]
     lines = i.select(F.col("seq").alias("path"), F.col("line").alias("line_no"), F.concat_ws(" ", *cols).alias("value"))
     r = text.imu_log(lines, 0.5)
-    return r.groupBy("path").agg(F.count("*").alias("n"), F.max("omega.x").alias("fastest"), (F.min("t") > 1.0e9).alias("seconds"))
+    return r.groupBy("path").agg(F.count("*").alias("n"), F.max("omega.x").alias("fastest"), F.round(F.min("t"), 5).alias("first"), F.round(F.max("t"), 5).alias("last"), F.round(F.avg("quat.w"), 5).alias("mean_w"))
 
 
 _P = f"{POSES}, pts AS (SELECT * FROM poses WHERE abs(x) < 1000 AND abs(y) < 1000 AND abs(z) < 1000)"
 _MAP = f"{_P}, m AS (SELECT seq, CAST(floor(x / 0.5::DOUBLE) AS BIGINT) AS u, CAST(floor(y / 0.5::DOUBLE) AS BIGINT) AS v, max(z) + 10 AS top FROM pts GROUP BY ALL)"
 
-QUERIES = {f.__name__: f for f in (f08_height_bands, f16_depth_edges, f18_isolated, a33_label_vote, a37_log_histogram, j34_box_merge, x08_projections, x11_transfer, w19_morton_order, k07_markdown, s03_imu_log)}
+QUERIES = {f.__name__: f for f in (f08_height_bands, f16_depth_edges, f18_isolated, a33_label_vote, a37_log_histogram, j34_box_merge, j34_absorb, a56_top_level, x08_projections, x11_transfer, w19_morton_order, k07_markdown, s03_imu_log)}
 
 ORACLE = {
     "f08_height_bands": f"WITH {_P}, h AS (SELECT seq, z - 0.3::DOUBLE AS h FROM pts) SELECT seq, count(*) FILTER (WHERE abs(h) < 0.05) AS ground, count(*) FILTER (WHERE h > 0.03 AND h < 1.2) AS band, count(*) FILTER (WHERE h BETWEEN 1.2 AND 2.5) AS above FROM h GROUP BY seq",
@@ -112,11 +119,19 @@ ORACLE = {
         SELECT l_discount, round(a, 9) AS same, round(c * c * (3 - 2 * c), 9) AS ramp, round(1 - pow(1 - a, 1 / 3), 9) AS shared, round(-(a * ln(a) + (1 - a) * ln(1 - a)), 9) AS entropy, round(a, 9) AS colour FROM r""",
 }
 
-_CODED = f"""{_P}, e AS (SELECT seq, {', '.join(f'min({c}) AS l{c}, max({c}) AS h{c}' for c in 'xyz')} FROM pts GROUP BY seq),
-  q AS (SELECT seq, line, {', '.join(f'CAST(greatest(0, least(1023, floor(CASE WHEN h{c} - l{c} < 1e-5 THEN 0 ELSE ({c} - l{c}) / (h{c} - l{c}) END * 1023 + 0.5::DOUBLE))) AS BIGINT) AS k{c}' for c in 'xyz')} FROM pts JOIN e USING (seq))"""
-ORACLE["w19_morton_order"] = f"""WITH {_CODED}, c AS (SELECT seq, line, CAST({' + '.join(f'list_sum(list_transform(range(10), lambda i: ((k{c} >> i) & 1) << (3 * i + {n})))' for n, c in enumerate('xyz'))} AS BIGINT) AS code FROM q)
-  SELECT seq, line, code, CAST(row_number() OVER (PARTITION BY seq ORDER BY code, line) AS INTEGER) AS rank FROM c"""
+
+def _curve_sql(name: str, rows: str, group: str) -> str:
+    """Rows with `{name}`: the code of the curve over the box of their group; 0 where the box is a point."""
+    cell = lambda c: f"CASE WHEN h{c} > l{c} THEN CAST(least(1023, floor(({c} - l{c}) * (1024.0::DOUBLE / (h{c} - l{c})))) AS BIGINT) ELSE 0 END"
+    code = " + ".join(f"list_sum(list_transform(range(10), lambda i: ((k{c} >> i) & 1) << (3 * i + {n})))" for n, c in enumerate("xyz"))
+    ends = ", ".join(f"min({c}) OVER (PARTITION BY {group}) AS l{c}, max({c}) OVER (PARTITION BY {group}) AS h{c}" for c in "xyz")
+    return f"SELECT * EXCLUDE (kx, ky, kz), CAST({code} AS BIGINT) AS {name} FROM (SELECT * EXCLUDE ({', '.join(f'l{c}, h{c}' for c in 'xyz')}), {', '.join(f'{cell(c)} AS k{c}' for c in 'xyz')} FROM (SELECT *, {ends} FROM {rows}))"
+
+
+# Two rounds of the curve, which are enough here; the operator goes on while cells are crowded.
+ORACLE["w19_morton_order"] = f"""WITH {_P}, a AS ({_curve_sql('c1', '(SELECT seq, line, x, y, z FROM pts)', 'seq')}), b AS ({_curve_sql('c2', 'a', 'seq, c1')}),
+  n AS (SELECT *, count(*) OVER (PARTITION BY seq, c1) AS k FROM b) SELECT seq, line, row_number() OVER (PARTITION BY seq ORDER BY c1, CASE WHEN k > 256 THEN c2 ELSE 0 END, line) AS rank FROM n"""
 ORACLE["x08_projections"] = f"""WITH {_P}, a AS (SELECT seq, line, x, y, z + 1.5::DOUBLE AS z, sqrt(x * x + y * y) AS r, sqrt(x * x + y * y + (z + 1.5::DOUBLE) * (z + 1.5::DOUBLE)) AS n FROM pts), t AS (SELECT *, atan2(r, z) AS th FROM a),
   k AS (SELECT *, CASE WHEN r > 1e-12 THEN th * (1 + th * th * (0.01::DOUBLE + th * th * -0.002::DOUBLE)) / r ELSE 1 END AS ratio FROM t)
   SELECT seq, line, round(300.0::DOUBLE * x * ratio + 160, 3) AS fish_u, round(300.0::DOUBLE * y * ratio + 120, 3) AS fish_v, round((atan2(x, z) / (2 * pi()) + 0.5::DOUBLE) * 2048, 3) AS pano_u, round((asin(y / n) / pi() + 0.5::DOUBLE) * 1024, 3) AS pano_v FROM k"""
-ORACLE["s03_imu_log"] = f"WITH {IMU} SELECT seq AS path, count(*) AS n, max(printf('%.6f', ox)::DOUBLE) AS fastest, true AS seconds FROM imu WHERE quat IS NOT NULL GROUP BY seq"
+ORACLE["s03_imu_log"] = f"""WITH {IMU} SELECT seq AS path, count(*) AS n, max(printf('%.6f', ox)::DOUBLE) AS fastest, round(min(us) / 1e6 + 0.5::DOUBLE, 5) AS first, round(max(us) / 1e6 + 0.5::DOUBLE, 5) AS last, round(avg(printf('%.6f', quat.w)::DOUBLE), 5) AS mean_w FROM imu WHERE quat IS NOT NULL GROUP BY seq"""

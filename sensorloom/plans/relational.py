@@ -9,6 +9,8 @@ from sensorloom.functions import keys
 from sensorloom.operators import gating
 from sensorloom.operators import relational as rel
 from sensorloom.operators.spatial import voxel_mean
+from sensorloom.operators.fitting import geometry_scores
+from sensorloom.operators.regular_grid import micros
 from sensorloom.plans.base import BLUR, FRAMES, IMU, POSES, VIEWS, blur, frames, imu, poses, views
 from sensorloom.session import table
 
@@ -105,9 +107,12 @@ def a28_case_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a29_fscore(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_linestatus", F.when(F.col("l_returnflag") == "N", "p").otherwise("r").alias("side"), (F.col("l_discount") * 1.0).alias("dist"))
-    s = rel.scores_at(li, ["l_linestatus"], "side", "dist", [0.02, 0.05, 0.1])
-    return s.select("l_linestatus", "threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+    """How well the views of a recording lie on its path: distances to the nearest neighbour both ways, at three thresholds."""
+    rec = views(spark, d).select("seq", F.col("rec_id").alias("id"), *[F.col("tmat")[i].alias(c) for c, i in zip("xyz", (3, 7, 11))])
+    whole = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 1000" for c in "xyz")
+    truth = poses(spark, d).select("seq", F.col("line").alias("id"), "x", "y", "z")
+    s = geometry_scores(rec.where(whole), truth.where(whole), ["seq"], "id", [0.01, 0.05, 0.1], 0.2)
+    return s.select("seq", "threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 
 def a30_depth_report(spark: SparkSession, d: str) -> DataFrame:
@@ -168,10 +173,18 @@ def j12_accept_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j31_sweep_argmin(spark: SparkSession, d: str) -> DataFrame:
-    """Clock offset, of 41 candidates, that brings the mean of rate - offset closest to 0.5 per recording."""
-    b = blur(spark, d).where("rate is not null").groupBy("seq").agg(F.round(F.avg("rate"), 9).alias("m"))
-    c = b.withColumn("k", F.explode(F.sequence(F.lit(-20), F.lit(20)))).withColumn("cost", F.round(F.abs(F.col("m") - F.col("k") * 0.05 - 0.5), 8))
-    return c.groupBy("seq").agg(F.min_by("k", F.struct("cost", "k")).alias("best"), F.min("cost").alias("cost"))
+    """Clock offset of each recording's frames, in ms, at which the gyro's rate is closest to the stated one: 100 ms to both sides in steps of 20, then 20 in steps of 4 around the best."""
+    f = table(spark, d, "per_frame").where("seq is not null and name is not null and t is not null and not isnan(t) and omega_mocap is not null and not isnan(omega_mocap)")
+    f = f.groupBy("seq", "name").agg(F.min("t").alias("t"), F.min("omega_mocap").alias("stated")).select("seq", "name", micros(F.col("t")).alias("us"), "stated")
+    gyro = imu(spark, d)
+
+    def cost(candidates: DataFrame) -> DataFrame:
+        moved = f.join(candidates, "seq").withColumn("at", F.col("us") + F.col("candidate") * 1000)
+        r = gating.rate_at(moved, gyro, "at")
+        return r.groupBy("seq", "candidate").agg(F.round(F.avg(F.abs(F.col("omega") - F.col("stated"))), 7).alias("cost"))
+
+    best = rel.two_level_sweep(f.select("seq").distinct(), ["seq"], cost, 100, 20, 4)
+    return best.select("seq", "candidate", "cost")
 
 
 def j33_cache(spark: SparkSession, d: str) -> DataFrame:
@@ -286,6 +299,15 @@ def s21_json_tree(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), keys.first_object(F.col("props")).isNotNull().alias("parses"))
 
 
+def _sweep_sql(name: str, candidates: str) -> str:
+    """CTEs {name}_best: seq, candidate and cost of the best of the candidates."""
+    value = lambda c: f"coalesce(p.{c} + (n.{c} - p.{c}) * CASE WHEN n.us > p.us THEN (m.at - p.us) / (n.us - p.us) ELSE 0 END, p.{c}, n.{c})"
+    rate = f"sqrt({' + '.join(f'pow({value(c)}, 2)' for c in ('ox', 'oy', 'oz'))})"
+    return f"""{name}_m AS (SELECT f.seq, stated, candidate, us + candidate * 1000 AS at FROM f JOIN {candidates} k ON k.seq = f.seq),
+        {name}_c AS (SELECT m.seq, m.candidate, round(avg(abs({rate} - stated)), 7) AS cost FROM {name}_m m ASOF LEFT JOIN imu p ON m.seq = p.seq AND m.at >= p.us ASOF LEFT JOIN imu n ON m.seq = n.seq AND m.at <= n.us GROUP BY ALL),
+        {name}_best AS (SELECT * FROM {name}_c WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq ORDER BY cost, candidate) = 1)"""
+
+
 _P = f"{POSES}, pts AS (SELECT seq, line, x, y, z FROM poses WHERE abs(x) < 1000 AND abs(y) < 1000 AND abs(z) < 1000)"
 
 QUERIES = {
@@ -323,8 +345,11 @@ ORACLE = {
     "a27_overlap_classes": """WITH e AS (SELECT l_returnflag, l_quantity, unnest(list_filter([CASE WHEN l_extendedprice < 20000 THEN 'cheap' END, CASE WHEN month(l_shipdate) > 9 THEN 'late' END, CASE WHEN l_quantity >= 40 THEN 'big' END], lambda v: v IS NOT NULL)) AS class FROM lineitem), t AS (SELECT l_returnflag, sum(l_quantity) AS s FROM lineitem GROUP BY 1)
         SELECT e.l_returnflag, class, count(*) AS rows, round(sum(l_quantity) / any_value(s), 6) AS weight_share FROM e JOIN t USING (l_returnflag) GROUP BY ALL""",
     "a28_case_classes": f"WITH {BLUR}, c AS (SELECT seq, CASE WHEN rate IS NULL THEN 'unknown' WHEN rate <= 0.2 THEN 'sharp' WHEN rate <= 1 AND used = 1 THEN 'usable' WHEN rate <= 1 THEN 'unused' ELSE 'blurred' END AS class, count(*) OVER (PARTITION BY seq) AS total FROM blur) SELECT seq, class, count(*) AS n, round(count(*) / any_value(total), 6) AS share FROM c GROUP BY ALL",
-    "a29_fscore": """WITH t AS (SELECT l_linestatus, th AS threshold, avg((l_discount < th)::INT) FILTER (WHERE l_returnflag = 'N') AS p, avg((l_discount < th)::INT) FILTER (WHERE l_returnflag <> 'N') AS r FROM lineitem CROSS JOIN (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) v(th) GROUP BY ALL)
-        SELECT l_linestatus, threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f FROM t""",
+    "a29_fscore": f"""WITH {_P}, {VIEWS}, v AS (SELECT seq, rec_id, tmat[4] AS x, tmat[8] AS y, tmat[12] AS z FROM views WHERE {' AND '.join(f'tmat[{i}] IS NOT NULL AND NOT isnan(tmat[{i}]) AND abs(tmat[{i}]) < 1000' for i in (4, 8, 12))}),
+        j AS (SELECT v.seq, rec_id, line, sqrt(pow(v.x - p.x, 2) + pow(v.y - p.y, 2) + pow(v.z - p.z, 2)) AS d FROM v JOIN pts p ON p.seq = v.seq),
+        a AS (SELECT seq, rec_id, min(d) AS d FROM j GROUP BY ALL), b AS (SELECT seq, line, min(d) AS d FROM j GROUP BY ALL), th AS (SELECT * FROM (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) t(threshold)),
+        p AS (SELECT seq, threshold, avg((d < threshold)::INT) AS p FROM a, th GROUP BY ALL), r AS (SELECT seq, threshold, avg((d < threshold)::INT) AS r FROM b, th GROUP BY ALL)
+        SELECT p.seq, p.threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f FROM p JOIN r ON p.seq = r.seq AND p.threshold = r.threshold""",
     "a30_depth_report": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS pred FROM lineitem GROUP BY 1), o AS (SELECT o_orderpriority, o_totalprice AS gt, pred, abs(pred - o_totalprice) AS e FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
         SELECT o_orderpriority, round(count(pred) / count(*), 6) AS coverage, round(avg(e / gt), 5) AS abs_rel, round(median(e), 3) AS median_abs, round(avg((e < 0.05 * gt)::INT), 6) AS within5 FROM o GROUP BY 1""",
     "a31_gate": f"""WITH {BLUR}, b AS (SELECT seq, round(count(rate) / count(*), 6) AS k, round(quantile_cont(rate, 0.5), 6) AS m, max(omega) AS f FROM blur GROUP BY seq),
@@ -340,8 +365,9 @@ ORACLE = {
     "j11_anti": f"WITH {_FB} SELECT frame_id FROM frames f WHERE NOT EXISTS (SELECT 1 FROM blur b WHERE f.seq = b.seq AND f.rgb_name = b.name AND used = 1)",
     "j12_accept_gate": """WITH p AS (SELECT p_brand AS set, avg(p_retailprice) FILTER (WHERE p_size % 2 = 0) AS b1, avg(p_retailprice) FILTER (WHERE p_size % 2 = 1) AS c1, avg(p_size / 100) FILTER (WHERE p_size % 2 = 0) AS b2, avg(p_size / 100) FILTER (WHERE p_size % 2 = 1) AS c2 FROM part GROUP BY 1),
         l AS (SELECT set, 'psnr' AS metric, round(c1, 4) - round(b1, 4) AS delta FROM p UNION ALL SELECT set, 'lpips', round(c2, 6) - round(b2, 6) FROM p) SELECT set, metric, round(delta, 4) AS delta, CASE WHEN metric = 'lpips' THEN delta > 0.002 ELSE delta < -0.05 END AS worse FROM l WHERE delta IS NOT NULL""",
-    "j31_sweep_argmin": f"""WITH {BLUR}, m AS (SELECT seq, round(avg(rate), 9) AS m FROM blur WHERE rate IS NOT NULL GROUP BY 1), c AS (SELECT seq, CAST(k AS INTEGER) AS k, round(abs(m - k * 0.05::DOUBLE - 0.5::DOUBLE), 8) AS cost FROM m CROSS JOIN range(-20, 21) r(k))
-        SELECT seq, k AS best, cost FROM c QUALIFY row_number() OVER (PARTITION BY seq ORDER BY cost, k) = 1""",
+    "j31_sweep_argmin": f"""WITH {IMU}, f AS (SELECT seq, name, CAST(round(min(t) * 1e6) AS BIGINT) AS us, min(omega_mocap) AS stated FROM per_frame WHERE seq IS NOT NULL AND name IS NOT NULL AND t IS NOT NULL AND NOT isnan(t) AND omega_mocap IS NOT NULL AND NOT isnan(omega_mocap) GROUP BY ALL),
+        {_sweep_sql('a', "(SELECT seq, unnest(range(-100, 101, 20)) AS candidate FROM (SELECT DISTINCT seq FROM f))")}, {_sweep_sql('b', "(SELECT seq, unnest(range(candidate - 20, candidate + 21, 4)) AS candidate FROM a_best)")}
+        SELECT seq, CAST(candidate AS INTEGER) AS candidate, cost FROM b_best""",
     "j33_cache": "WITH d AS (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents WHERE text IS NOT NULL) SELECT source, count(*) AS calls, count(*) FILTER (WHERE doc_id <> first_id) AS hits FROM d GROUP BY 1",
     "u01_union_reduce": f"""WITH {_P}, {VIEWS}, u AS (SELECT seq, x, y, z FROM pts UNION ALL SELECT seq, tmat[4], tmat[8], tmat[12] FROM views) SELECT seq, {', '.join(f'CAST(floor({c} / 0.5::DOUBLE) AS BIGINT) AS i{c}' for c in 'xyz')}, count(*) AS n, round(avg(x), 4) AS x FROM u GROUP BY 1, 2, 3, 4""",
     "u02_offset_union": "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey + 1000000, c_name FROM customer",

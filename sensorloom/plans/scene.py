@@ -108,11 +108,6 @@ def a54_height_map(spark: SparkSession, d: str) -> DataFrame:
     return sp.with_cells(_points(spark, d), 0.3).groupBy("seq", "ix", "iy").agg(F.max("z").alias("top"))
 
 
-def a56_top_level(spark: SparkSession, d: str) -> DataFrame:
-    g = sp.with_cells(_points(spark, d), 1.0).groupBy("seq", "ix", "iy").agg(F.percentile("z", 0.95).alias("p"), F.count("*").alias("n")).where("n >= 2")
-    return g.select("seq", "ix", "iy", (F.bround(F.col("p") / 0.25) * 0.25).alias("level"))
-
-
 def a42_morphology(spark: SparkSession, d: str) -> DataFrame:
     c = sp.with_cells(_points(spark, d), 0.5).select("seq", "ix", "iy").distinct()
     ops = [("dilate", sp.dilate), ("erode", sp.erode), ("close", sp.close), ("open", sp.open_)]
@@ -359,7 +354,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a06_voxel_mean, a07_voxel_first, a08_voxel_attribute, a09_voxel_bound, a10_scan_votes, a11_occupancy, a12_group_median, a13_lower_median, a14_zbuffer, a15_nearest_payload, a17_surface_depth,
-        a26_max_weight_views, a32_argbest, a34_persistence, a35_bin_coverage, a36_hist_peaks, a40_outliers, a41_components, a42_morphology, a54_height_map, a56_top_level, f17_support,
+        a26_max_weight_views, a32_argbest, a34_persistence, a35_bin_coverage, a36_hist_peaks, a40_outliers, a41_components, a42_morphology, a54_height_map, f17_support,
         j13_nn1, j14_knn, j15_bounded_nn, j16_radius, j17_guard, j18_visibility_any, j19_view_counts, j20_vote_join, j21_carve, j23_multires_member, j24_grid_lookup, j26_theta_pairs, j27_neighbour_pairs, j28_ratio_test, j30_iou,
         w12_composite, w13_ray_expand, x_keys, x_turns,
     )
@@ -396,7 +391,6 @@ ORACLE = {
         SELECT seq, line, round(md, 5) AS mean_distance, md <= avg(md) OVER (PARTITION BY seq) + 2.0::DOUBLE * stddev_pop(md) OVER (PARTITION BY seq) AS kept FROM m""",
     "a42_morphology": f"WITH {_MORPH} SELECT seq, 'dilate' AS op, count(*) AS cells FROM di GROUP BY seq UNION ALL SELECT seq, 'erode', count(*) FROM er GROUP BY seq UNION ALL SELECT seq, 'close', count(*) FROM cl GROUP BY seq UNION ALL SELECT seq, 'open', count(*) FROM op GROUP BY seq",
     "a54_height_map": f"WITH {_PTS} SELECT seq, ix, iy, max(z) AS top FROM ({_cell(0.3)}) GROUP BY ALL",
-    "a56_top_level": f"WITH {_PTS} SELECT seq, ix, iy, round_even(quantile_cont(z, 0.95) / 0.25::DOUBLE, 0) * 0.25::DOUBLE AS level FROM ({_cell(1.0)}) GROUP BY ALL HAVING count(*) >= 2",
     "j13_nn1": f"WITH {_ANSWER} SELECT seq, line, near_line, round(sqrt(d2), 6) AS distance FROM near WHERE near_line <> line QUALIFY row_number() OVER (PARTITION BY seq, line ORDER BY d2, near_line) = 1",
     "j14_knn": f"WITH {_ANSWER} SELECT seq, line, near_line, CAST(row_number() OVER (PARTITION BY seq, line ORDER BY d2, near_line) AS INTEGER) AS rank FROM near WHERE near_line <> line QUALIFY rank <= 8",
     "j15_bounded_nn": f"WITH {_ANSWER} SELECT a.seq, a.line, (SELECT arg_min(near_line, {{'d': d2, 'l': near_line}}) FROM near n WHERE n.seq = a.seq AND n.line = a.line AND n.near_line <> n.line AND d2 <= 0.0025::DOUBLE) AS near_line FROM pts a WHERE line % 20 = 0",

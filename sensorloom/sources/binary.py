@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -55,7 +55,7 @@ def ply_vertices(data: bytes) -> pd.DataFrame:
 
 
 def pcd_points(data: bytes) -> pd.DataFrame:
-    """Points of an ascii or binary PCD; compressed bodies are an error."""
+    """Points of an ascii or binary PCD; of fields with several values the first is given, padding fields (_) are skipped. Compressed bodies are an error."""
     head: dict[str, list[str]] = {}
     at = 0
     while True:
@@ -67,14 +67,17 @@ def pcd_points(data: bytes) -> pd.DataFrame:
             if w[0] == "DATA":
                 break
     names, n = head["FIELDS"], int(head["POINTS"][0])
+    counts = [int(c) for c in head.get("COUNT", ["1"] * len(names))]
+    places = np.cumsum([0, *counts])[:-1]
+    wanted = {f: k for k, f in enumerate(names) if f != "_"}
     if head["DATA"][0] == "ascii":
-        rows = [list(map(float, x.split())) for x in data[at:].decode("ascii").splitlines()[:n]]
-        return pd.DataFrame(rows, columns=names)
+        rows = [x.split() for x in data[at:].decode("ascii").splitlines()[:n]]
+        return pd.DataFrame({f: [float(r[places[k]]) for r in rows] for f, k in wanted.items()}, columns=list(wanted))
     if head["DATA"][0] != "binary":
         raise ValueError("compressed PCD is not supported")
     kinds = [{"F": "f", "I": "i", "U": "u"}[t] + s for t, s in zip(head["TYPE"], head["SIZE"])]
-    a = np.frombuffer(data, np.dtype([(f, "<" + k) for f, k in zip(names, kinds)]), n, at)
-    return pd.DataFrame({f: a[f].astype(float) for f in names})
+    a = np.frombuffer(data, np.dtype([(f"f{k}", "<" + kind, (c,)) for k, (kind, c) in enumerate(zip(kinds, counts))]), n, at)
+    return pd.DataFrame({f: a[f"f{k}"][:, 0].astype(float) for f, k in wanted.items()}, columns=list(wanted))
 
 
 def _points(files: DataFrame, decode, columns: list[str]) -> DataFrame:
@@ -101,15 +104,38 @@ def read_pcd(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return _points(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), pcd_points, columns)
 
 
+def _head(uri: str, end: bytes, most: int = 1 << 20) -> bytes:
+    """The start of a file up to `end`, read in small steps; an error if it is not within `most` bytes."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+    data = b""
+    with system.open_input_stream(path) as f:
+        while end not in data:
+            part = f.read(1 << 14)
+            if not part or len(data) > most:
+                raise ValueError(f"no header in {uri}")
+            data += part
+    return data
+
+
 def ply_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rows) from the headers alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = F.decode(F.substring("content", 1, 4096), "iso-8859-1")
-    return files.select("path", F.regexp_extract(head, r"element vertex ([0-9]+)", 1).cast("bigint").alias("rows"))
+    """(path, rows) from the headers alone: the listing is Spark's, and of a file only its head is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "rows": [ply_header(_head(p, b"end_header\n"))[1] for p in b["path"]]})
+
+    return files.mapInPandas(run, "path string, rows bigint")
 
 
 def scan_points(messages: DataFrame, nearest: float, furthest: float) -> DataFrame:
-    """(scan, x, y, z, r) of messages (scan, data, point_step, big_endian, fields: name, offset, datatype): finite and strictly within the range."""
+    """(scan, x, y, z, r) of messages (scan, data, point_step, big_endian, fields: name, offset, datatype): finite and strictly within the range.
+
+    Images of points (height, width, row_step given) may have padded rows, which is cut off.
+    """
+    padded = {"height", "width", "row_step"} <= set(messages.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,7 +143,11 @@ def scan_points(messages: DataFrame, nearest: float, furthest: float) -> DataFra
                 order = ">" if m.big_endian else "<"
                 kinds = {f["name"]: (order + FIELD_TYPES[f["datatype"]], f["offset"]) for f in m.fields}
                 dt = np.dtype({"names": list("xyz"), "formats": [kinds[c][0] for c in "xyz"], "offsets": [kinds[c][1] for c in "xyz"], "itemsize": m.point_step})
-                a = np.frombuffer(m.data, dt)
+                data = m.data
+                if padded and m.row_step > m.width * m.point_step:
+                    rows = np.frombuffer(data, np.uint8)[: m.height * m.row_step].reshape(m.height, m.row_step)
+                    data = np.ascontiguousarray(rows[:, : m.width * m.point_step]).tobytes()
+                a = np.frombuffer(data, dt)
                 p = np.stack([a[c].astype(float) for c in "xyz"], axis=1)
                 r = np.sqrt((p * p).sum(axis=1))
                 with np.errstate(invalid="ignore"):
@@ -163,12 +193,43 @@ def read_octrees(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, depth int, state int, kx bigint, ky bigint, kz bigint")
 
 
+def _lerp_codes(word: Column, chunk: list[tuple[str, str, int, int]]) -> list[Column]:
+    """Values of bit fields (low, high, shift, bits) of a 32-bit word, between the ends of their chunk."""
+    w = word.cast("bigint").bitwiseAND(0xFFFFFFFF)
+    share = [F.shiftrightunsigned(w, shift).bitwiseAND((1 << bits) - 1) / float((1 << bits) - 1) for _, _, shift, bits in chunk]
+    return [F.col(lo) * (1 - t) + F.col(hi) * t for (lo, hi, _, _), t in zip(chunk, share)]
+
+
+# Shifts and widths of the packed words of a compressed splat.
+BITS_XYZ = ((21, 11), (11, 10), (0, 11))
+BITS_RGB = ((24, 8), (16, 8), (8, 8))
+
+
+def unpack_splats(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(row, x, y, z, scale_x.., r, g, b, opacity, q) of packed splats (row, position, scale, colour, rotation; words of 32 bits).
+
+    chunks has the ends of every 256 rows: chunk, lo_x, hi_x, .., lo_scale_x, .., lo_r, ... Colours
+    are 0 to 1 within their chunk's ends, opacity is the logit of the colour's last eight bits
+    (infinite at the ends), q the quaternion of smallest three.
+    """
+    from sensorloom.functions.geometry import logit
+    from sensorloom.functions.keys import unpack_quat
+
+    j = rows.withColumn("chunk", F.floor(F.col("row") / 256)).join(chunks, "chunk")
+    place = _lerp_codes(F.col("position"), [(f"lo_{c}", f"hi_{c}", *b) for c, b in zip("xyz", BITS_XYZ)])
+    scale = _lerp_codes(F.col("scale"), [(f"lo_scale_{c}", f"hi_scale_{c}", *b) for c, b in zip("xyz", BITS_XYZ)])
+    colour = _lerp_codes(F.col("colour"), [(f"lo_{c}", f"hi_{c}", *b) for c, b in zip("rgb", BITS_RGB)])
+    a = F.col("colour").cast("bigint").bitwiseAND(255) / 255.0
+    opacity = F.when(a <= 0, float("-inf")).when(a >= 1, float("inf")).otherwise(logit(a))
+    named = [*zip("xyz", place), *zip(("scale_x", "scale_y", "scale_z"), scale), *zip("rgb", colour)]
+    return j.select("row", *[v.alias(n) for n, v in named], opacity.alias("opacity"), unpack_quat(F.col("rotation")).alias("q"))
+
+
 def unpack_chunks(rows: DataFrame, chunks: DataFrame, word: str = "position") -> DataFrame:
     """(row, x, y, z) of 11-10-11 bit words, lerped between the ends of their chunk of 256 rows (chunk, lo_*, hi_*)."""
-    w = F.col(word).cast("bigint").bitwiseAND(0xFFFFFFFF)
-    parts = [(F.shiftrightunsigned(w, 21).bitwiseAND(2047), 2047.0), (F.shiftrightunsigned(w, 11).bitwiseAND(1023), 1023.0), (w.bitwiseAND(2047), 2047.0)]
     j = rows.withColumn("chunk", F.floor(F.col("row") / 256)).join(chunks, "chunk")
-    return j.select("row", *[(F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * p / top).alias(c) for c, (p, top) in zip("xyz", parts)])
+    xyz = _lerp_codes(F.col(word), [(f"lo_{c}", f"hi_{c}", *b) for c, b in zip("xyz", BITS_XYZ)])
+    return j.select("row", *[v.alias(c) for c, v in zip("xyz", xyz)])
 
 
 class PlySource(DataSource):

@@ -15,9 +15,18 @@ NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(nan|inf|
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) of text files; a file is one record of binaryFile, so its lines keep their order."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select("path", F.posexplode(F.split(F.decode("content", "utf-8"), "\r\n|\n|\r")).alias("line_no", "value"))
+    """(path, line_no, value) of text files, counted from 0 in each file.
+
+    Files are split like any text; a line's number is its place in its split plus the lines of
+    the file's splits before it, found from one count a split.
+    """
+    at = F.col("_metadata.file_block_start")
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), at.alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = raw.groupBy("path", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    w = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    base = splits.select("path", "_at", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_base"))
+    return raw.join(base, ["path", "_at"]).select("path", (F.col("_id") + F.col("_base")).alias("line_no"), "value")
 
 
 def numeric_rows(lines: DataFrame, min_cols: int) -> DataFrame:
