@@ -95,6 +95,11 @@ def shape_class(scales: Column, needle: float = 10.0, flat: float = 0.1, giant:
     return F.when(s[2] > giant, "giant").when(s[2] > needle * s[1], "needle").when(s[0] < flat * s[1], "disc").otherwise("round")
 
 
+def solid_and_small(opacity: Column, log_scales: Column, least: float, longest: float) -> Column:
+    """Whether the sigmoid of an opacity is at least `least` and the longest axis of log scales at most `longest`; null is no."""
+    return F.coalesce((1 / (1 + F.exp(-opacity)) >= least) & (F.exp(F.array_max(log_scales)) <= longest), F.lit(False))
+
+
 def verdict(df: DataFrame, entity: list[str], checks: list[tuple[str, Column, str, float]]) -> DataFrame:
     """(entity, check, value, limit, ok): value <= or >= limit; null and NaN fail. All checks of an entity in `passed`."""
     rows = F.array(*[F.struct(F.lit(n).alias("check"), v.cast("double").alias("value"), F.lit(float(lim)).alias("limit"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorloom.plans import formats, more, relational, scene, timeline, training
+from sensorloom.plans import formats, interop, more, relational, scene, timeline, training
 
-MODULES = [formats, more, relational, scene, timeline, training]
+MODULES = [formats, interop, more, relational, scene, timeline, training]
 
 
 def queries() -> dict:

@@ -62,7 +62,11 @@ def registered_scans(points: DataFrame, poses: DataFrame, sensor: Column, config
     w = Window.partitionBy("seq").orderBy("scan")  # one row a scan
     scans = scans.withColumn("rn", F.row_number().over(w) - 1).where(F.col("rn") % stride == 0).select("seq", "scan", (F.col("stamp_us") + shift).alias("us"))
     b = asof.bracket(scans, poses, "seq", "us", "us", ["tmat"], tie="line").where("before is not null and after is not null")
-    turn = geo.slerp(geo.rotation_to_quat(geo.rotation(F.col("before.tmat"))), geo.rotation_to_quat(geo.rotation(F.col("after.tmat"))), asof.weight(F.col("us")))
-    mix = [F.col("before.tmat")[i] + (F.col("after.tmat")[i] - F.col("before.tmat")[i]) * asof.weight(F.col("us")) for i in (3, 7, 11)]
-    world = geo.compose(geo.transform(geo.quat_to_rotation(turn), geo.point(*mix)), sensor)
-    return points.select("seq", "scan", "x", "y", "z").join(b.select("seq", "scan", "us", world.alias("world")), ["seq", "scan"])
+    w = asof.weight(F.col("us"))
+    # One step a column: a rotation is used nine times by the next, and nested expressions would multiply.
+    b = b.withColumn("w", w).withColumn("p", geo.rotation_to_quat(geo.rotation(F.col("before.tmat")))).withColumn("q", geo.rotation_to_quat(geo.rotation(F.col("after.tmat"))))
+    b = b.withColumn("turn", geo.slerp(F.col("p"), F.col("q"), F.col("w"))).withColumn("r", geo.quat_to_rotation(F.col("turn")))
+    at = F.array(*[F.col("before.tmat")[i] + (F.col("after.tmat")[i] - F.col("before.tmat")[i]) * F.col("w") for i in (3, 7, 11)])
+    b = b.withColumn("at", at).withColumn("body", geo.transform(F.col("r"), geo.point(*[F.col("at")[i] for i in range(3)])))
+    b = b.withColumn("world", geo.compose(F.col("body"), sensor))
+    return points.select("seq", "scan", "x", "y", "z").join(b.select("seq", "scan", "us", "world"), ["seq", "scan"])

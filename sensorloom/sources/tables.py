@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sensorloom.functions import geometry as geo
@@ -46,8 +47,15 @@ def write_csv(df: DataFrame, folder: str, partition_by: list[str] | None = None)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """CSV by a stated schema. With a header, columns are taken by its names, whatever their order; fields that do not parse are null."""
-    return spark.read.schema(schema).option("header", header).option("enforceSchema", not header).option("nanValue", "nan").option("positiveInf", "inf").option("negativeInf", "-inf").csv(path)
+    """CSV by a stated schema. With a header, columns are taken by its names, whatever their order and number; without, by place.
+
+    Numbers may be nan, inf or -inf; fields that do not parse are null.
+    """
+    if not header:
+        return spark.read.schema(schema).option("nanValue", "nan").option("positiveInf", "inf").option("negativeInf", "-inf").csv(path)
+    raw = spark.read.option("header", True).csv(path)  # only the first line is read here
+    kinds = T.StructType.fromDDL(schema)
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in kinds])
 
 
 def read_image_index(spark: SparkSession, path: str, cameras: list[str] | None = None) -> DataFrame:
@@ -111,9 +119,9 @@ def model_lines(cameras: DataFrame, images: DataFrame, by: list[str]) -> dict[st
     """
     params = F.array_join(F.transform("params", lambda p: F.format_string("%.10g", p)), " ")
     cam = cameras.select(*by, "camera_id", F.format_string("%d %s %d %d %s", "camera_id", "model", "width", "height", params).alias("value"))
-    m = geo.inverse(F.col("tmat"))
-    n = images.withColumn("image_id", F.row_number().over(Window.partitionBy(*by).orderBy("name", "camera_id")))
-    n = n.select(*by, "image_id", "camera_id", "name", geo.rotation_to_quat(geo.rotation(m)).alias("q"), geo.position(m).alias("p"))
+    n = images.withColumn("image_id", F.row_number().over(Window.partitionBy(*by).orderBy("name", "camera_id")).cast("bigint"))
+    n = n.withColumn("_m", geo.inverse(F.col("tmat"))).withColumn("_r", geo.rotation(F.col("_m")))
+    n = n.select(*by, "image_id", "camera_id", "name", geo.rotation_to_quat(F.col("_r")).alias("q"), geo.position(F.col("_m")).alias("p"))
     pose = F.format_string("%d " + "%.12f " * 7 + "%d %s", "image_id", *[F.col("q")[c] for c in "wxyz"], *[F.col("p")[c] for c in "xyz"], "camera_id", "name")
     return {"cameras": cam, "images": n.select(*by, "image_id", F.concat(pose, F.lit("\n")).alias("value"))}
 
