@@ -11,6 +11,7 @@ from sensorloom.operators import fitting, gating, grids
 from sensorloom.operators import relational as rel
 from sensorloom.operators import spatial as sp
 from sensorloom.plans.base import BLUR, IMU, POSES, blur, imu, poses
+from sensorloom.plans.relational import ORACLE as RELATIONAL
 from sensorloom.plans.relational import _records
 from sensorloom.session import table
 from sensorloom.sources import text
@@ -135,3 +136,7 @@ ORACLE["x08_projections"] = f"""WITH {_P}, a AS (SELECT seq, line, x, y, z + 1.5
   k AS (SELECT *, CASE WHEN r > 1e-12 THEN th * (1 + th * th * (0.01::DOUBLE + th * th * -0.002::DOUBLE)) / r ELSE 1 END AS ratio FROM t)
   SELECT seq, line, round(300.0::DOUBLE * x * ratio + 160, 3) AS fish_u, round(300.0::DOUBLE * y * ratio + 120, 3) AS fish_v, round((atan2(x, z) / (2 * pi()) + 0.5::DOUBLE) * 2048, 3) AS pano_u, round((asin(y / n) / pi() + 0.5::DOUBLE) * 1024, 3) AS pano_v FROM k"""
 ORACLE["s03_imu_log"] = f"""WITH {IMU} SELECT seq AS path, count(*) AS n, max(printf('%.6f', ox)::DOUBLE) AS fastest, round(min(us) / 1e6 + 0.5::DOUBLE, 5) AS first, round(max(us) / 1e6 + 0.5::DOUBLE, 5) AS last, round(avg(printf('%.6f', quat.w)::DOUBLE), 5) AS mean_w FROM imu WHERE quat IS NOT NULL GROUP BY seq"""
+ORACLE["k07_markdown"] = RELATIONAL["a20_leaderboard"].replace(
+    "SELECT seq, n, set_name, rank, path, round(psnr, 6) AS psnr, best, group_size FROM w",
+    "SELECT seq, n, set_name, rank, '| ' || path || ' | ' || coalesce(printf('%.4f', psnr), '') || ' | ' || coalesce(printf('%.4f', lpips), '') || CASE WHEN best THEN ' *' ELSE '' END || ' |' AS line FROM w",
+)

@@ -341,7 +341,7 @@ def _cell(size: float, axes: str = "xyz", extra: str = "*") -> str:
     return f"SELECT {extra}, {', '.join(f'CAST(floor({c} / {size}::DOUBLE) AS BIGINT) AS i{c}' for c in axes)} FROM pts"
 
 
-_CAMS = f"{_PTS}, {VIEWS}, cams AS (SELECT rec_id, seq, tmat AS m FROM views WHERE rec_id % 20 = 0)"
+_CAMS = f"{_PTS}, {VIEWS}, cams AS (SELECT rec_id, seq, tmat AS m FROM views)"
 _PROJ = f"""{_CAMS}, body AS (SELECT p.seq, p.line, c.rec_id, {', '.join(f'm[{i + 1}] * (x - m[4]) + m[{i + 5}] * (y - m[8]) + m[{i + 9}] * (z - m[12]) AS r{c}' for i, c in enumerate('xyz'))} FROM pts p JOIN cams c ON p.seq = c.seq),
   loc AS (SELECT seq, line, rec_id, -1 * ry AS qx, -1 * rz AS qy, rx AS qz FROM body),
   hits AS (SELECT * FROM (SELECT seq, line, rec_id, qz AS z, sqrt(pow(qx, 2) + pow(qy, 2) + pow(qz, 2)) AS rng, CAST(floor({FX}::DOUBLE * qx / qz + {CX}::DOUBLE) AS BIGINT) AS u, CAST(floor({FY}::DOUBLE * qy / qz + {CY}::DOUBLE) AS BIGINT) AS v FROM loc WHERE qz > 0.1)
@@ -387,7 +387,8 @@ ORACLE = {
     "a36_hist_peaks": f"""WITH {POSES}, h AS (SELECT seq, CAST(floor(round(degrees(asin(greatest(-1.0, least(1.0, tmat[9])))), 6) * 10) AS BIGINT) AS bin, count(*) AS n FROM poses GROUP BY ALL),
         t AS (SELECT h.*, max(n) OVER (PARTITION BY seq) AS top FROM h)
         SELECT t.seq, t.bin, t.n FROM t LEFT JOIN h a ON a.seq = t.seq AND a.bin = t.bin - 1 LEFT JOIN h b ON b.seq = t.seq AND b.bin = t.bin + 1 WHERE t.n > 0.05 * top AND t.n >= coalesce(a.n, 0) AND t.n >= coalesce(b.n, 0)""",
-    "a40_outliers": f"""WITH {_ANSWER}, k AS (SELECT seq, line, sqrt(d2) AS d FROM near WHERE near_line <> line QUALIFY row_number() OVER (PARTITION BY seq, line ORDER BY d2, near_line) <= 8), m AS (SELECT seq, line, avg(d) AS md FROM k GROUP BY ALL)
+    "a40_outliers": f"""WITH {_PTS}, near AS (SELECT a.seq, a.line, b.line AS near_line, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN pts b ON a.seq = b.seq AND a.line <> b.line),
+        k AS (SELECT seq, line, sqrt(d2) AS d FROM near QUALIFY row_number() OVER (PARTITION BY seq, line ORDER BY d2, near_line) <= 8), m AS (SELECT seq, line, avg(d) AS md FROM k GROUP BY ALL)
         SELECT seq, line, round(md, 5) AS mean_distance, md <= avg(md) OVER (PARTITION BY seq) + 2.0::DOUBLE * stddev_pop(md) OVER (PARTITION BY seq) AS kept FROM m""",
     "a42_morphology": f"WITH {_MORPH} SELECT seq, 'dilate' AS op, count(*) AS cells FROM di GROUP BY seq UNION ALL SELECT seq, 'erode', count(*) FROM er GROUP BY seq UNION ALL SELECT seq, 'close', count(*) FROM cl GROUP BY seq UNION ALL SELECT seq, 'open', count(*) FROM op GROUP BY seq",
     "a54_height_map": f"WITH {_PTS} SELECT seq, ix, iy, max(z) AS top FROM ({_cell(0.3)}) GROUP BY ALL",
@@ -452,4 +453,15 @@ ORACLE["a17_surface_depth"] = f"""WITH {_PROJ}, s AS (SELECT rec_id, u, v, z, gr
     p AS (SELECT rec_id, u + du AS u, v + dv AS v, z, radius, du, dv FROM s, range(-5, 6) a(du), range(-5, 6) b(dv) WHERE abs(du) < radius AND abs(dv) < radius AND u + du BETWEEN 0 AND {W - 1} AND v + dv BETWEEN 0 AND {H - 1}),
     k AS (SELECT *, exp(-1.0::DOUBLE * (du * du + dv * dv) / (0.5::DOUBLE * radius * radius)) AS w FROM (SELECT *, min(z) OVER (PARTITION BY rec_id, u, v) AS z0 FROM p) WHERE z <= 1.02::DOUBLE * z0)
     SELECT rec_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, round(sum(w) / sum(w / z), 5) AS depth, count(*) AS hits FROM k GROUP BY ALL"""
-
+ORACLE["f17_support"] = f"""WITH {_PROJ}, s AS (SELECT rec_id, u, v, z, greatest(1, least(6, ceil(0.5 * {FX}::DOUBLE * 0.05::DOUBLE / z)))::INT AS radius FROM hits WHERE z > 0.5),
+    p AS (SELECT rec_id, u + du AS u, v + dv AS v, min(z) AS z0 FROM s, range(-5, 6) a(du), range(-5, 6) b(dv) WHERE abs(du) < radius AND abs(dv) < radius AND u + du BETWEEN 0 AND {W - 1} AND v + dv BETWEEN 0 AND {H - 1} GROUP BY ALL),
+    low AS (SELECT rec_id, u + du AS u, v + dv AS v, min(z0) AS low FROM p, range(-2, 3) a(du), range(-2, 3) b(dv) GROUP BY ALL), ok AS (SELECT p.rec_id, p.u, p.v FROM p JOIN low USING (rec_id, u, v) WHERE z0 <= 1.05::DOUBLE * low),
+    n AS (SELECT rec_id, u + du AS u, v + dv AS v, count(*) AS n FROM ok, range(-1, 2) a(du), range(-1, 2) b(dv) GROUP BY ALL) SELECT rec_id, count(*) AS pixels FROM ok JOIN n USING (rec_id, u, v) WHERE n > 5 GROUP BY rec_id"""
+ORACLE["w13_ray_expand"] = f"""WITH {_PTS}, o AS (SELECT seq, arg_min([x, y, z], line) AS o FROM pts GROUP BY seq), r AS (SELECT p.seq, line, x, y, z, o, sqrt(pow(x - o[1], 2) + pow(y - o[2], 2) + pow(z - o[3], 2)) AS r FROM pts p JOIN o ON o.seq = p.seq),
+    s AS (SELECT *, (unnest(range(CAST(floor(greatest(0, r - 0.05::DOUBLE - 0.01::DOUBLE * r) / 0.375::DOUBLE) AS BIGINT))) + 0.5::DOUBLE) * 0.375::DOUBLE AS s FROM r WHERE r > 0),
+    v AS (SELECT DISTINCT seq, CAST(floor(line / 200) AS BIGINT) AS scan, {', '.join(f'CAST(floor((o[{i + 1}] + ({c} - o[{i + 1}]) * s / r) / 0.5::DOUBLE) AS BIGINT) AS i{c}' for i, c in enumerate('xyz'))} FROM s), n AS (SELECT seq, ix, iy, iz, count(*) AS votes FROM v GROUP BY ALL HAVING count(*) >= 3)
+    SELECT seq, count(*) AS free, CAST(sum(votes) AS BIGINT) AS votes FROM n GROUP BY seq"""
+# Every cell takes up the cells it reaches until nothing is added; the smallest of them names the component.
+ORACLE["a41_components"] = f"""WITH RECURSIVE {_PTS}, c AS (SELECT DISTINCT seq, ix, iy FROM ({_cell(0.5)})), e AS (SELECT a.seq, a.ix AS ax, a.iy AS ay, b.ix AS bx, b.iy AS by_ FROM c a JOIN c b ON a.seq = b.seq AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
+    r AS (SELECT seq, ix AS fx, iy AS fy, ix, iy FROM c UNION SELECT r.seq, fx, fy, bx, by_ FROM r JOIN e ON e.seq = r.seq AND e.ax = r.ix AND e.ay = r.iy),
+    l AS (SELECT seq, fx, fy, min([ix, iy]) AS label FROM r GROUP BY ALL) SELECT seq, label[1] AS ix, label[2] AS iy, count(*) AS cells FROM l GROUP BY ALL"""

@@ -294,3 +294,19 @@ ORACLE = {
     "a05_path_length": f"""WITH {POSES}, a AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM poses WINDOW w AS (PARTITION BY seq ORDER BY us, line))
         SELECT seq, round(sum(step), 3) AS length, {', '.join(f'round(max({c}) - min({c}), 4) AS extent_{c}, round(avg({c}), 4) AS mean_{c}' for c in 'xyz')} FROM a GROUP BY seq""",
 }
+_SHARE = "CASE WHEN n_us > p_us THEN (us - p_us) / (n_us - p_us) ELSE 0.0::DOUBLE END"
+ORACLE["j01_asof_slerp"] = f"""WITH {FRAMES}, {IMU}, turned AS (SELECT * FROM imu WHERE quat IS NOT NULL), br AS ({_near('(SELECT frame_id, seq, us FROM frames)', 'turned', 'us quat')}),
+    a AS (SELECT frame_id, p_quat AS p, n_quat AS n, {_SHARE} AS s, {' + '.join(f'p_quat.{c} * n_quat.{c}' for c in 'xyzw')} AS dot FROM br WHERE p_us IS NOT NULL AND n_us IS NOT NULL),
+    b AS (SELECT *, least(1, abs(dot)) AS c, acos(least(1, abs(dot))) AS angle, CASE WHEN dot < 0 THEN -1 ELSE 1 END AS sign FROM a),
+    k AS (SELECT *, CASE WHEN c > 0.9995 THEN 1 - s ELSE sin((1 - s) * angle) / sin(angle) END AS u, sign * CASE WHEN c > 0.9995 THEN s ELSE sin(s * angle) / sin(angle) END AS v FROM b),
+    m AS (SELECT frame_id, {', '.join(f'p.{c} * u + n.{c} * v AS {c}' for c in 'wxyz')} FROM k), q AS (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS len FROM m)
+    SELECT frame_id, round(sqrt({' + '.join(f'({c} / len) * ({c} / len)' for c in 'wxyz')}), 6) AS norm, {', '.join(f'round(abs({c} / len), 5) AS q{c}' for c in 'wxyz')} FROM q"""
+ORACLE["w05_preamble"] = f"""WITH {IMU}, e AS (SELECT seq, min(us) AS t0, max(us) AS t1, count(*) AS total FROM imu GROUP BY seq), j AS (SELECT i.seq, (us - t0) // 1000000 AS win, CAST(ceil((t1 - t0) / 1000000) AS BIGINT) AS windows, total, ox, oy, oz FROM imu i JOIN e USING (seq)),
+    g AS (SELECT seq, win, windows, total, count(*) AS rows, avg(sqrt(ox * ox + oy * oy + oz * oz)) AS level, stddev_pop(ox) AS sx, stddev_pop(oy) AS sy, stddev_pop(oz) AS sz FROM j GROUP BY ALL),
+    w AS (SELECT seq, win, windows, total, CASE WHEN rows < 3 THEN 0 ELSE level END AS level, CASE WHEN rows < 3 THEN 0 ELSE greatest(sx, sy, sz) / (sx + sy + sz + 1e-9::DOUBLE) END AS share FROM g WHERE win < windows),
+    m AS (SELECT seq, quantile_cont(level, 0.5) / 2 AS thr FROM w WHERE level > 1e-6::DOUBLE GROUP BY seq), a AS (SELECT w.*, thr FROM w JOIN m USING (seq) WHERE total >= 30 AND windows >= 4),
+    n AS (SELECT a.*, coalesce(b.level, 0) AS l1, coalesce(c.level, 0) AS l2 FROM a LEFT JOIN a b ON b.seq = a.seq AND b.win = a.win + 1 LEFT JOIN a c ON c.seq = a.seq AND c.win = a.win + 2),
+    s AS (SELECT seq, windows, win, level > thr AND share > 0.6::DOUBLE AND win < least(25, windows) AS swing, level > thr AND l1 > thr AND l2 > thr AND share < 0.55::DOUBLE AND win < windows - 3 AS calm FROM n),
+    f AS (SELECT seq, windows, count(*) FILTER (WHERE swing) AS swings, min(win) FILTER (WHERE swing) AS first, max(win) FILTER (WHERE swing) AS last FROM s GROUP BY ALL),
+    k AS (SELECT f.seq, min(win) AS start FROM f JOIN s ON s.seq = f.seq AND calm AND win > first GROUP BY f.seq)
+    SELECT f.seq, swings, CASE WHEN swings > 0 THEN coalesce(start, least(last + 1, windows - 1)) END AS end_window FROM f LEFT JOIN k ON k.seq = f.seq"""

@@ -46,7 +46,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     """Flagged readings by the tail cutoffs at their fixed risk alone, with their severity."""
-    a, b = (f.select(F.lit(t).alias("track"), F.col("source").alias("seq"), "line", "spike", "severity", "stuck", "impossible") for t, f, _ in _flags(spark, d))
+    a, b = (f.select(F.lit(t).alias("track"), F.col("source").alias("seq"), "line", "spike", F.round("severity", 5).alias("severity"), "stuck", "impossible") for t, f, _ in _flags(spark, d))
     return a.unionByName(b)
 
 
@@ -154,16 +154,28 @@ def _found_sql(track: str) -> str:
       UNION SELECT '{track}', seq, line FROM {track}_z WHERE res > {spikes.FACTOR}"""
 
 
-def _tails_sql(track: str, channels: tuple[str, ...]) -> str:
+def _tails_sql(track: str, channels: tuple[str, ...], plain: bool = False) -> str:
     names = "[" + ", ".join(f"'{c}'" for c in channels) + "]"
     over, risk = f"{spikes.OVER}::DOUBLE", f"{spikes.RISK:.12f}::DOUBLE"
-    return f"""SELECT '{track}' AS track, seq, {names}[CAST(c AS INT) + 1] AS channel, round(usual, 5) AS usual, readings, peaks, round(shape, 4) AS shape, round(scale, 4) AS scale,
-      round(coalesce(greatest({over} + CASE WHEN abs(shape) > 1e-9 THEN scale / shape * (pow({risk} * readings / peaks, -shape) - 1) ELSE -scale * ln({risk} * readings / peaks) END, {over}), {spikes.FACTOR}::DOUBLE), 3) AS cutoff
+    cutoff = f"coalesce(greatest({over} + CASE WHEN abs(shape) > 1e-9 THEN scale / shape * (pow({risk} * readings / peaks, -shape) - 1) ELSE -scale * ln({risk} * readings / peaks) END, {over}), {spikes.FACTOR}::DOUBLE)"
+    shown = f"""SELECT '{track}' AS track, seq, {names}[CAST(c AS INT) + 1] AS channel, round(usual, 5) AS usual, readings, peaks, round(shape, 4) AS shape, round(scale, 4) AS scale, round({cutoff}, 3) AS cutoff"""
+    return f"""{f'SELECT seq, c, {cutoff} AS cutoff' if plain else shown}
     FROM (SELECT *, CASE WHEN peaks >= 10 AND v > 0 THEN 0.5::DOUBLE * (1 - m * m / v) END AS shape, CASE WHEN peaks >= 10 AND v > 0 THEN 0.5::DOUBLE * m * (m * m / v + 1) END AS scale
       FROM (SELECT seq, c, max(usual) AS usual, count(*) AS readings, count(*) FILTER (WHERE res > {over} AND res < {spikes.FACTOR}) AS peaks,
           avg(res - {over}) FILTER (WHERE res > {over} AND res < {spikes.FACTOR}) AS m, var_samp(res - {over}) FILTER (WHERE res > {over} AND res < {spikes.FACTOR}) AS v FROM {track}_z GROUP BY seq, c))"""
 
 
+def _cutoff_sql(track: str) -> str:
+    """(seq, c, cutoff) of the tails, unrounded."""
+    return _tails_sql(track, spikes.IMU_CHANNELS if track == "imu" else spikes.POSE_CHANNELS, plain=True)
+
+
+def _flags_sql(track: str) -> str:
+    return f"""SELECT '{track}' AS track, r.seq, r.line, coalesce(severity > 1, false) AS spike, round(coalesce(severity, 0), 5) AS severity, stuck, impossible
+      FROM {track}_res r LEFT JOIN (SELECT z.seq, z.line, max(res / cutoff) AS severity FROM {track}_z z JOIN ({_cutoff_sql(track)}) q ON q.seq = z.seq AND q.c = z.c GROUP BY ALL) s ON s.seq = r.seq AND s.line = r.line
+      WHERE coalesce(severity > 1, false) OR stuck OR impossible"""
+
+
 _SPIKES = f"{_spike_sql('imu')}, {_spike_sql('pose')}"
 ORACLE = {
     "p2_found": f"WITH {_GRID} SELECT track, seq, slot FROM cells WHERE slot > first AND slot < last",
@@ -178,5 +190,6 @@ ORACLE = {
         SELECT track, seq, slot, readings, round(least(1, held / 100000), 6) AS coverage, list_transform(averages, lambda v: round(v, 6)) AS averages, CASE WHEN readings = 0 THEN 'filled' WHEN held >= 100000 THEN 'measured' ELSE 'partial' END AS state FROM slots
         UNION ALL SELECT track, seq, slot, 0, 0.0, NULL, 'missing' FROM gone""",
     "p5_found": f"WITH {_SPIKES} {_found_sql('imu')} UNION ALL ({_found_sql('pose')})",
+    "p5_flags": f"WITH {_SPIKES} {_flags_sql('imu')} UNION ALL {_flags_sql('pose')}",
     "p5_tails": f"WITH {_SPIKES} {_tails_sql('imu', spikes.IMU_CHANNELS)} UNION ALL {_tails_sql('pose', spikes.POSE_CHANNELS)}",
 }
