@@ -9,7 +9,7 @@ from sensorloom.llm.leakage import LeakRule, leak_report, leaked_items
 from sensorloom.llm.nearest_time import match_frames
 from sensorloom.llm.score_cutoff import kept_items, score_cutoffs
 from sensorloom.llm.split import split_corpus
-from sensorloom.llm.split_overlap import cross_split_overlap, found_pairs, overlap_report
+from sensorloom.llm.split_overlap import cross_split_overlap, found_pairs, overlap_of_classes, overlap_report
 from sensorloom.llm.tokenize import encode_corpus, roundtrip_report
 from sensorloom.session import table
 
@@ -26,6 +26,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(_overlap(spark, d))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of a split with its class of equal records and the number of overlaps of its class."""
+    pairs, members = overlap_of_classes(table(spark, d, "split_frames"))
+    links = pairs.select("eval_id", "train_id").distinct()
+    links = links.select(F.explode(F.array("eval_id", "train_id")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(links, "class_id", "left").select("rec_id", "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cutoffs, items = score_cutoffs(table(spark, d, "per_frame"), table(spark, d, "recordings"))
     return kept_items(cutoffs, items).select(F.col("source").alias("seq"), F.col("item").alias("name"))
@@ -89,4 +97,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_cutoffs, p3_passes, p4_found, p4_offsets, p6_ids, p6_roundtrip, p7_found, p7_coverage, p7_report, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_report, p3_found, p3_cutoffs, p3_passes, p4_found, p4_offsets, p6_ids, p6_roundtrip, p7_found, p7_coverage, p7_report, p8_found, p8_pieces)}

@@ -66,6 +66,7 @@ def cross_split_overlap(
     rec = df.where(F.col("seq").isNotNull() & F.col("rec_id").isNotNull() & F.col("split").isin(train, *evaluation)).select(
         "rec_id", "seq", "split", capture_stamp_ns(F.col("rgb_name")).alias("stamp"), F.when(usable, floats).alias("m")
     )
+    rec = rec.distinct()  # repeated rows would multiply in the join
     m = F.col("m")
     words = [(m[3], max_shift_m), (m[7], max_shift_m), (m[11], max_shift_m), (m[0], turn), (m[4], turn)]
 
@@ -97,6 +98,23 @@ def cross_split_overlap(
     )
 
 
+def overlap_of_classes(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership): overlaps between one record of each class, and (rec_id, class_id) of all records.
+
+    Records of one recording and split with the same stamp and pose are a class, named by its
+    smallest rec_id: a parked sensor's many equal records then make one pair a class instead of
+    one a pair of records. Joined with the membership on both sides the pairs are those of
+    cross_split_overlap. Records that overlap cannot find (null seq, split or rec_id) have no class.
+    """
+    rec = df.where(F.col("seq").isNotNull() & F.col("rec_id").isNotNull() & F.col("split").isNotNull())
+    rec = rec.select("rec_id", "seq", "split", "rgb_name", "tmat", capture_stamp_ns(F.col("rgb_name")).alias("stamp"), F.slice("tmat", 1, 12).alias("m"))
+    key = [F.xxhash64("seq", "split", "stamp", "m").alias("key"), F.xxhash64("m", "stamp", "split", "seq", F.lit(1)).alias("key2")]  # 128 bits
+    rec = rec.select("*", *key)
+    classes = rec.groupBy("key", "key2").agg(F.min("rec_id").alias("class_id"), F.min_by(F.struct("seq", "split", "rgb_name", "tmat"), "rec_id").alias("r"))
+    heads = classes.select(F.col("class_id").alias("rec_id"), "r.*")
+    return cross_split_overlap(heads, **kw), rec.join(classes.select("key", "key2", "class_id"), ["key", "key2"]).select("rec_id", "class_id").distinct()
+
+
 def found_pairs(overlap: DataFrame) -> DataFrame:
     """(rec_a, rec_b), rec_a < rec_b, of each overlap."""
     return overlap.select(F.least("eval_id", "train_id").alias("rec_a"), F.greatest("eval_id", "train_id").alias("rec_b")).where("rec_a < rec_b")

@@ -61,6 +61,13 @@ ORACLE = {
     "p1_report": f"""WITH {_RECORDS}, per AS (
         SELECT eval_split, seq, eval_id, count(*) AS links, max((same_stamp::INT + same_pose::INT) / kinds) AS containment FROM hits GROUP BY ALL)
         SELECT eval_split, seq, count(*) AS eval_records, CAST(sum(links) AS BIGINT) AS links, count(*) FILTER (WHERE containment >= 1) AS contained_whole FROM per GROUP BY ALL""",
+    "p1_classes": f"""WITH {_RECORDS}, raw AS (
+        SELECT DISTINCT rec_id, seq, split, ltrim(regexp_extract(regexp_extract(rgb_name, '([^/\\\\]*)$', 1), '([0-9]+)', 1), '0') AS digits, tmat[1:12] AS m FROM split_frames WHERE seq IS NOT NULL AND rec_id IS NOT NULL AND split IS NOT NULL
+        ), coded AS (SELECT *, CASE WHEN length(digits) BETWEEN 1 AND 16 THEN CAST(digits AS HUGEINT) * 1000 WHEN length(digits) BETWEEN 17 AND 19 THEN CAST(digits AS HUGEINT) END AS stamp FROM raw
+        ), cls AS (SELECT DISTINCT rec_id, min(rec_id) OVER (PARTITION BY seq, split, stamp, m) AS class_id FROM coded
+        ), k AS (SELECT DISTINCT e.class_id AS a, t.class_id AS b FROM hits h JOIN cls e ON e.rec_id = h.eval_id JOIN cls t ON t.rec_id = h.train_id
+        ), n AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM k UNION ALL SELECT b FROM k) GROUP BY 1)
+        SELECT rec_id, class_id, coalesce(links, 0) AS links FROM cls LEFT JOIN n USING (class_id)""",
     "p3_found": f"WITH {_CUTOFFS} SELECT f.seq, f.name FROM frames f JOIN cutoffs c USING (seq) WHERE f.rate <= c.cutoff",
     "p3_cutoffs": f"""WITH {_CUTOFFS} SELECT c.seq, c.n, c.need, count(*) FILTER (WHERE f.rate <= c.cutoff) AS kept, c.cutoff,
         round(sum(CASE WHEN f.rate > c.cutoff THEN q * (f.rate - c.cutoff) ELSE (1 - q) * (c.cutoff - f.rate) END) + 2e-9, 6) AS loss FROM frames f JOIN cutoffs c USING (seq) JOIN fractions USING (seq) GROUP BY c.seq, c.n, c.need, c.cutoff""",

@@ -3,7 +3,7 @@ import random
 
 from sensorloom.llm.nearest_time import match_frames, nearest_in_time
 from sensorloom.llm.score_cutoff import kept_items, score_cutoffs
-from sensorloom.llm.split_overlap import capture_stamp_ns, cross_split_overlap, found_pairs, overlap_report
+from sensorloom.llm.split_overlap import capture_stamp_ns, cross_split_overlap, found_pairs, overlap_of_classes, overlap_report
 
 
 def pose(x, y, z, deg):
@@ -60,6 +60,14 @@ def test_overlap_matches_all_pairs(spark):
                     want.add((min(a[0], b[0]), max(a[0], b[0])))
     assert set(got) == want and want
     assert overlap_report(o).where("eval_records < 1 or links < eval_records").count() == 0
+    pairs, members = overlap_of_classes(d)
+    of = {}
+    for r in members.collect():
+        assert r.rec_id not in of
+        of[r.rec_id] = r.class_id
+    assert set(of) == {r[0] for r in uniq if r[1] and r[2]}
+    inside = {c: [r for r, k in of.items() if k == c] for c in set(of.values())}
+    assert {tuple(sorted((a, b))) for r in pairs.collect() for a in inside[r.eval_id] for b in inside[r.train_id]} == want
     assert cross_split_overlap(d.where("false")).count() == 0
 
 
