@@ -164,10 +164,10 @@ def assemble(frames: DataFrame, companions: dict[str, DataFrame], key: str) -> D
 
 
 def catalogue_entry(catalogue: DataFrame, name: str, column: str = "name") -> DataFrame:
-    """The entry of that name; an error if there is none."""
-    hit = catalogue.where(F.col(column) == name)
-    missing = hit.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, F.raise_error(F.lit(f"{name} is not in the catalogue"))).otherwise(True).alias("_found"))
-    return hit.crossJoin(missing).drop("_found")  # one row on the right
+    """The entry (each distinct one) of that name; an error if there is none."""
+    hit = catalogue.where(F.col(column) == name).agg(F.collect_set(F.struct(*catalogue.columns)).alias("_e"))  # names are unique but for repeated rows
+    found = F.when(F.size("_e") > 0, F.col("_e")).otherwise(F.raise_error(F.lit(f"{name} is not in the catalogue")))
+    return hit.select(F.explode(found).alias("_r")).select("_r.*")
 
 
 def cached_stats(cache: DataFrame, current: DataFrame, key: str, compute) -> DataFrame:
