@@ -159,6 +159,40 @@ def free_votes(cloud: DataFrame, clear: DataFrame, scan: str, point_id: str, ste
     return j.groupBy(point_id).agg((F.count_if(F.col("m") > F.col("r") + base + slope * F.col("r")) * step).alias("free"))
 
 
+def widened_footprints(
+    rows: DataFrame, cameras: DataFrame, by: list[str], row_id: str, camera_id: str, fx: float, fy: float, cx: float, cy: float, width: int, height: int,
+    blur: float = 0.3, least: float = 1.0, margin: float = 1.05, culled_share: float = 0.5,
+) -> DataFrame:
+    """(by, row_id, views, culled, added, log_scales, opacity) of each row that a camera sees: rows too thin on screen, widened.
+
+    rows has x, y, z, r (rotation, nine doubles), log_scales and opacity (a logit). In each view
+    the larger eigenvalue of the image covariance, blurred by `blur`, is held against `least`.
+    A row under it in more than culled_share of its views gets the lower median of the
+    variance that would lift it to margin·least, on all axes, and its opacity is scaled by the
+    lower median of the root of the areas' ratio, so that its energy stays. Others keep theirs;
+    rows that no camera sees have no row. A row's views are bounded by its cameras.
+    """
+    hits = seen_from(rows.select(*by, row_id, *"xyz"), cameras, by, camera_id, fx, fy, cx, cy, width, height, 0.01).select(*by, row_id, camera_id, F.col("z").alias("depth"))
+    hits = hits.join(rows.select(*by, row_id, *"xyz", "r", "log_scales"), [*by, row_id]).join(cameras.select(*by, camera_id, F.col("tmat").alias("_m")), [*by, camera_id])
+    hits = hits.withColumn("_c", geo.body_covariance(F.col("r"), F.transform("log_scales", lambda v: F.exp(v))))
+    hits = hits.withColumn("_i", geo.image_covariance(geo.point(F.col("x"), F.col("y"), F.col("z")), F.col("_c"), F.col("_m"), fx, fy))
+    hits = hits.select(*by, row_id, "depth", (F.col("_i.a") + blur).alias("a"), F.col("_i.b").alias("b"), (F.col("_i.d") + blur).alias("d"))
+    a, b, d = F.col("a"), F.col("b"), F.col("d")
+    hits = hits.withColumn("top", (a + d) / 2 + F.sqrt((a - d) * (a - d) / 4 + b * b)).withColumn("gain", F.pow(0.5 * (fx + fy) / F.greatest("depth", F.lit(1e-3)), 2))
+    hits = hits.withColumn("need", F.greatest(F.lit(0.0), margin * least - F.col("top")) / F.col("gain"))
+    more = F.col("gain") * F.col("need")
+    hits = hits.withColumn("ratio", F.sqrt((a * d - b * b) / F.greatest((a + more) * (d + more) - b * b, F.lit(1e-20))))
+    lower = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
+    g = hits.groupBy(*by, row_id).agg(F.count("*").alias("views"), F.count_if(F.col("top") < least).alias("culled"), lower("need").alias("need"), lower("ratio").alias("ratio"))
+    fix = (F.col("culled") > culled_share * F.col("views")) & (F.col("need") > 0)
+    j = g.join(rows.select(*by, row_id, "log_scales", "opacity"), [*by, row_id]).withColumn("added", F.when(fix, F.col("need")).otherwise(0.0))
+    scales = F.transform("log_scales", lambda v: 0.5 * F.log(F.exp(2 * v) + F.col("added")))
+    shared = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), geo.sigmoid(F.col("opacity")) * F.col("ratio")))
+    return j.select(
+        *by, row_id, "views", "culled", "added", F.when(fix, scales).otherwise(F.col("log_scales")).alias("log_scales"), F.when(fix, geo.logit(shared)).otherwise(F.col("opacity")).alias("opacity")
+    )
+
+
 def ray_samples(rays: DataFrame, step: float, margin: float = 0.05, slope: float = 0.01) -> DataFrame:
     """rays copied to the samples at (j + 1/2)·step before their return: adds j and s (distance); rays has r."""
     n = F.floor(F.greatest(F.lit(0.0), F.col("r") - margin - slope * F.col("r")) / step).cast("int")

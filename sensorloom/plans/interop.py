@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from sensorloom.functions import geometry as geo
 from sensorloom.functions import keys
-from sensorloom.operators import gating, grids
+from sensorloom.operators import alignment, gating, grids
+from sensorloom.operators import projective as pj
 from sensorloom.operators.regular_grid import micros
 from sensorloom.plans.base import BLUR, FRAMES, IMU, POSES, VIEWS, blur, frames, imu, poses, views
 from sensorloom.session import table
@@ -219,6 +220,35 @@ def x21_schedules(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.round(geo.ramp(F.col("step"), 100, 600, 0.0, 0.2), 9).alias("weight"), F.round(geo.decay(F.col("step"), 800, 1e-2, 1e-4), 9).alias("rate"), geo.budget(F.col("step"), 500, 10_000, 50_000).alias("rows"))
 
 
+def a45_lever_arm(spark: SparkSession, d: str) -> DataFrame:
+    """Views aligned to the pose track with a clock offset and a lever arm."""
+    v = table(spark, d, "split_frames").where("seq is not null and rec_id is not null and t_event_s is not null and not isnan(t_event_s) and size(tmat) >= 12").dropDuplicates(["rec_id"])
+    f = v.select("seq", "rec_id", micros(F.col("t_event_s")).alias("us"), "tmat")
+    p = poses(spark, d).where("abs(x) < 1000 and abs(y) < 1000 and abs(z) < 1000").select("seq", "us", "line", "x", "y", "z")
+    r = alignment.lever_arm(f, p, "seq", "rec_id")
+    return r.select("seq", "offset_us", F.round("scale", 4).alias("scale"), F.transform("lever", lambda v: F.round(v, 3)).alias("lever"), F.round("median", 4).alias("median"))
+
+
+def a55_symmetry(spark: SparkSession, d: str) -> DataFrame:
+    """Symmetry of each recording's views about their middle."""
+    v = views(spark, d).select("seq", "rec_id", *[F.col("tmat")[i].alias(c) for c, i in zip("xyz", (3, 7, 11))])
+    v = v.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 1000" for c in "xyz"))
+    m = v.groupBy("seq").agg(F.round(F.avg("x"), 3).alias("mx"), F.round(F.avg("y"), 3).alias("my"))
+    p = v.join(m, "seq").select("seq", "rec_id", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), "z")
+    s = alignment.symmetry_scores(p, ["seq"], "rec_id", 0.2, 0.5)
+    return s.select("seq", "map", F.round("inliers", 6).alias("inliers"), F.round("covered", 6).alias("covered"))
+
+
+def i07_footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Thin ellipsoids at the readings, widened where most of their recording's views would cull them."""
+    p = poses(spark, d).where("abs(x) < 1000 and abs(y) < 1000 and abs(z) < 1000")
+    rows = p.select("seq", "line", "x", "y", "z", geo.rotation(F.col("tmat")).alias("r"), F.array(*[F.lit(v) for v in (-6.0, -6.5, -9.0)]).alias("log_scales"), F.lit(0.5).alias("opacity"))
+    looking = F.array(*[F.lit(float(v)) for v in (0, 0, 1, 0, -1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 0, 1)])  # camera in the body: z forward, y down
+    cams = views(spark, d).select("seq", "rec_id", geo.compose(F.col("tmat"), looking).alias("tmat"))
+    w = pj.widened_footprints(rows, cams, ["seq"], "line", "rec_id", 300.0, 300.0, 160.0, 120.0, 320, 240)
+    return w.select("seq", "line", "views", "culled", F.round("added", 9).alias("added"), F.round(F.col("log_scales")[0], 5).alias("log_scale"), F.round("opacity", 5).alias("opacity"))
+
+
 def l01_stable_order(spark: SparkSession, d: str) -> DataFrame:
     """All readings of the gyro by time, those of one time in the order of their log."""
     return imu(spark, d).select("seq", "us", "line").orderBy("us", "seq", "line")
@@ -234,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s02_trajectory, s06_camera_poses, s10_registered_scans, s12_route, s14_ply_counts, s20_per_frame_csv, s20_image_index, s24_catalogue, s26_cached_stats,
-        k02_model, k09_ledger, k10_masks, k11_assemble, k12_mesh, x12_harmonics, x13_footprint, x17_quat_words, x20_sharpness, x20_tile_energies, x21_schedules, f10_opacity_scale, l01_stable_order, l03_group_order,
+        k02_model, k09_ledger, k10_masks, k11_assemble, k12_mesh, x12_harmonics, x13_footprint, x17_quat_words, x20_sharpness, x20_tile_energies, x21_schedules, a45_lever_arm, a55_symmetry, i07_footprints, f10_opacity_scale, l01_stable_order, l03_group_order,
     )
 }
 
@@ -270,7 +300,14 @@ _COV = ", ".join(f"{_covariance(i, j)} AS {n}" for n, i, j in (("xx", 0, 0), ("x
 _G, _H = -300.0 * 0.5 / 9, -300.0 * -0.25 / 9
 _PIX = "px AS (SELECT l_returnflag AS frame, l_partkey % 16 AS u, l_orderkey % 12 AS v, round(avg(l_quantity), 3) AS gray FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY ALL)"
 
+_MAPS = ", ".join(f"('{n}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {e!r}::DOUBLE)" for n, a, b, c, e in alignment.symmetry_maps())
+
 ORACLE = {
+    "a55_symmetry": f"""WITH {VIEWS}, v AS (SELECT seq, rec_id, tmat[4] AS x, tmat[8] AS y, tmat[12] AS z FROM views WHERE {' AND '.join(f'tmat[{i}] IS NOT NULL AND NOT isnan(tmat[{i}]) AND abs(tmat[{i}]) < 1000' for i in (4, 8, 12))}),
+        m AS (SELECT seq, round(avg(x), 3) AS mx, round(avg(y), 3) AS my, count(*) AS n FROM v GROUP BY seq), p AS (SELECT v.seq, rec_id, x - mx AS x, y - my AS y, z, n FROM v JOIN m USING (seq)), k AS (SELECT * FROM (VALUES {_MAPS}) t(map, a, b, c, d)),
+        i AS (SELECT seq, rec_id, n, map, a * x + b * y AS x, c * x + d * y AS y, z FROM p, k), near AS (SELECT i.seq, i.map, any_value(i.n) AS n, min(sqrt((i.x - p.x) * (i.x - p.x) + (i.y - p.y) * (i.y - p.y) + (i.z - p.z) * (i.z - p.z))) AS dist FROM i JOIN p ON p.seq = i.seq GROUP BY i.seq, i.map, i.rec_id),
+        g AS (SELECT seq, map, any_value(n) AS n, count(*) FILTER (WHERE dist <= 0.5) AS e, count(*) FILTER (WHERE dist < 0.2) AS inl FROM near GROUP BY seq, map)
+        SELECT seq, map, round(CASE WHEN e >= 0.2::DOUBLE * n THEN CASE WHEN e > 0 THEN inl / e END ELSE 0 END, 6) AS inliers, round(e / n, 6) AS covered FROM g""",
     "s02_trajectory": f"""WITH {_P} SELECT seq, count(*) AS n, round(min(us) / 1e6, 5) AS first, round(max(us) / 1e6, 5) AS last, {', '.join(f'round(avg({c}), 4) AS mean_{c}' for c in 'xyz')}, count(*)::DOUBLE AS w FROM pts GROUP BY seq""",
     "s06_camera_poses": f"""WITH {POSES} SELECT seq, line, round({_product(0, 3)}, 5) + 0.0::DOUBLE AS x, round(-{_product(2, 3)}, 5) + 0.0::DOUBLE AS y, round({_product(1, 3)}, 5) + 0.0::DOUBLE AS z,
         round({_product(0, 2)}, 5) + 0.0::DOUBLE AS fx, round(-{_product(2, 2)}, 5) + 0.0::DOUBLE AS fy, round({_product(1, 2)}, 5) + 0.0::DOUBLE AS fz FROM poses""",

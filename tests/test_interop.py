@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import geometry as geo
 from sensorloom.functions import keys
-from sensorloom.operators import fitting, grids, regular_grid
+from sensorloom.operators import alignment, fitting, grids, regular_grid
+from sensorloom.operators import projective as pj
 from sensorloom.operators import spatial as sp
 from sensorloom.sources import bags, binary, calibration, records, tables, text
 
@@ -278,3 +279,67 @@ def test_labels(spark):
         "r/s_black/q/report_black.json": ("black", "report", "s [black]"),
         "run/GREY/report/d.json": ("bg?", "z", " [bg?]"),
     }
+
+
+def test_lever_arm_and_offset(spark):
+    rnd = np.random.default_rng(6)
+    big, shift, lever, scale, offset = turn((1, 2, -1), 0.6), np.array([3.0, -1.0, 0.5]), np.array([0.2, -0.1, 0.3]), 1.7, 0.05
+    place = lambda t: np.array([math.sin(t), 0.7 * math.cos(1.3 * t), 0.3 * math.sin(2.1 * t)])
+    face = lambda t: turn((math.sin(0.4 * t), 1.0, math.cos(0.9 * t)), 0.8 * t)
+    frames, truth = [], []
+    for i in range(80):
+        t = 1.0 + 0.05 * i
+        m = np.eye(4)
+        m[:3, :3], m[:3, 3] = face(t), place(t)
+        frames.append(("s", i, round(t * 1e6), m.ravel().tolist()))
+    for i in range(1400):
+        t = 0.3 + 0.005 * i
+        truth.append(("s", round((t + offset) * 1e6), i, *map(float, scale * big @ place(t) + big @ face(t) @ lever + shift)))
+    frames += [("few", i, i, frames[i][3]) for i in range(3)] + [("s", 99, 0, None)]
+    f = spark.createDataFrame(frames, "seq string, id bigint, us bigint, tmat array<double>")
+    g = spark.createDataFrame(truth, "seq string, us bigint, line bigint, x double, y double, z double")
+    (r,) = alignment.lever_arm(f, g, "seq", "id", rounds=60).collect()
+    assert r.seq == "s" and r.offset_us == 50_000 and abs(r.scale - scale) < 1e-2 and r.median < 5e-3
+    assert np.allclose(r.lever, lever, atol=2e-2) and np.allclose(np.array(r.rotation).reshape(3, 3), big, atol=1e-2)
+
+
+def test_symmetry(spark):
+    rnd = random.Random(7)
+    half = [(rnd.uniform(0.05, 1), rnd.uniform(-1, 1), rnd.uniform(0, 1)) for _ in range(150)]
+    pts = [("s", i, x * s, y, z) for i, (x, y, z) in enumerate(half) for s in (1, -1)]
+    d = spark.createDataFrame([(q, 2 * i + (x < 0), x, y, z) for q, i, x, y, z in pts] + [("t", 0, None, 0.0, 0.0)], "seq string, id bigint, x double, y double, z double")
+    got = {r.map: r for r in alignment.symmetry_scores(d, ["seq"], "id", 0.01).collect()}
+    assert len(got) == 63 and got["mirror0"].inliers == got["mirror0"].covered == 1.0
+    assert max(r.inliers for k, r in got.items() if k != "mirror0") < 0.5
+
+
+def test_widened_footprints(spark):
+    rnd = np.random.default_rng(8)
+    cams = [(i, rigid((0, 1, 0), rnd.uniform(-0.2, 0.2), (rnd.uniform(-1, 1), rnd.uniform(-1, 1), -rnd.uniform(2, 9)))) for i in range(7)]
+    rows = [(i, *rnd.uniform(-0.6, 0.6, 3), turn(rnd.normal(size=3), 1.0), np.log(rnd.uniform(1e-4, 0.02, 3)), float(rnd.normal())) for i in range(25)] + [(99, 0.0, 0.0, -99.0, np.eye(3), np.zeros(3), 0.0)]
+    want = {}
+    for i, x, y, z, r, ls, op in rows:
+        p, cov = np.array([x, y, z]), r @ np.diag(np.exp(2 * ls)) @ r.T
+        need, ratio, culled = [], [], 0
+        for _, m in cams:
+            q = m[:3, :3].T @ (p - m[:3, 3])
+            u, v = (300 * q[k] / q[2] + c if q[2] > 0.01 else -1 for k, c in ((0, 160), (1, 120)))
+            if q[2] > 0.01 and 0 <= math.floor(u) < 320 and 0 <= math.floor(v) < 240:
+                j = np.array([[300 / q[2], 0, -300 * q[0] / q[2] ** 2], [0, 300 / q[2], -300 * q[1] / q[2] ** 2]]) @ m[:3, :3].T
+                s = j @ cov @ j.T + 0.3 * np.eye(2)
+                top, gain = np.linalg.eigvalsh(s)[1], (300 / q[2]) ** 2
+                culled += top < 1.0
+                need.append(max(0.0, 1.05 - top) / gain)
+                ratio.append(math.sqrt(np.linalg.det(s) / np.linalg.det(s + gain * need[-1] * np.eye(2))))
+        if need:
+            k = (len(need) - 1) // 2
+            fix = culled > 0.5 * len(need) and sorted(need)[k] > 0
+            added = sorted(need)[k] if fix else 0.0
+            o = 1 / (1 + math.exp(-op)) * sorted(ratio)[k]
+            want[i] = (len(need), culled, added, 0.5 * np.log(np.exp(2 * ls) + added), math.log(o / (1 - o)) if fix else op)
+    c = spark.createDataFrame([("s", i, m.ravel().tolist()) for i, m in cams], "seq string, cam int, tmat array<double>")
+    d = spark.createDataFrame([("s", i, float(x), float(y), float(z), r.ravel().tolist(), ls.tolist(), op) for i, x, y, z, r, ls, op in rows], "seq string, id int, x double, y double, z double, r array<double>, log_scales array<double>, opacity double")
+    got = {r.id: r for r in pj.widened_footprints(d, c, ["seq"], "id", "cam", 300.0, 300.0, 160.0, 120.0, 320, 240).collect()}
+    assert got.keys() == want.keys() and any(w[2] > 0 for w in want.values()) and any(w[2] == 0 for w in want.values())
+    for i, (n, k, added, ls, op) in want.items():
+        assert (got[i].views, got[i].culled) == (n, k) and abs(got[i].added - added) < 1e-9 and np.allclose(got[i].log_scales, ls) and abs(got[i].opacity - op) < 1e-6
