@@ -194,7 +194,7 @@ def k_medians_1d(values: DataFrame, by: list[str], value: str, max_k: int = 5, d
     """(by, k, centres): one-dimensional k-medians with the number of levels chosen by cost.
 
     Values are counted in bins first, so a group is its histogram (bounded by its range); the
-    best split for each k is found exactly on it. k+1 is taken over k while the mean absolute
+    best split for each k is found exactly on it, in n·log n steps of n bins. k+1 is taken over k while the mean absolute
     deviation falls by more than `drop`.
     """
     h = values.where(F.col(value).isNotNull()).groupBy(*by, F.round(F.col(value) / bin_size).cast("bigint").alias("_b")).agg(F.count("*").alias("_n"))
@@ -205,20 +205,35 @@ def k_medians_1d(values: DataFrame, by: list[str], value: str, max_k: int = 5, d
         cw, cx = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(w * x)])
         n = len(x)
 
-        def median(i: int, j: int) -> int:
-            return int(np.searchsorted(cw, (cw[i] + cw[j]) / 2) - 1)
-
-        def cost(i: int, j: int) -> float:
-            m = min(max(median(i, j), i), j - 1)
-            return float(x[m] * (cw[m + 1] - cw[i]) - (cx[m + 1] - cx[i]) + (cx[j] - cx[m + 1]) - x[m] * (cw[j] - cw[m + 1]))
-
-        best = [[cost(0, j) if j else 0.0 for j in range(n + 1)]]
-        back: list[list[int]] = [[0] * (n + 1)]
+        def middle(i, j):
+            """Bin that holds the median of the bins i to j - 1; i may be an array."""
+            return np.clip(np.searchsorted(cw, (cw[i] + cw[j]) / 2) - 1, i, j - 1)
+
+        def cost(i: np.ndarray, j: int) -> np.ndarray:
+            m = middle(i, j)
+            return x[m] * (cw[m + 1] - cw[i]) - (cx[m + 1] - cx[i]) + (cx[j] - cx[m + 1]) - x[m] * (cw[j] - cw[m + 1])
+
+        def one_more(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Best cost of the first j bins with one level more, and where that level starts; the start never moves back as j grows."""
+            row, arg = np.zeros(n + 1), np.zeros(n + 1, int)
+            spans = [(1, n, 0, n - 1)]
+            while spans:
+                lo, hi, first, last = spans.pop()
+                if lo > hi:
+                    continue
+                j = (lo + hi) // 2
+                i = np.arange(first, min(last, j - 1) + 1)
+                value = before[i] + cost(i, j)
+                k = int(np.argmin(value))
+                row[j], arg[j] = value[k], i[k]
+                spans += [(lo, j - 1, first, int(i[k])), (j + 1, hi, int(i[k]), last)]
+            return row, arg
+
+        best = [np.array([0.0, *(float(cost(np.array([0]), j)[0]) for j in range(1, n + 1))])]
+        back = [np.zeros(n + 1, int)]
         chosen = 1
         for k in range(2, min(max_k, n) + 1):
-            row, arg = [0.0] * (n + 1), [0] * (n + 1)
-            for j in range(1, n + 1):
-                row[j], arg[j] = min((best[-1][i] + cost(i, j), i) for i in range(j))
+            row, arg = one_more(best[-1])
             best.append(row)
             back.append(arg)
             if best[-2][n] <= 1e-12 or row[n] > (1 - drop) * best[-2][n]:
@@ -226,8 +241,8 @@ def k_medians_1d(values: DataFrame, by: list[str], value: str, max_k: int = 5, d
             chosen = k
         j, centres = n, []
         for k in range(chosen - 1, -1, -1):
-            i = back[k][j]
-            centres.append(float(x[min(max(median(i, j), i), j - 1)]))
+            i = int(back[k][j])
+            centres.append(float(x[middle(i, j)]))
             j = i
         return pd.DataFrame([[*[g[b].iloc[0] for b in by], chosen, centres[::-1]]], columns=[*by, "k", "centres"])
 
