@@ -54,6 +54,31 @@ def ply_vertices(data: bytes) -> pd.DataFrame:
     return pd.DataFrame({n: a[n].astype(float) for n in names})
 
 
+def ply_elements(data: bytes) -> dict[str, pd.DataFrame]:
+    """All elements of a binary PLY, in order of the header; elements with lists are an error."""
+    stop = data.index(b"\n", data.find(b"end_header")) + 1
+    found: list[tuple[str, int, list[tuple[str, str]]]] = []
+    order = "<"
+    for line in data[:stop].decode("ascii", "replace").splitlines():
+        w = line.split()
+        if w[:1] == ["format"]:
+            if w[1] == "ascii":
+                raise ValueError("only binary files have several elements here")
+            order = ">" if w[1] == "binary_big_endian" else "<"
+        elif w[:1] == ["element"]:
+            found.append((w[1], int(w[2]), []))
+        elif w[:1] == ["property"]:
+            if w[1] == "list":
+                raise ValueError("elements with lists are not supported")
+            found[-1][2].append((w[2], order + PLY_TYPES[w[1]]))
+    out, at = {}, stop
+    for name, rows, fields in found:
+        a = np.frombuffer(data, np.dtype(fields), rows, at)
+        out[name] = pd.DataFrame({n: a[n].astype(a[n].dtype.newbyteorder("=")) for n, _ in fields})
+        at += a.nbytes
+    return out
+
+
 def pcd_points(data: bytes) -> pd.DataFrame:
     """Points of an ascii or binary PCD; of fields with several values the first is given, padding fields (_) are skipped. Compressed bodies are an error."""
     head: dict[str, list[str]] = {}
@@ -205,8 +230,8 @@ BITS_XYZ = ((21, 11), (11, 10), (0, 11))
 BITS_RGB = ((24, 8), (16, 8), (8, 8))
 
 
-def unpack_splats(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(row, x, y, z, scale_x.., r, g, b, opacity, q) of packed splats (row, position, scale, colour, rotation; words of 32 bits).
+def unpack_splats(rows: DataFrame, chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, row, x, y, z, scale_x.., r, g, b, opacity, q) of packed splats (row, position, scale, colour, rotation; words of 32 bits).
 
     chunks has the ends of every 256 rows: chunk, lo_x, hi_x, .., lo_scale_x, .., lo_r, ... Colours
     are 0 to 1 within their chunk's ends, opacity is the logit of the colour's last eight bits
@@ -215,14 +240,44 @@ def unpack_splats(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     from sensorloom.functions.geometry import logit
     from sensorloom.functions.keys import unpack_quat
 
-    j = rows.withColumn("chunk", F.floor(F.col("row") / 256)).join(chunks, "chunk")
+    by = by or []
+    j = rows.withColumn("chunk", F.floor(F.col("row") / 256)).join(chunks, [*by, "chunk"])
     place = _lerp_codes(F.col("position"), [(f"lo_{c}", f"hi_{c}", *b) for c, b in zip("xyz", BITS_XYZ)])
     scale = _lerp_codes(F.col("scale"), [(f"lo_scale_{c}", f"hi_scale_{c}", *b) for c, b in zip("xyz", BITS_XYZ)])
     colour = _lerp_codes(F.col("colour"), [(f"lo_{c}", f"hi_{c}", *b) for c, b in zip("rgb", BITS_RGB)])
     a = F.col("colour").cast("bigint").bitwiseAND(255) / 255.0
     opacity = F.when(a <= 0, float("-inf")).when(a >= 1, float("inf")).otherwise(logit(a))
     named = [*zip("xyz", place), *zip(("scale_x", "scale_y", "scale_z"), scale), *zip("rgb", colour)]
-    return j.select("row", *[v.alias(n) for n, v in named], opacity.alias("opacity"), unpack_quat(F.col("rotation")).alias("q"))
+    return j.select(*by, "row", *[v.alias(n) for n, v in named], opacity.alias("opacity"), unpack_quat(F.col("rotation")).alias("q"))
+
+
+# Elements and properties of packed splat files.
+PACKED_WORDS = {"position": "packed_position", "scale": "packed_scale", "colour": "packed_color", "rotation": "packed_rotation"}
+PACKED_ENDS = [*"xyz", "scale_x", "scale_y", "scale_z", *"rgb"]
+
+
+def read_packed_ply(spark: SparkSession, path: str) -> DataFrame:
+    """unpack_splats of packed splat files, with their path. Files without ends of colours have 0 and 1."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = [f"{e}_{c}" for c in PACKED_ENDS for e in ("lo", "hi")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"]):
+                v = ply_elements(bytes(content))["vertex"]
+                yield pd.DataFrame({"path": p, "row": np.arange(len(v)), **{k: v[n].to_numpy().astype(np.int64) for k, n in PACKED_WORDS.items()}})
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"]):
+                c = ply_elements(bytes(content))["chunk"]
+                ends = {f"{e}_{a}": c[f"{n}_{a}"].to_numpy(float) if f"{n}_{a}" in c else np.full(len(c), float(n == "max")) for a in PACKED_ENDS for e, n in (("lo", "min"), ("hi", "max"))}
+                yield pd.DataFrame({"path": p, "chunk": np.arange(len(c)), **ends})
+
+    f = files.select("path", "content")
+    r = f.mapInPandas(rows, "path string, row bigint, position bigint, scale bigint, colour bigint, rotation bigint")
+    c = f.mapInPandas(chunks, "path string, chunk bigint, " + ", ".join(f"{n} double" for n in names))
+    return unpack_splats(r, c, ["path"])
 
 
 def unpack_chunks(rows: DataFrame, chunks: DataFrame, word: str = "position") -> DataFrame:

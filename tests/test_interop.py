@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import geometry as geo
 from sensorloom.functions import keys
-from sensorloom.operators import alignment, fitting, grids, regular_grid
+from sensorloom.operators import alignment, asof, fitting, grids, regular_grid, sync
 from sensorloom.operators import projective as pj
 from sensorloom.operators import spatial as sp
-from sensorloom.sources import bags, binary, calibration, records, tables, text
+from sensorloom.sources import bags, binary, calibration, records, synthetic, tables, text
 
 
 def turn(axis, angle):
@@ -343,3 +343,33 @@ def test_widened_footprints(spark):
     assert got.keys() == want.keys() and any(w[2] > 0 for w in want.values()) and any(w[2] == 0 for w in want.values())
     for i, (n, k, added, ls, op) in want.items():
         assert (got[i].views, got[i].culled) == (n, k) and abs(got[i].added - added) < 1e-9 and np.allclose(got[i].log_scales, ls) and abs(got[i].opacity - op) < 1e-6
+
+
+def test_packed_files(spark, tmp_path):
+    n = 300  # two chunks
+    ends = [f"{e}_{c}" for c in binary.PACKED_ENDS[:6] for e in ("min", "max")]
+    head = "ply\nformat binary_little_endian 1.0\nelement chunk 2\n" + "".join(f"property float {e}\n" for e in ends)
+    head += f"element vertex {n}\n" + "".join(f"property uint {w}\n" for w in binary.PACKED_WORDS.values()) + "end_header\n"
+    chunk = b"".join(struct.pack("<12f", *(k * 10 + (0.0 if e.startswith("min") else 1.0) for e in ends)) for k in (0, 1))
+    body = b"".join(struct.pack("<4I", 2047 << 21, 0, 0xFF000080, 0) for _ in range(n))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.compressed.ply").write_bytes(head.encode() + chunk + body)
+    got = binary.read_packed_ply(spark, str(tmp_path)).collect()
+    assert len(got) == 2 * n and {(r.row < 256, r.x, r.y, r.scale_x, r.r, r.b) for r in got} == {(True, 1.0, 0.0, 0.0, 1.0, 0.0), (False, 11.0, 10.0, 10.0, 1.0, 0.0)}
+    with pytest.raises(ValueError):
+        binary.ply_elements(b"ply\nformat ascii 1.0\nelement vertex 1\nproperty float x\nend_header\n1\n")
+
+
+def test_sequence_with_known_truth(spark):
+    s = synthetic.sequence(spark, "made", 4.0, imu_offset_us=20_000)
+    pose = s["pose_track"].select("seq", "line", regular_grid.micros(F.col("t")).alias("us"), "tmat", *[F.col("tmat")[i].alias(c) for c, i in zip("xyz", (3, 7, 11))])
+    frames = s["frame_record"].select("seq", "frame_id", regular_grid.micros(F.col("t")).alias("us"))
+    b = asof.interpolate(asof.bracket(frames, pose, "seq", "us", "us", list("xyz"), tie="line"), "us", list("xyz"))
+    j = b.join(s["truth"], "frame_id").select(*[F.abs(F.col(f"at_{c}") - F.col("tmat")[i]).alias(c) for c, i in zip("xyz", (3, 7, 11))])
+    assert all(max(r) < 1e-4 for r in j.collect()) and j.count() == 81
+    gyro = s["imu_track"].select("seq", "line", regular_grid.micros(F.col("t")).alias("us"), *[F.col(f"omega.{c}").alias(f"o{c}") for c in "xyz"])
+    ends = sync.track_ends(gyro)
+    lag = sync.stream_lag(pose, gyro, ends).first()
+    assert lag.lag == -4 and abs(lag.lag_ms + 20) < 2  # late stamps, so the rate has to be moved back
+    noisy = synthetic.sequence(spark, "made", 1.0, seed=3, gyro_noise=0.1)["imu_track"]
+    assert noisy.select("omega").collect() == noisy.repartition(3).orderBy("line").select("omega").collect()
