@@ -120,18 +120,20 @@ def k11_assemble(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k12_mesh(spark: SparkSession, d: str) -> DataFrame:
-    """Strips of triangles along each recording's thousandth-line points, written as OBJ and read: counts and edges."""
+    """Strips of triangles along each recording's points of a hundred lines, an OBJ each, written and read: counts and edges."""
     p = poses(spark, d).where("abs(x) < 1000 and abs(y) < 1000 and abs(z) < 1000")
     one = p.groupBy("seq", F.floor(F.col("line") / 100).alias("k")).agg(*[F.avg(c).alias(c) for c in "xyz"])
-    v = one.withColumn("vid", F.row_number().over(Window.orderBy("seq", "k")) - 1)  # a row a hundred lines
-    n = v.agg((F.max("vid") - 1).alias("top"))
-    faces = n.where("top >= 1").select(F.explode(F.sequence(F.lit(0), F.col("top") - 1)).alias("fid")).select("fid", F.col("fid").alias("a"), (F.col("fid") + 1).alias("b"), (F.col("fid") + 2).alias("c"))
-    folder = tables.write_lines(tables.mesh_lines(v, faces).orderBy("part", "n").coalesce(1), tables.folder_for(spark, "mesh"))
-    lines = text.read_lines(spark, folder)
-    vs, fs = tables.read_mesh(lines)
-    a = vs.agg(F.count("*").alias("vertices"), F.round(F.sum("x"), 3).alias("sum_x"))
-    b = fs.agg(F.count("*").alias("faces"), F.max("c").alias("last"))
-    return a.crossJoin(b)  # one row each
+    v = one.withColumn("vid", F.row_number().over(Window.partitionBy("seq").orderBy("k")) - 1)  # a row a hundred lines
+    n = v.groupBy("seq").agg((F.max("vid") - 2).alias("top")).where("top >= 0")
+    faces = n.select("seq", F.explode(F.sequence(F.lit(0), "top")).alias("fid")).select("seq", "fid", F.col("fid").alias("a"), (F.col("fid") + 1).alias("b"), (F.col("fid") + 2).alias("c"))
+    folder = tables.folder_for(spark, "mesh")
+    lines = tables.mesh_lines(v, faces, ["seq"]).repartition("seq").sortWithinPartitions("seq", "part", "n")
+    lines.select("seq", "value").write.mode("overwrite").partitionBy("seq").text(folder)
+    vs, fs = tables.read_mesh(text.read_lines(spark, folder))
+    of = F.url_decode(F.regexp_extract("path", "seq=([^/]*)", 1)).alias("seq")
+    a = vs.groupBy(of).agg(F.count("*").alias("vertices"), F.round(F.sum("x"), 3).alias("sum_x"))
+    b = fs.groupBy(of).agg(F.count("*").alias("faces"), F.max("c").alias("last"))
+    return a.join(b, "seq", "left").select("seq", "vertices", "sum_x", F.coalesce("faces", F.lit(0).cast("bigint")).alias("faces"), "last")
 
 
 def s24_catalogue(spark: SparkSession, d: str) -> DataFrame:
@@ -331,7 +333,8 @@ ORACLE = {
         SELECT seq, CASE WHEN n < 3 THEN 128 WHEN top < 1 THEN 255 ELSE 0 END AS code, count(*) AS cells FROM c GROUP BY 1, 2""",
     "k11_assemble": f"""WITH {FRAMES}, a AS (SELECT rgb_name AS name, min('depth/' || depth_name) AS depth FROM frame_record WHERE depth_name IS NOT NULL GROUP BY 1), b AS (SELECT rgb_name AS name, min('views/' || rec_id) AS view FROM split_frames WHERE split IS NOT NULL GROUP BY 1)
         SELECT frame_id, a.depth, b.view FROM frames f LEFT JOIN a ON a.name = f.rgb_name LEFT JOIN b ON b.name = f.rgb_name""",
-    "k12_mesh": f"""WITH {_P}, o AS (SELECT seq, floor(line / 100) AS k, avg(x) AS x FROM pts GROUP BY 1, 2) SELECT count(*) AS vertices, round(sum(round(x, 6)), 3) AS sum_x, greatest(count(*) - 2, 0) AS faces, count(*) - 1 AS last FROM o""",
+    "k12_mesh": f"""WITH {_P}, o AS (SELECT seq, floor(line / 100) AS k, avg(x) AS x FROM pts GROUP BY 1, 2)
+        SELECT seq, count(*) AS vertices, round(sum(round(x, 6)), 3) AS sum_x, greatest(count(*) - 2, 0) AS faces, CASE WHEN count(*) > 2 THEN count(*) - 1 END AS last FROM o GROUP BY seq""",
     "x12_harmonics": _harmonics_sql(),
     "x13_footprint": f"""WITH {_P}, c AS (SELECT seq, line, {_COV} FROM pts) SELECT seq, line, {', '.join(f'round({n}, 6) + 0.0::DOUBLE AS {n}' for n in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))},
         round(10000 * xx + 200 * {_G!r}::DOUBLE * xz + {_G * _G!r}::DOUBLE * zz, 2) + 0.0::DOUBLE AS image_a,

@@ -126,10 +126,11 @@ def model_lines(cameras: DataFrame, images: DataFrame, by: list[str]) -> dict[st
     return {"cameras": cam, "images": n.select(*by, "image_id", F.concat(pose, F.lit("\n")).alias("value"))}
 
 
-def mesh_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """(part, n, value) of an OBJ mesh: vertices (vid from 0, x, y, z), then triangles (fid, a, b, c of vids), written from 1 on."""
-    v = vertices.select(F.lit(0).alias("part"), F.col("vid").alias("n"), F.format_string("v %.6f %.6f %.6f", "x", "y", "z").alias("value"))
-    f = faces.select(F.lit(1).alias("part"), F.col("fid").alias("n"), F.format_string("f %d %d %d", F.col("a") + 1, F.col("b") + 1, F.col("c") + 1).alias("value"))
+def mesh_lines(vertices: DataFrame, faces: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, part, n, value) of an OBJ mesh per `by`: vertices (vid from 0, x, y, z), then triangles (fid, a, b, c of vids), written from 1 on; in order of part and n."""
+    by = by or []
+    v = vertices.select(*by, F.lit(0).alias("part"), F.col("vid").alias("n"), F.format_string("v %.6f %.6f %.6f", "x", "y", "z").alias("value"))
+    f = faces.select(*by, F.lit(1).alias("part"), F.col("fid").alias("n"), F.format_string("f %d %d %d", F.col("a") + 1, F.col("b") + 1, F.col("c") + 1).alias("value"))
     return v.unionByName(f)
 
 
