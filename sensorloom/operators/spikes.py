@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorloom.operators.regular_grid import present
-from sensorloom.session import cut_lineage
+from sensorloom.session import write_table
 
 CHUNK_LINES = 8192
 HALO_LINES = 256
@@ -176,7 +176,7 @@ def measure_readings(readings: DataFrame, track: str, chunk_lines: int = CHUNK_L
         spread = flat.withColumn("chunk", F.explode(chunks))
         if only is not None:
             spread = spread.join(only, ["source", "chunk"], "left_semi")
-        return cut_lineage(spread.groupBy("source", "chunk").applyInArrow(lambda g: _measure(track, g, chunk_lines), out))
+        return write_table(spread.groupBy("source", "chunk").applyInArrow(lambda g: _measure(track, g, chunk_lines), out))
 
     measured, halo = measure(halo_lines, None), halo_lines
     latest = measured
@@ -191,7 +191,7 @@ def measure_readings(readings: DataFrame, track: str, chunk_lines: int = CHUNK_L
             return measured
         halo *= 8
         latest = measure(halo, short)
-        measured = cut_lineage(measured.join(short, ["source", "chunk"], "left_anti").select(measured.columns).unionByName(latest))
+        measured = write_table(measured.join(short, ["source", "chunk"], "left_anti").select(measured.columns).unionByName(latest))
 
 
 def usual_changes(measured: DataFrame) -> DataFrame:

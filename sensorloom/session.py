@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame) -> DataFrame:
+    """cut_lineage by a Parquet table in the shared folder: for results that several narrow scans read.
+
+    Tables in folders that this process sees are removed when it ends.
+    """
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if folder.startswith(("/", "file:")):
+        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", folder), ignore_errors=True)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of df, from table statistics and without running a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
