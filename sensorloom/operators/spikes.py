@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorloom.operators.regular_grid import present
-from sensorloom.session import write_table
+from sensorloom.session import cut_lineage, write_table
 
 CHUNK_LINES = 8192
 HALO_LINES = 256
@@ -31,6 +31,8 @@ BINS_PER_OCTAVE = 512
 OVER = 3.0
 RISK = 1e-6
 FACTOR = 10.0
+WIDER = 8
+SMALL_ROWS = 131_072  # of at most about half a kilobyte
 # Limits of working sensors and rigid bodies.
 MAX_OMEGA = 35.0  # rad/s, a 2000 degree/s gyroscope
 MAX_ACCEL = 160.0  # m/s², a 16 g accelerometer
@@ -153,6 +155,12 @@ def _as_output(t: pa.Table, channels: tuple[str, ...]) -> pa.Table:
     return pa.table({k: t[k].cast(v) if k in t.column_names else pa.nulls(len(t), v) for k, v in kinds.items()})
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, a few numbers a source or a chunk, to be broadcast while it has at most SMALL_ROWS rows: readings then stay where they are."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def measure_readings(readings: DataFrame, track: str, chunk_lines: int = CHUNK_LINES, halo_lines: int = HALO_LINES) -> DataFrame:
     """Rows of two kinds, written out: readings (source, chunk, line, r0.., stuck, impossible) with one residual
     rate a channel, and tallies (source, chunk, channel, bin, n) with line null: how many changes per second
@@ -161,8 +169,8 @@ def measure_readings(readings: DataFrame, track: str, chunk_lines: int = CHUNK_L
     A source is worked through in chunks of chunk_lines lines, each with halo_lines more on
     both sides, so a source with a third of all rows is spread over many tasks of bounded
     size. Eight valid readings on either side make a chunk's result exact; chunks that found
-    fewer, though the track goes on, are measured again with eight times the halo until none
-    is left.
+    fewer, though the track goes on, are measured again with eight times the halo on that
+    side until none is left; their earlier rows are passed over when read, not written again.
     """
     channels = _channel_names(track)
     rates = ", ".join(f"r{c} float" for c in range(len(channels)))
@@ -171,27 +179,37 @@ def measure_readings(readings: DataFrame, track: str, chunk_lines: int = CHUNK_L
     width = 6 if track == "imu" else 12
     flat = readings.select("source", "line", "t", *[F.col("values")[c].alias(f"v{c}") for c in range(width)])
 
-    def measure(halo: int, only: DataFrame | None) -> DataFrame:
-        chunks = F.sequence(F.floor((line - halo) / chunk_lines), F.floor((line + halo) / chunk_lines))
-        spread = flat.withColumn("chunk", F.explode(chunks))
-        if only is not None:
-            spread = spread.join(only, ["source", "chunk"], "left_semi")
+    def measure(only: DataFrame | None) -> DataFrame:
+        if only is None:
+            spread = flat.withColumn("chunk", F.explode(F.sequence(F.floor((line - halo_lines) / chunk_lines), F.floor((line + halo_lines) / chunk_lines))))
+        else:  # lines are held against their source's few chunks before they are copied, so that no other line moves
+            per = _small(only.groupBy("source").agg(F.collect_list(F.struct("chunk", "before", "after")).alias("_only")))
+            meets = F.filter("_only", lambda c: (line >= c["chunk"] * chunk_lines - c["before"]) & (line < (c["chunk"] + 1) * chunk_lines + c["after"]))
+            spread = flat.join(per, "source").withColumn("chunk", F.explode(F.transform(meets, lambda c: c["chunk"]))).drop("_only")
         return write_table(spread.groupBy("source", "chunk").applyInArrow(lambda g: _measure(track, g, chunk_lines), out))
 
-    measured, halo = measure(halo_lines, None), halo_lines
-    latest = measured
+    parts = [measure(None)]
+    ends = _small(parts[0].where("line is not null").groupBy("source").agg(F.min("line").alias("lo"), F.max("line").alias("hi")))
+    halos = None
     while True:
-        ends = measured.where("line is not null").groupBy("source").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
-        short = latest.where((F.col("channel") < 0) & (F.col("n") < NEEDED_HALO)).join(ends, "source")
-        short = short.where(
-            ((F.col("channel") == -1) & (F.col("lo") < F.col("chunk") * chunk_lines - halo)) | ((F.col("channel") == -2) & (F.col("hi") >= (F.col("chunk") + 1) * chunk_lines + halo))
-        )
-        short = short.select("source", "chunk").distinct()
-        if short.isEmpty():
-            return measured
-        halo *= 8
-        latest = measure(halo, short)
-        measured = write_table(measured.join(short, ["source", "chunk"], "left_anti").select(measured.columns).unionByName(latest))
+        short = parts[-1].where((F.col("channel") < 0) & (F.col("n") < NEEDED_HALO)).select("source", "chunk", "channel")
+        if halos is None:
+            short = short.withColumn("before", F.lit(halo_lines).cast("bigint")).withColumn("after", F.lit(halo_lines).cast("bigint"))
+        else:
+            short = short.join(_small(halos), ["source", "chunk"])
+        first, last = F.col("channel") == -1, F.col("channel") == -2
+        short = short.join(ends, "source").where((first & (F.col("lo") < F.col("chunk") * chunk_lines - F.col("before"))) | (last & (F.col("hi") >= (F.col("chunk") + 1) * chunk_lines + F.col("after"))))
+        # Only the side that is short gets a wider halo.
+        wider = [(F.max(c) * F.max(F.when(side, WIDER).otherwise(1))).cast("bigint").alias(c) for side, c in ((first, "before"), (last, "after"))]
+        halos = cut_lineage(short.groupBy("source", "chunk").agg(*wider))
+        if halos.isEmpty():
+            break
+        only = halos.select("source", "chunk")
+        parts = [p.join(_small(only), ["source", "chunk"], "left_anti").select(p.columns) for p in parts] + [measure(halos)]
+    measured = parts[0]
+    for p in parts[1:]:
+        measured = measured.unionByName(p)
+    return measured
 
 
 def usual_changes(measured: DataFrame) -> DataFrame:
@@ -215,7 +233,7 @@ def tail_cutoffs(measured: DataFrame, usual: DataFrame, channels: tuple[str, ...
     peaks it is ten. factor: an upper bound of the cutoff, where a stated factor decides.
     """
     per = usual.groupBy("source").agg(*[F.max(F.when(F.col("channel") == c, F.col("usual"))).alias(f"u{c}") for c in range(len(channels))])
-    j = measured.where("line is not null").join(per, "source")
+    j = measured.where("line is not null").join(_small(per), "source")
     aggs = []
     for c in range(len(channels)):
         res = F.col(f"r{c}").cast("double") / F.col(f"u{c}")
@@ -251,12 +269,12 @@ def flag_readings(
     """
     channels = _channel_names(track)
     measured = measure_readings(readings, track, chunk_lines, halo_lines)
-    cutoffs = tail_cutoffs(measured, usual_changes(measured), channels, risk=risk, factor=factor)
+    cutoffs = cut_lineage(tail_cutoffs(measured, usual_changes(measured), channels, risk=risk, factor=factor))
     per = cutoffs.groupBy("source").agg(
         *[F.max(F.when(F.col("c") == c, F.col(v))).alias(f"{n}{c}") for c in range(len(channels)) for n, v in (("u", "usual"), ("q", "cutoff"))]
     )
     beyond = [F.coalesce(F.col(f"r{c}") / F.col(f"u{c}") / F.col(f"q{c}"), F.lit(0.0)) for c in range(len(channels))]
-    j = measured.where("line is not null").join(per, "source", "left").withColumn("severity", F.greatest(*beyond))
+    j = measured.where("line is not null").join(_small(per), "source", "left").withColumn("severity", F.greatest(*beyond))
     candidates = j.where((F.col("severity") > 1) | F.col("stuck") | F.col("impossible"))
     spike = F.col("severity") > 1
     if factor is not None:

@@ -156,3 +156,18 @@ def test_runs_over_chunk_edges_behind_missing_readings(spark, halo):
     assert {r.line for r in flags.where("stuck").collect()} == want
     whole, _ = spikes.flag_readings(spikes.imu_values(as_imu(spark, rows)), "imu")
     assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_wide_gap_widens_only_its_own_side(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [("a", i + (40_000 if i >= 250 else 0), i * 0.01, (0.25 if 240 <= i < 260 else rnd.gauss(0, 0.05), *noise(rnd)[:2]), noise(rnd)) for i in range(2000)]
+    tables, whole = [], spikes.write_table
+    monkeypatch.setattr(spikes, "write_table", lambda df: tables.append(whole(df)) or tables[-1])
+    flags, _ = spikes.flag_readings(spikes.imu_values(as_imu(spark, rows)), "imu", 10.0, chunk_lines=100, halo_lines=10)
+    assert {r.line for r in flags.where("stuck").collect()} == {r[1] for r in rows[240:260]}
+    first, *later = [t.where("line is not null").count() for t in tables]
+    assert first == 2000 and later and all(n <= 200 for n in later)  # a wider halo doesn't write the other chunks again
+    plain, _ = spikes.flag_readings(spikes.imu_values(as_imu(spark, [(s, r % 40_000 if r < 40_000 else r - 40_000, *x) for s, r, *x in rows])), "imu", 10.0)
+    assert {r.line for r in plain.collect()} == {r.line - (40_000 if r.line >= 40_000 else 0) for r in flags.collect()}
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
