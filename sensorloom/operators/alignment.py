@@ -10,12 +10,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import geometry as geo
 from sensorloom.operators import asof
-from sensorloom.operators.spatial import radius_join
+from sensorloom.operators.spatial import neighbour_cells, with_cells
 from sensorloom.session import cut_lineage
 
 XYZ = "xyz"
@@ -106,16 +106,39 @@ def symmetry_scores(points: DataFrame, by: list[str], row_id: str, tolerance: fl
 
     Positions are relative to that axis. covered is the share of images within reach of any
     point, inliers the share of these closer than the tolerance, 0 where under least_share are
-    covered. Each point has 63 images; images and points meet by cells of `reach`.
+    covered. Each point has 63 images, which are never copied: one whose own small cell holds a
+    point is near it whatever their places in it, and only the others meet the points around them,
+    which are copied to the cells beside theirs.
     """
     maps = F.array(*[F.struct(F.lit(n).alias("map"), *[F.lit(v).alias(k) for k, v in zip("abcd", m)]) for n, *m in symmetry_maps(step_degrees)])
-    p = points.where("x is not null and y is not null and z is not null").select(*by, F.col(row_id).alias("_i"), *XYZ)
-    images = p.withColumn("_k", F.explode(maps)).select(
-        *by, F.struct(F.col("_k.map").alias("map"), F.col("_i").alias("i")).alias("_to"), (F.col("_k.a") * F.col("x") + F.col("_k.b") * F.col("y")).alias("x"), (F.col("_k.c") * F.col("x") + F.col("_k.d") * F.col("y")).alias("y"), "z"
+    p = cut_lineage(points.where("x is not null and y is not null and z is not null").select(*by, *XYZ))
+    images = p.repartition(4 * int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_k", F.explode(maps)).select(
+        *by, F.col("_k.map").alias("map"), (F.col("_k.a") * F.col("x") + F.col("_k.b") * F.col("y")).alias("qx"), (F.col("_k.c") * F.col("x") + F.col("_k.d") * F.col("y")).alias("qy"), F.col("z").alias("qz")
     )
-    near = radius_join(images, p, by, reach, "_to", "_i").groupBy(*by, "_to").agg(F.min("distance").alias("d"))
+    cells = ["ix", "iy", "iz"]
+    d2 = sum(((F.col(f"q{a}") - F.col(a)) * (F.col(f"q{a}") - F.col(a)) for a in "yz"), (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")))
+
+    def near(name: str, radius: float, close: Column) -> DataFrame:
+        """(by, map, name): the number of images with a point that is `close`, which all points nearer than radius are and none beyond it."""
+        own = _few(with_cells(p, 0.55 * radius).select(*by, *cells).distinct())  # a diagonal of 0.96 radius
+        known = with_cells(images, 0.55 * radius, ["qx", "qy", "qz"]).join(own.withColumn("_sure", F.lit(True)), [*by, *cells], "left").drop(*cells)
+        around = neighbour_cells(with_cells(p, radius)).select(*by, *cells, *XYZ)
+        rest = with_cells(known.where("_sure is null"), radius, ["qx", "qy", "qz"])
+        held = around.select(*by, *cells).distinct()
+        rest = rest.join(_few(held), [*by, *cells], "left_semi")
+        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*by, *cells)]
+        met = rest.alias("l").join(around.alias("r"), [*on, close], "left_semi")
+        return known.where("_sure").select(*by, "map").unionByName(met.select(*by, "map")).groupBy(*by, "map").agg(F.count("*").alias(name))
+
     total = p.groupBy(*by).agg(F.count("*").alias("_n"))
-    g = near.groupBy(*by, F.col("_to.map").alias("map")).agg(F.count("*").alias("_e"), F.count_if(F.col("d") < tolerance).alias("_in"))
+    covered = near("_e", reach, d2 <= reach * reach)
+    inliers = near("_in", min(tolerance, reach), (F.sqrt(d2) < tolerance) & (d2 <= reach * reach))
     every = total.withColumn("map", F.explode(F.transform(maps, lambda m: m["map"])))
-    j = every.join(g, [*by, "map"], "left").withColumn("_e", F.coalesce("_e", F.lit(0)))
+    j = every.join(covered, [*by, "map"], "left").join(inliers, [*by, "map"], "left").withColumn("_e", F.coalesce("_e", F.lit(0))).withColumn("_in", F.when(F.col("_e") > 0, F.coalesce("_in", F.lit(0))))
     return j.select(*by, "map", F.when(F.col("_e") >= least_share * F.col("_n"), F.try_divide(F.col("_in"), F.col("_e"))).otherwise(0.0).alias("inliers"), (F.col("_e") / F.col("_n")).alias("covered"))
+
+
+def _few(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
+    """df, cells without anything else, to be broadcast while there are at most `rows`."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= rows else df

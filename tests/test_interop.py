@@ -313,6 +313,28 @@ def test_symmetry(spark):
     assert max(r.inliers for k, r in got.items() if k != "mirror0") < 0.5
 
 
+def test_symmetry_copies_points_not_their_images(spark, monkeypatch):
+    rnd = random.Random(9)
+    pts = [(s, i, rnd.gauss(0, 0.6), rnd.gauss(0, 0.4), rnd.gauss(0, 0.2)) for s, n in (("s", 90), ("t", 25)) for i in range(n)]
+    copied, whole = [], sp.neighbour_cells
+
+    def spy(df, *a, **k):
+        copied.append(df.count())
+        return whole(df, *a, **k)
+
+    monkeypatch.setattr(sp, "neighbour_cells", spy)
+    monkeypatch.setattr(alignment, "neighbour_cells", spy, raising=False)
+    got = {(r.seq, r.map): r for r in alignment.symmetry_scores(spark.createDataFrame(pts, "seq string, id bigint, x double, y double, z double"), ["seq"], "id", 0.2, 0.5).collect()}
+    assert copied and max(copied) <= len(pts)
+    for s in "st":
+        own = [p[2:] for p in pts if p[0] == s]
+        for name, a, b, c, d in alignment.symmetry_maps():
+            near = [min(math.dist((a * x + b * y, c * x + d * y, z), q) for q in own) for x, y, z in own]
+            e = sum(v <= 0.5 for v in near)
+            r = got[s, name]
+            assert r.covered == e / len(own) and r.inliers == (sum(v < 0.2 for v in near) / e if e >= 0.2 * len(own) else 0)
+
+
 def test_widened_footprints(spark):
     rnd = np.random.default_rng(8)
     cams = [(i, rigid((0, 1, 0), rnd.uniform(-0.2, 0.2), (rnd.uniform(-1, 1), rnd.uniform(-1, 1), -rnd.uniform(2, 9)))) for i in range(7)]
