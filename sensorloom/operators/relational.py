@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -209,18 +212,47 @@ def bootstrap_interval(df: DataFrame, by: list[str], order: str, value: str, res
 
     Blocks are reduced to (sum, count) first; each resample draws as many blocks as there are,
     with repetition, by hashed indices, so the draws are the same on every run and cluster.
+    Resamples are made one after another, a part of them a task, from flat columns: a task
+    holds the group's blocks, 24 bytes each, and one resample.
     """
     b = df.where(F.col(value).isNotNull()).groupBy(*by, F.floor(F.col(order) / block).alias("_b")).agg(F.sum(value).alias("_s"), F.count("*").alias("_k"))
-    g = b.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_b", "_s", "_k"))).alias("_a"))  # one row a block of rows
-    draws = F.transform(F.sequence(F.lit(1), F.size("_a")), lambda i: F.element_at("_a", (F.pmod(F.xxhash64(i, F.col("r"), F.lit(seed)), F.size("_a")) + 1).cast("int")))
-    e = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_d", draws)
-    total = lambda f: F.aggregate("_d", F.lit(0.0), lambda s, x: s + x[f].cast("double"))
-    m = e.select(*by, (total("_s") / total("_k")).alias("m"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    parts = min(8, resamples)
+
+    def resampled(g: pa.Table) -> pa.Table:
+        g = g.take(pc.sort_indices(g, sort_keys=[("_b", "ascending")], null_placement="at_start"))
+        sums, sizes = g["_s"].to_numpy(), g["_k"].to_numpy()
+        n, mine = len(sums), np.arange(1 + g["_part"][0].as_py(), resamples + 1, parts)
+        means = []
+        for r in mine:
+            draw = np.mod(_hashed(np.arange(1, n + 1), int(r), seed), n)
+            total = np.cumsum(sizes[draw].astype(float))[-1]
+            means.append(np.cumsum(sums[draw])[-1] / total)  # summed in the order of the draws
+        keys = {c: pa.chunked_array([pa.concat_arrays([g[c].slice(0, 1).combine_chunks()] * len(mine))]) for c in by}
+        return pa.table({**keys, "m": pa.array(means, pa.float64())})
+
+    spread = b.select(*by, "_b", F.col("_s").cast("double"), "_k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    m = spread.groupBy(*by, "_part").applyInArrow(resampled, f"{kinds}, m double")
     ci = m.groupBy(*by).agg(F.percentile("m", F.array(F.lit((1 - coverage) / 2), F.lit((1 + coverage) / 2))).alias("q"))
     mean = b.groupBy(*by).agg((F.sum("_s") / F.sum("_k")).alias("mean"))
     return mean.join(ci, by).select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def _hashed(*values: np.ndarray | int) -> np.ndarray:
+    """Spark's xxhash64 of columns of 32-bit whole numbers, the first an array."""
+    p1, p2, p3, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = np.full(len(values[0]), 42, np.uint64)
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        for v in values:
+            word = np.asarray(v).astype(np.int32).view(np.uint32).astype(np.uint64)
+            h = turn((h + p5 + np.uint64(4)) ^ (word * p1), 23) * p2 + p3
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
 def two_level_sweep(entities: DataFrame, by: list[str], cost, reach: int, coarse: int, fine: int) -> DataFrame:
     """(by, candidate, cost): the candidate of least cost per entity, of equal ones the smallest.
 

@@ -130,3 +130,21 @@ def test_streams(spark, tmp_path):
     assert {x.n for x in w.where("start = timestamp'1970-01-01 00:16:50'").collect()} == {10}
     held = run(tracks.held_values(tracks.deduplicated(s, ["source", "line"], "ts"), "source", "t", "value"), "held")
     assert sorted(x.length for x in held.collect()) == [8, 9, 10]
+
+
+def test_bootstrap_draws_by_spark_hash_from_flat_rows(spark):
+    rnd = random.Random(12)
+    rows = [(g, i, rnd.gauss(5, 2)) for g, n in (("a", 700), ("b", 95)) for i in range(n)]
+    d = spark.createDataFrame(rows, "g string, i bigint, y double")
+    b = rel.bootstrap_interval(d, ["g"], "i", "y", 40, 10, 3)
+    assert "collect_list" not in b._jdf.queryExecution().optimizedPlan().toString()  # no group's blocks in one value, copied for each resample
+    got = {r.g: r for r in b.collect()}
+    for g, n in (("a", 70), ("b", 10)):
+        blocks = [[y for s, i, y in rows if s == g and i // 10 == k] for k in range(n)]
+        at = spark.range(1, n + 1).crossJoin(spark.range(1, 41).withColumnRenamed("id", "r")).selectExpr("int(id) i", "int(r) r", f"pmod(xxhash64(int(id), int(r), 3), {n}) at").collect()
+        means = []
+        for r in range(1, 41):
+            drawn = [blocks[x["at"]] for x in sorted(at, key=lambda x: x.i) if x.r == r]
+            means.append(sum(sum(v) for v in drawn) / sum(map(len, drawn)))
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert abs(got[g].low - low) < 1e-9 and abs(got[g].high - high) < 1e-9
