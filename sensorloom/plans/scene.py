@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import geometry as geo
 from sensorloom.functions import keys
-from sensorloom.operators import descriptors
+from sensorloom.operators import cameras, descriptors
 from sensorloom.operators import projective as pj
 from sensorloom.operators import spatial as sp
 from sensorloom.plans.base import FRAMES, POSES, VIEWS, frames, poses, views
@@ -169,6 +169,12 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     return pj.seen_from(pts, cams, ["seq", "block"], "rec_id", FX, FY, CX, CY, W, H, 0.1)
 
 
+def _seen(spark: SparkSession, d: str, reduce, out: str) -> DataFrame:
+    """Points in every camera of their recording, reduced camera by camera."""
+    camera = cameras.Camera(FX, FY, CX, CY, W, H, 0.1)
+    return cameras.per_camera(_points(spark, d), _cameras(spark, d), ["seq"], "line", "rec_id", camera, reduce, out)
+
+
 def j18_visibility_any(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -188,7 +194,7 @@ def a14_zbuffer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a15_nearest_payload(spark: SparkSession, d: str) -> DataFrame:
-    return pj.nearest_payload(_hits(spark, d), PIXEL, ["line"], "line").select("rec_id", "u", "v", "line")
+    return _seen(spark, d, cameras.nearest_row("line"), "u int, v int, line bigint").select("rec_id", "u", "v", "line")
 
 
 def a17_surface_depth(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sensorloom.functions import keys
-from sensorloom.operators import fitting, greedy
+from sensorloom.operators import cameras, fitting, greedy
 from sensorloom.operators import projective as pj
 from sensorloom.operators import spatial as sp
 
@@ -123,3 +124,37 @@ def test_register(spark):
     moved = d.select("s", "i", (d.x + 0.03).alias("x"), (d.y - 0.02).alias("y"), "z")
     r = fitting.register(moved, d, ["s"], "i", 0.3, 2).first()
     assert r.kept and r.after < 1e-6 and abs(r.tmat[3] + 0.03) < 1e-6
+
+
+def test_cameras_pass_over_only_what_they_cannot_see():
+    rnd = np.random.default_rng(4)
+    xyz = np.concatenate([rnd.normal(0, 3, (2500, 3)), rnd.uniform(-900, 900, (300, 3)), np.repeat(rnd.normal(0, 1, (1, 3)), 200, axis=0)])
+    turns = np.stack([np.linalg.qr(rnd.normal(size=(3, 3)))[0] for _ in range(40)])
+    turns[3] *= 2.5  # no rotation
+    turns[4, 0] *= 0.1
+    tmat = np.concatenate([turns, rnd.normal(0, 4, (40, 3, 1))], axis=2).reshape(-1, 12)
+    tmat[5, 7] = np.nan
+    camera = cameras.Camera(300.0, 300.0, 160.0, 120.0, 320, 240, 0.1)
+    got = {h.camera: dict(zip(h.point.tolist(), zip(h.pixel.tolist(), h.z.tolist()))) for h in cameras.each_camera(xyz, tmat, camera)}
+    hits = 0
+    for k, m in enumerate(tmat):
+        d = xyz - m[[3, 7, 11]]
+        x, y, z = (m[i] * d[:, 0] + m[4 + i] * d[:, 1] + m[8 + i] * d[:, 2] for i in range(3))
+        with np.errstate(all="ignore"):
+            u, v = np.floor(300 * x / z + 160), np.floor(300 * y / z + 120)
+            at = np.flatnonzero((z > 0.1) & (u >= 0) & (u < 320) & (v >= 0) & (v < 240))
+        assert got.get(k, {}) == {int(i): (int(v[i] * 320 + u[i]), z[i]) for i in at}
+        hits += len(at)
+    assert hits > 2000 and 5 not in got
+
+
+def test_blocks_of_cameras_give_the_same(spark):
+    rnd = random.Random(15)
+    pts = spark.createDataFrame([(s, i, rnd.uniform(1, 5), rnd.uniform(-2, 2), rnd.uniform(-1, 1)) for s in "ab" for i in range(60)], "s string, i bigint, x double, y double, z double")
+    cams = spark.createDataFrame([("a", c, [0.0, 0.0, 1.0, rnd.uniform(-1, 1), -1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0]) for c in range(90)] + [("a", 90, None), ("c", 91, [0.0] * 12)], "s string, c bigint, tmat array<double>")
+    camera = cameras.Camera(300.0, 300.0, 160.0, 120.0, 320, 240, 0.1)
+    for reduce, out, group, values in ((cameras.view_counts(5.0), "any_views bigint, good_views bigint", ["s", "i"], ["any_views", "good_views"]), (cameras.nearest_row("i"), "u int, v int, i bigint", ["c", "u", "v"], ["i"])):
+        one, many = (cameras.per_camera(pts, cams, ["s"], "i", "c", camera, reduce, out, block) for block in (1000, 7))
+        one, many = (sorted(map(tuple, d.groupBy(*group).sum(*values).collect())) for d in (one, many))
+        assert one == many and len(one) > 20
+    assert "FlatMapGroupsInArrow" in cameras.per_camera(pts, cams, ["s"], "i", "c", camera, reduce, out)._jdf.queryExecution().optimizedPlan().toString()
