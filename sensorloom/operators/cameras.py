@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ CHUNK = 128
 FINEST = 0.05  # metres, of the curve's cells
 MOST_COPIES = 1 << 22
 MOST_ROWS = 1 << 17
+PACK = 4096
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,8 @@ def per_camera(points: DataFrame, cameras: DataFrame, by: list[str], row_id: str
     cams = cameras.select(*by, F.col(camera_id).alias("_c"), F.slice("tmat", 1, 12).alias("_m"))
     n = cams.groupBy(*by).agg(F.ceil(F.count("_c") / block).cast("int").alias("_blocks"))
     cams = cams.join(n, by).withColumn("_block", F.pmod(F.xxhash64("_c"), F.col("_blocks")).cast("int")).drop("_blocks")
-    p = points.select(*by, F.col(row_id).alias("_i"), "x", "y", "z").join(n, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    packed = points.groupBy(*by, F.floor(F.col(row_id) / PACK).alias("_p")).agg(F.collect_list(F.struct(F.col(row_id).alias("_i"), "x", "y", "z")).alias("_l"))  # copies are of few wide rows
+    p = packed.select(*by, *[F.col(f"_l.{c}").alias(c) for c in ("_i", "x", "y", "z")]).join(n, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
     both = p.withColumn("_m", F.lit(None).cast("array<double>")).unionByName(cams, allowMissingColumns=True)
     name, column, kind = (row_id, "_i", points.schema[row_id]) if reduce.of == "point" else (camera_id, "_c", cameras.schema[camera_id])
 
@@ -136,7 +137,7 @@ def per_camera(points: DataFrame, cameras: DataFrame, by: list[str], row_id: str
         for g in batches:
             key = key or {c: g.column(c).slice(0, 1) for c in kept}
             view = g.column("_m").is_valid()
-            rows.append(pa.Table.from_batches([g]).select(["_i", *"xyz"]).filter(pc.invert(view)))
+            rows.append(pa.table({c: g.column(c).flatten() for c in ("_i", *"xyz")}))
             views.append(pa.Table.from_batches([g]).select(["_c", "_m"]).filter(view))
         left, right = pa.concat_tables(rows), pa.concat_tables(views)
         rows = views = None

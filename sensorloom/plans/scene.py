@@ -184,8 +184,8 @@ def j18_visibility_any(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j19_view_counts(spark: SparkSession, d: str) -> DataFrame:
-    h = pj.seen_from(_points(spark, d), _cameras(spark, d), ["seq"], "rec_id", FX, FY, CX, CY, W, H, 0.1)
-    return h.groupBy("seq", "line").agg(F.count("*").alias("any_views"), F.count_if(F.col("range") < 5).alias("good_views"))
+    h = _seen(spark, d, cameras.view_counts(5.0), "any_views bigint, good_views bigint")
+    return h.groupBy("seq", "line").agg(*[F.sum(c).alias(c) for c in ("any_views", "good_views")])
 
 
 def a14_zbuffer(spark: SparkSession, d: str) -> DataFrame:
