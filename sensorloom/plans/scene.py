@@ -176,11 +176,8 @@ def _seen(spark: SparkSession, d: str, reduce, out: str) -> DataFrame:
 
 
 def j18_visibility_any(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    j = _hits(spark, d).select(*PIXEL, "line", "z").withColumn("depth", F.min("z").over(Window.partitionBy(*PIXEL)))
-    rules = [F.bool_or(pj.visibility(F.col("z"), F.col("depth"), r)).alias(r) for r in ("surface", "open", "fill")]
-    return j.groupBy("seq", "line").agg(*rules)
+    j = _seen(spark, d, cameras.visible(), "surface boolean, open boolean, fill boolean")
+    return j.groupBy("seq", "line").agg(*[F.bool_or(r).alias(r) for r in ("surface", "open", "fill")])
 
 
 def j19_view_counts(spark: SparkSession, d: str) -> DataFrame:
