@@ -200,8 +200,7 @@ def a17_surface_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f17_support(spark: SparkSession, d: str) -> DataFrame:
-    s = pj.surface_depth(pj.splat(_hits(spark, d).where("z > 0.5"), FX, 0.05, W, H), PIXEL)
-    return pj.supported(s, PIXEL[:3]).groupBy("rec_id").agg(F.count("*").alias("pixels"))
+    return _seen(spark, d, cameras.supported(0.5, 0.05), "pixels bigint").select("rec_id", "pixels")
 
 
 REACH = 12.0  # metres that a scanner sees
