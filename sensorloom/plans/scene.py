@@ -195,7 +195,7 @@ def a15_nearest_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a17_surface_depth(spark: SparkSession, d: str) -> DataFrame:
-    s = pj.surface_depth(pj.splat(_hits(spark, d).where("z > 0.5"), FX, 0.05, W, H), PIXEL)
+    s = _seen(spark, d, cameras.surface_depth(0.5, 0.05), "u int, v int, depth double, hits bigint")
     return s.select("rec_id", "u", "v", F.round("depth", 5).alias("depth"), "hits")
 
 
