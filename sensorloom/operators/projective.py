@@ -33,18 +33,6 @@ def seen_from(points: DataFrame, cameras: DataFrame, by: list[str], camera_id: s
     return j.drop("_m", "_p")
 
 
-def camera_blocks(points: DataFrame, cameras: DataFrame, by: list[str], camera_id: str, size: int = 128) -> tuple[DataFrame, DataFrame]:
-    """points and cameras with `block`: about `size` cameras of the same `by` a block, points copied to each block of theirs.
-
-    The copies are partitioned by (by, block), so what seen_from finds on them is grouped by
-    (by, block, camera, pixel) without moving hits. The number of blocks is one row a group.
-    """
-    n = cameras.groupBy(*by).agg(F.ceil(F.count(camera_id) / size).cast("int").alias("_blocks"))
-    cams = cameras.join(F.broadcast(n), by).withColumn("block", F.pmod(F.xxhash64(camera_id), F.col("_blocks")).cast("int")).drop("_blocks")
-    copies = points.join(F.broadcast(n), by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
-    return copies.repartition(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "block"), cams
-
-
 def z_buffer(hits: DataFrame, pixel: list[str], min_hits: int = 1) -> DataFrame:
     """Nearest depth of each pixel with at least min_hits returns."""
     return hits.groupBy(*pixel).agg(F.min("z").alias("z"), F.count("*").alias("hits")).where(F.col("hits") >= min_hits)

@@ -155,20 +155,11 @@ def j17_guard(spark: SparkSession, d: str) -> DataFrame:
     return v.where("split = 'train'").join(near.select("rec_id").distinct(), "rec_id", "left_anti").select("rec_id")
 
 
-PIXEL = ["seq", "block", "rec_id", "u", "v"]
-
-
 def _cameras(spark: SparkSession, d: str) -> DataFrame:
     looking = F.array(*[F.lit(float(v)) for v in (0, 0, 1, 0, -1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 0, 1)])  # camera in the body: z forward, y down
     return views(spark, d).select("seq", "rec_id", geo.compose(F.col("tmat"), looking).alias("tmat"))
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Points in every camera of their recording, by blocks of cameras: a pixel's hits are in one block."""
-    pts, cams = pj.camera_blocks(_points(spark, d), _cameras(spark, d), ["seq"], "rec_id")
-    return pj.seen_from(pts, cams, ["seq", "block"], "rec_id", FX, FY, CX, CY, W, H, 0.1)
-
-
 def _seen(spark: SparkSession, d: str, reduce, out: str) -> DataFrame:
     """Points in every camera of their recording, reduced camera by camera."""
     camera = cameras.Camera(FX, FY, CX, CY, W, H, 0.1)
@@ -186,7 +177,7 @@ def j19_view_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a14_zbuffer(spark: SparkSession, d: str) -> DataFrame:
-    z = pj.z_buffer(_hits(spark, d), PIXEL, 2)
+    z = _seen(spark, d, cameras.z_buffer(2), "u int, v int, z double, hits bigint")
     return z.select("rec_id", "u", "v", F.round("z", 5).alias("z"), "hits")
 
 
