@@ -3,7 +3,8 @@
 Every point is held against every camera of its recording, but points lie in chunks along a
 space-filling curve, and a camera passes over the chunks whose sphere lies outside of its
 image. Only what is left of a camera's hits (pixels, or counts a point) leaves the task.
-A task holds all points of one recording and up to BLOCK of its cameras.
+A task holds all points of one recording and up to BLOCK of its cameras (per_camera), or a
+pack of its points and all of its cameras (per_point).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 BLOCK = 1024
 CHUNK = 128
@@ -22,6 +24,9 @@ FINEST = 0.05  # metres, of the curve's cells
 MOST_COPIES = 1 << 22
 MOST_ROWS = 1 << 17
 PACK = 4096
+POINTS = 8192  # ids of points in a task of per_point
+MOST_PAIRS = 1 << 20  # of a chunk and all cameras
+AT_ONCE = 1 << 15  # pairs whose arrays stay in the processor's cache
 
 
 @dataclass(frozen=True)
@@ -65,6 +70,25 @@ def _matrices(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def _local(m: np.ndarray, d: list[np.ndarray], i: int) -> np.ndarray:
+    return m[i] * d[0] + m[4 + i] * d[1] + m[8 + i] * d[2]
+
+
+def _maybe_seen(m: np.ndarray, stretch: np.ndarray, mid: list[np.ndarray], ball: np.ndarray, camera: Camera) -> np.ndarray:
+    """Whether a sphere may reach into the image: of many spheres for one transform, or of one for many."""
+    fx, fy, cx, cy, width, height = camera.fx, camera.fy, camera.cx, camera.cy, camera.width, camera.height
+    sides = [np.hypot(f, c) for f, c in ((fx, cx), (fx, cx - width), (fy, cy), (fy, cy - height))]
+    d = [mid[a] - m[4 * a + 3] for a in range(3)]
+    x, y, z = (_local(m, d, i) for i in range(3))
+    r = ball * (stretch * (1 + 1e-6)) + 1e-6 * (1 + np.abs(x) + np.abs(y) + np.abs(z))
+    maybe = (z + r > camera.min_z) & (fx * x + cx * z > -sides[0] * r) & (fx * x + (cx - width) * z < sides[1] * r)
+    return maybe & (fy * y + cy * z > -sides[2] * r) & (fy * y + (cy - height) * z < sides[3] * r)
+
+
+def _stretch(tmat: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(tmat.reshape(-1, 3, 4)[:, :, :3], 2, axis=(1, 2))
+
+
 def each_camera(xyz: np.ndarray, tmat: np.ndarray, camera: Camera) -> Iterator[Hits]:
     """Hits of each camera that sees a point; one whose transform has a value that is not finite sees none."""
     order = _along_curve(xyz)
@@ -75,28 +99,18 @@ def each_camera(xyz: np.ndarray, tmat: np.ndarray, camera: Camera) -> Iterator[H
     low, high = np.fmin.reduce(laid, axis=2), np.fmax.reduce(laid, axis=2)
     mid, ball = (low + high) / 2, np.sqrt(((high - low) ** 2).sum(axis=0)) / 2
     finite = np.isfinite(tmat).all(axis=1)
-    turns = np.where(finite[:, None], tmat, 0.0).reshape(-1, 3, 4)[:, :, :3]
-    stretch = np.linalg.norm(turns, 2, axis=(1, 2))
+    stretch = _stretch(np.where(finite[:, None], tmat, 0.0))
     fx, fy, cx, cy, width, height = camera.fx, camera.fy, camera.cx, camera.cy, camera.width, camera.height
-    sides = [np.hypot(f, c) for f, c in ((fx, cx), (fx, cx - width), (fy, cy), (fy, cy - height))]
-
-    def local(m: np.ndarray, d: list[np.ndarray], i: int) -> np.ndarray:
-        return m[i] * d[0] + m[4 + i] * d[1] + m[8 + i] * d[2]
 
     with np.errstate(all="ignore"):
         for k in np.flatnonzero(finite):
             m = tmat[k]
-            d = [mid[a] - m[4 * a + 3] for a in range(3)]
-            x, y, z = (local(m, d, i) for i in range(3))
-            r = ball * (stretch[k] * (1 + 1e-6)) + 1e-6 * (1 + np.abs(x) + np.abs(y) + np.abs(z))
-            maybe = (z + r > camera.min_z) & (fx * x + cx * z > -sides[0] * r) & (fx * x + (cx - width) * z < sides[1] * r)
-            maybe &= (fy * y + cy * z > -sides[2] * r) & (fy * y + (cy - height) * z < sides[3] * r)
-            near = np.flatnonzero(maybe)
+            near = np.flatnonzero(_maybe_seen(m, stretch[k], mid, ball, camera))
             if not len(near):
                 continue
             d = [laid[a][near] - m[4 * a + 3] for a in range(3)]
-            z = local(m, d, 2)
-            x, y = local(m, d, 0), local(m, d, 1)
+            z = _local(m, d, 2)
+            x, y = _local(m, d, 0), _local(m, d, 1)
             u, v = np.floor(fx * x / z + cx), np.floor(fy * y / z + cy)
             flat = np.flatnonzero((z > camera.min_z) & (u >= 0) & (u < width) & (v >= 0) & (v < height))
             if not len(flat):
@@ -332,3 +346,109 @@ def supported(least_z: float, voxel: float, slack: float = 1.05, support: int =
         yield np.array(at, np.int64), {"pixels": np.array(pixels, np.int64)}
 
     return Reduce("camera", reduce)
+
+
+def per_point(points: DataFrame, cameras: DataFrame, by: list[str], row_id: str, carried: list[str], reduce: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], out: str) -> DataFrame:
+    """(by, row_id, ..carried, ..out): reduce gets the other columns (doubles) of a pack of points, and the finite transforms of all cameras of its `by`.
+
+    It gives the numbers of the points that have a row, and their columns. Ids of points are whole numbers.
+    """
+    p = points.withColumn("_p", F.floor(F.col(row_id) / POINTS))
+    values = [c for c in points.columns if c not in (*by, row_id, *carried)]
+    names = [row_id, *carried, *values]
+    m = F.slice("tmat", 1, 12)
+    c = cameras.where((F.size("tmat") >= 12) & F.forall(m, lambda v: v.isNotNull() & (F.abs(v) < float("inf")))).groupBy(*by).agg(F.flatten(F.collect_list(m)).alias("_m"))
+    packs = p.groupBy(*by, "_p").agg(F.collect_list(F.struct(*names)).alias("_l")).select(*by, "_p", *[F.col(f"_l.{n}").alias(n) for n in names])
+    both = packs.unionByName(p.select(*by, "_p").distinct().join(c, by), allowMissingColumns=True)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, views, key = [], [], {}
+        for g in batches:
+            key = key or {c: g.column(c).slice(0, 1) for c in by}
+            rows.append(pa.table({c: g.column(c).flatten() for c in names}))
+            views.append(g.column("_m").flatten())
+        own, tmat = pa.concat_tables(rows), pa.chunked_array(views).to_numpy().reshape(-1, 12)
+        if not len(own) or not len(tmat):
+            return
+        at, columns = reduce({c: own[c].to_numpy() for c in values}, tmat)
+        kept = own.select([row_id, *carried]).combine_chunks().take(pa.array(at, pa.int64()))
+        keys = {c: v.take(pa.array(np.zeros(len(at), np.int64))) for c, v in key.items()}
+        yield from pa.table({**keys, **{c: kept[c] for c in kept.column_names}, **{c: pa.array(v) for c, v in columns.items()}}).to_batches()
+
+    schema = StructType([*(StructField(c, points.schema[c].dataType) for c in (*by, row_id, *carried)), *StructType.fromDDL(out)])
+    tasks = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, *by, "_p").groupBy(*by, "_p").applyInArrow(folded, schema)
+
+
+COVARIANCE = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def _turned(tmat: np.ndarray) -> np.ndarray:
+    """(6, 6, cameras): a covariance's six values times the k-th six by six give its k-th value along the camera's axes."""
+    c = tmat.reshape(-1, 3, 4)
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    return np.array([[c[:, a, i] * c[:, b, j] + (c[:, b, i] * c[:, a, j] if a != b else 0) for a, b in pairs] for i, j in pairs])
+
+
+def footprints(camera: Camera, blur: float, least: float, margin: float, culled_share: float):
+    """For per_point over x, y, z and COVARIANCE: views, culled, need and ratio of projective.widened_footprints for each point that a camera sees.
+
+    need and ratio are those of points under `least` in more than culled_share of their views, else 0 and 1.
+    """
+    fx, fy, cx, cy, width, height = camera.fx, camera.fy, camera.cx, camera.cy, camera.width, camera.height
+
+    def chunk(p: np.ndarray, cov: np.ndarray, m: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, ...]:
+        n, k = len(p), m.shape[1]
+        views, culled = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        need, ratio = np.full((n, k), np.nan), np.full((n, k), np.nan)
+        for start in range(0, k, size := max(1, AT_ONCE // n)):
+            c = m[:, None, start : start + size]
+            away = [p[:, a, None] - c[4 * a + 3] for a in range(3)]
+            x, y, z = (_local(c, away, i) for i in range(3))
+            u, v = np.floor(fx * x / z + cx), np.floor(fy * y / z + cy)
+            hit = (z > camera.min_z) & (u >= 0) & (u < width) & (v >= 0) & (v < height)
+            flat = np.flatnonzero(hit)
+            if not len(flat):
+                continue
+            xx, xy, xz, yy, yz, zz = ((cov @ t[:, start : start + size]).ravel()[flat] for t in turned)
+            x, y, z = x.ravel()[flat], y.ravel()[flat], z.ravel()[flat]
+            x, y = x / z, y / z
+            a = (fx / z) ** 2 * (xx - x * (2 * xz - x * zz)) + blur
+            b = fx * fy / (z * z) * (xy - y * xz - x * (yz - y * zz))
+            d = (fy / z) ** 2 * (yy - y * (2 * yz - y * zz)) + blur
+            top = (a + d) / 2 + np.sqrt((a - d) * (a - d) / 4 + b * b)
+            more = np.maximum(0.0, margin * least - top)
+            row, area = flat // hit.shape[1], a * d - b * b
+            views += hit.sum(axis=1)
+            culled += np.bincount(row[top < least], minlength=n)
+            at = flat + row * (k - hit.shape[1]) + start
+            need.ravel()[at] = more / (0.5 * (fx + fy) / z) ** 2
+            ratio.ravel()[at] = np.sqrt(area / np.maximum((a + more) * (d + more) - b * b, 1e-20))
+        thin = np.flatnonzero(culled > culled_share * views)
+        out = np.zeros(n), np.ones(n)
+        for whole, lower in zip((need, ratio), out):
+            whole = np.sort(whole[thin], axis=1)
+            lower[thin] = whole[np.arange(len(thin)), (views[thin] - 1) // 2]
+        return views, culled, *out
+
+    def reduce(columns: dict[str, np.ndarray], tmat: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        xyz, cov = np.stack([columns[c] for c in "xyz"], axis=1), np.stack([columns[c] for c in COVARIANCE], axis=1)
+        own = np.flatnonzero(np.isfinite(xyz).all(axis=1))
+        own = own[_along_curve(xyz[own])] if len(own) else own
+        m, stretch, turned = np.ascontiguousarray(tmat.T), _stretch(tmat), _turned(tmat)
+        numbers, parts = [np.zeros(0, np.int64)], []
+        size = min(CHUNK, max(1, MOST_PAIRS // len(tmat)))
+        with np.errstate(all="ignore"):
+            for start in range(0, len(own), size):
+                at = own[start : start + size]
+                low, high = xyz[at].min(axis=0), xyz[at].max(axis=0)
+                near = np.flatnonzero(_maybe_seen(m, stretch, (low + high) / 2, np.sqrt(((high - low) ** 2).sum()) / 2, camera))
+                if len(near):
+                    part = chunk(xyz[at], cov[at], m[:, near], turned[:, :, near])
+                    seen = part[0] > 0
+                    numbers.append(at[seen])
+                    parts.append([c[seen] for c in part])
+        names = {"views": np.int64, "culled": np.int64, "need": float, "ratio": float}
+        return np.concatenate(numbers), {n: _joined([p[i] for p in parts], kind) for i, (n, kind) in enumerate(names.items())}
+
+    return reduce

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorloom.functions import geometry as geo
+from sensorloom.operators import cameras as cam
 from sensorloom.session import estimated_bytes
 
 MAX_BROADCAST = 64 << 20
@@ -158,22 +159,16 @@ def widened_footprints(
     A row under it in more than culled_share of its views gets the lower median of the
     variance that would lift it to margin·least, on all axes, and its opacity is scaled by the
     lower median of the root of the areas' ratio, so that its energy stays. Others keep theirs;
-    rows that no camera sees have no row. A row's views are bounded by its cameras.
+    rows that no camera sees have no row. Ids are whole numbers; packs of rows meet all cameras of
+    their `by` in flat arrays, and only a line a row leaves the task. A camera whose transform has
+    a value that is not finite sees none; camera_id does not matter.
     """
-    hits = seen_from(rows.select(*by, row_id, *"xyz"), cameras, by, camera_id, fx, fy, cx, cy, width, height, 0.01).select(*by, row_id, camera_id, F.col("z").alias("depth"))
-    hits = hits.join(rows.select(*by, row_id, *"xyz", "r", "log_scales"), [*by, row_id]).join(cameras.select(*by, camera_id, F.col("tmat").alias("_m")), [*by, camera_id])
-    hits = hits.withColumn("_c", geo.body_covariance(F.col("r"), F.transform("log_scales", lambda v: F.exp(v))))
-    hits = hits.withColumn("_i", geo.image_covariance(geo.point(F.col("x"), F.col("y"), F.col("z")), F.col("_c"), F.col("_m"), fx, fy))
-    hits = hits.select(*by, row_id, "depth", (F.col("_i.a") + blur).alias("a"), F.col("_i.b").alias("b"), (F.col("_i.d") + blur).alias("d"))
-    a, b, d = F.col("a"), F.col("b"), F.col("d")
-    hits = hits.withColumn("top", (a + d) / 2 + F.sqrt((a - d) * (a - d) / 4 + b * b)).withColumn("gain", F.pow(0.5 * (fx + fy) / F.greatest("depth", F.lit(1e-3)), 2))
-    hits = hits.withColumn("need", F.greatest(F.lit(0.0), margin * least - F.col("top")) / F.col("gain"))
-    more = F.col("gain") * F.col("need")
-    hits = hits.withColumn("ratio", F.sqrt((a * d - b * b) / F.greatest((a + more) * (d + more) - b * b, F.lit(1e-20))))
-    lower = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
-    g = hits.groupBy(*by, row_id).agg(F.count("*").alias("views"), F.count_if(F.col("top") < least).alias("culled"), lower("need").alias("need"), lower("ratio").alias("ratio"))
+    cov = geo.body_covariance(F.col("r"), F.array(*[F.exp(F.col("log_scales")[k]) for k in range(3)]))
+    p = rows.select(*by, row_id, "log_scales", "opacity", *"xyz", cov.alias("_c")).select("*", *[F.col("_c")[i].alias(n) for i, n in enumerate(cam.COVARIANCE)]).drop("_c")
+    reduce = cam.footprints(cam.Camera(fx, fy, cx, cy, width, height, 0.01), blur, least, margin, culled_share)
+    g = cam.per_point(p, cameras.select(*by, "tmat"), by, row_id, ["log_scales", "opacity"], reduce, "views bigint, culled bigint, need double, ratio double")
     fix = (F.col("culled") > culled_share * F.col("views")) & (F.col("need") > 0)
-    j = g.join(rows.select(*by, row_id, "log_scales", "opacity"), [*by, row_id]).withColumn("added", F.when(fix, F.col("need")).otherwise(0.0))
+    j = g.withColumn("added", F.when(fix, F.col("need")).otherwise(0.0))
     scales = F.transform("log_scales", lambda v: 0.5 * F.log(F.exp(2 * v) + F.col("added")))
     shared = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), geo.sigmoid(F.col("opacity")) * F.col("ratio")))
     return j.select(

@@ -367,6 +367,57 @@ def test_widened_footprints(spark):
         assert (got[i].views, got[i].culled) == (n, k) and abs(got[i].added - added) < 1e-9 and np.allclose(got[i].log_scales, ls) and abs(got[i].opacity - op) < 1e-6
 
 
+def lines_shuffled(spark):
+    """Records that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_footprints_of_many_views(spark):
+    rnd = np.random.default_rng(9)
+    cams = [(s, i, rigid((0, 1, 0), rnd.uniform(-0.3, 0.3), (rnd.uniform(-1, 1), rnd.uniform(-1, 1), -rnd.uniform(1, 9)))) for s, n in (("a", 420), ("b", 9)) for i in range(n)]  # more than are worked out at once
+    rows = [(s, 61 * i, rnd.uniform(-2, 2, 3), turn(rnd.normal(size=3), 1.0), np.log(rnd.uniform(1e-4, 0.02, 3)), float(rnd.normal())) for s, n in (("a", 300), ("b", 40)) for i in range(n)]  # several packs and chunks
+    want, hits = {}, 0
+    for s in "ab":
+        m = np.array([c[2] for c in cams if c[0] == s])
+        for _, i, p, r, ls, op in (r for r in rows if r[0] == s):
+            q = np.einsum("cji,cj->ci", m[:, :3, :3], p - m[:, :3, 3])
+            t = m[q[:, 2] > 0.01]
+            q = q[q[:, 2] > 0.01]
+            u, v = np.floor(300 * q[:, 0] / q[:, 2] + 160), np.floor(300 * q[:, 1] / q[:, 2] + 120)
+            ok = (u >= 0) & (u < 320) & (v >= 0) & (v < 240)
+            t, (x, y, z), o = t[ok], q[ok].T, np.zeros(int(ok.sum()))
+            hits += len(o)
+            if not len(o):
+                continue
+            j = np.array([[300 / z, o, -300 * x / z**2], [o, 300 / z, -300 * y / z**2]]).transpose(2, 0, 1) @ t[:, :3, :3].transpose(0, 2, 1)
+            c = j @ (r @ np.diag(np.exp(2 * ls)) @ r.T) @ j.transpose(0, 2, 1) + 0.3 * np.eye(2)
+            top, gain = np.linalg.eigvalsh(c)[:, 1], (300 / z) ** 2
+            need = np.maximum(0, 1.05 - top) / gain
+            ratio = np.sqrt(np.linalg.det(c) / np.linalg.det(c + (gain * need)[:, None, None] * np.eye(2)))
+            k, culled = (len(o) - 1) // 2, int((top < 1).sum())
+            added = np.sort(need)[k] if culled > 0.5 * len(o) else 0.0
+            a = np.sort(ratio)[k] / (1 + math.exp(-op))
+            want[s, i] = (len(o), culled, added, 0.5 * np.log(np.exp(2 * ls) + added), math.log(a / (1 - a)) if added > 0 else op)
+    broken = [("a", 1000 + i, np.where(np.arange(16).reshape(4, 4) == k, v, np.eye(4))) for i, (k, v) in enumerate(((0, np.nan), (11, np.nan), (3, np.inf)))]  # these see nothing
+    c = spark.createDataFrame([(s, i, m.ravel().tolist()) for s, i, m in cams + broken], "seq string, cam int, tmat array<double>")
+    d = spark.createDataFrame([(s, i, *map(float, p), r.ravel().tolist(), ls.tolist(), op) for s, i, p, r, ls, op in rows], "seq string, id bigint, x double, y double, z double, r array<double>, log_scales array<double>, opacity double")
+    before, bound = lines_shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as large tables have them
+    try:
+        got = {(r.seq, r.id): r for r in pj.widened_footprints(d, c, ["seq"], "id", "cam", 300.0, 300.0, 160.0, 120.0, 320, 240).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    shuffled = lines_shuffled(spark) - before
+    assert got.keys() == want.keys() and sum(r.views for r in got.values()) == hits > 20 * (len(rows) + len(cams))
+    for k, (n, culled, added, ls, op) in want.items():
+        r = got[k]
+        assert (r.views, r.culled) == (n, culled) and abs(r.added - added) < 1e-9 and np.allclose(r.log_scales, ls) and abs(r.opacity - op) < 1e-6
+    assert shuffled < hits / 10  # no line a view
+
+
 def test_packed_files(spark, tmp_path):
     n = 300  # two chunks
     ends = [f"{e}_{c}" for c in binary.PACKED_ENDS[:6] for e in ("min", "max")]
