@@ -25,8 +25,9 @@ MOST_COPIES = 1 << 22
 MOST_ROWS = 1 << 17
 PACK = 4096
 POINTS = 8192  # ids of points in a task of per_point
-MOST_PAIRS = 1 << 20  # of a chunk and all cameras
-AT_ONCE = 1 << 15  # pairs whose arrays stay in the processor's cache
+MOST_PAIRS = 1 << 21  # of a chunk and all cameras
+AT_ONCE = 1 << 14  # pairs whose arrays stay in the processor's cache
+LONG = 256  # values, from which on a row's median is found by itself
 
 
 @dataclass(frozen=True)
@@ -383,11 +384,26 @@ def per_point(points: DataFrame, cameras: DataFrame, by: list[str], row_id: str,
 COVARIANCE = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
-def _turned(tmat: np.ndarray) -> np.ndarray:
-    """(6, 6, cameras): a covariance's six values times the k-th six by six give its k-th value along the camera's axes."""
-    c = tmat.reshape(-1, 3, 4)
+def _turned(tmat: np.ndarray, fx: float, fy: float) -> np.ndarray:
+    """(cameras, 6, 6): the k-th row times a covariance's six values gives its k-th value along the camera's axes, x and y in units of the focal lengths."""
+    c = tmat.reshape(-1, 3, 4)[:, :, :3] * np.array([fx, fy, 1.0])
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    return np.array([[c[:, a, i] * c[:, b, j] + (c[:, b, i] * c[:, a, j] if a != b else 0) for a, b in pairs] for i, j in pairs])
+    return np.stack([np.stack([c[:, a, i] * c[:, b, j] + (c[:, b, i] * c[:, a, j] if a != b else 0) for a, b in pairs], axis=1) for i, j in pairs], axis=1)
+
+
+def _row_counts(mask: np.ndarray) -> np.ndarray | int:
+    return mask.shape[1] if mask.all() else np.count_nonzero(mask, axis=1)
+
+
+def _lower_medians(values: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each of the rows the lower median of its `counts` values, which come first by size, NaN last; values are moved."""
+    at = (counts[rows] - 1) // 2
+    if values.shape[1] > LONG:
+        for i, k in zip(rows, at):
+            values[i].partition(k)
+    else:
+        values.sort(axis=1)
+    return values[rows, at]
 
 
 def footprints(camera: Camera, blur: float, least: float, margin: float, culled_share: float):
@@ -396,46 +412,42 @@ def footprints(camera: Camera, blur: float, least: float, margin: float, culled_
     need and ratio are those of points under `least` in more than culled_share of their views, else 0 and 1.
     """
     fx, fy, cx, cy, width, height = camera.fx, camera.fy, camera.cx, camera.cy, camera.width, camera.height
+    focal = (0.5 * (fx + fy)) ** 2
 
-    def chunk(p: np.ndarray, cov: np.ndarray, m: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, ...]:
-        n, k = len(p), m.shape[1]
+    def chunk(p: np.ndarray, cov: np.ndarray, tmat: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Most pairs of a chunk and the cameras near it are hits, so all are worked out and the others masked."""
+        n, k = len(p), len(tmat)
+        m = tmat.reshape(-1, 3, 4).transpose(1, 2, 0)
+        p, m = np.concatenate([p, np.ones((n, 1))], axis=1), np.concatenate([m[:, :3], -(m[:, :3] * m[:, 3:]).sum(axis=0)[None]])
         views, culled = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        need, ratio = np.full((n, k), np.nan), np.full((n, k), np.nan)
+        need, ratio = np.empty((n, k)), np.empty((n, k))
         for start in range(0, k, size := max(1, AT_ONCE // n)):
-            c = m[:, None, start : start + size]
-            away = [p[:, a, None] - c[4 * a + 3] for a in range(3)]
-            x, y, z = (_local(c, away, i) for i in range(3))
-            u, v = np.floor(fx * x / z + cx), np.floor(fy * y / z + cy)
+            part = slice(start, start + size)
+            x, y, z = (p @ m[:, i, part] for i in range(3))
+            x, y = fx * x / z, fy * y / z
+            u, v = np.floor(x + cx), np.floor(y + cy)
             hit = (z > camera.min_z) & (u >= 0) & (u < width) & (v >= 0) & (v < height)
-            flat = np.flatnonzero(hit)
-            if not len(flat):
-                continue
-            xx, xy, xz, yy, yz, zz = ((cov @ t[:, start : start + size]).ravel()[flat] for t in turned)
-            x, y, z = x.ravel()[flat], y.ravel()[flat], z.ravel()[flat]
-            x, y = x / z, y / z
-            a = (fx / z) ** 2 * (xx - x * (2 * xz - x * zz)) + blur
-            b = fx * fy / (z * z) * (xy - y * xz - x * (yz - y * zz))
-            d = (fy / z) ** 2 * (yy - y * (2 * yz - y * zz)) + blur
-            top = (a + d) / 2 + np.sqrt((a - d) * (a - d) / 4 + b * b)
+            xx, xy, xz, yy, yz, zz = (cov @ turned[part, i].T for i in range(6))
+            g, xr, yr = 1 / (z * z), xz - x * zz, yz - y * zz
+            a, b, d = g * (xx - x * (xz + xr)) + blur, g * (xy - y * xz - x * yr), g * (yy - y * (yz + yr)) + blur
+            mid, half, bb = (a + d) / 2, (a - d) / 2, b * b
+            top = mid + np.sqrt(half * half + bb)
             more = np.maximum(0.0, margin * least - top)
-            row, area = flat // hit.shape[1], a * d - b * b
-            views += hit.sum(axis=1)
-            culled += np.bincount(row[top < least], minlength=n)
-            at = flat + row * (k - hit.shape[1]) + start
-            need.ravel()[at] = more / (0.5 * (fx + fy) / z) ** 2
-            ratio.ravel()[at] = np.sqrt(area / np.maximum((a + more) * (d + more) - b * b, 1e-20))
+            views += _row_counts(hit)
+            culled += _row_counts(hit & (top < least))
+            need[:, part] = np.where(hit, more / (focal * g), np.nan)
+            ratio[:, part] = np.where(hit, np.sqrt((a * d - bb) / np.maximum((a + more) * (d + more) - bb, 1e-20)), np.nan)
         thin = np.flatnonzero(culled > culled_share * views)
         out = np.zeros(n), np.ones(n)
-        for whole, lower in zip((need, ratio), out):
-            whole = np.sort(whole[thin], axis=1)
-            lower[thin] = whole[np.arange(len(thin)), (views[thin] - 1) // 2]
+        for lower, values in zip(out, (need, ratio)):
+            lower[thin] = _lower_medians(values, views, thin)
         return views, culled, *out
 
     def reduce(columns: dict[str, np.ndarray], tmat: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         xyz, cov = np.stack([columns[c] for c in "xyz"], axis=1), np.stack([columns[c] for c in COVARIANCE], axis=1)
         own = np.flatnonzero(np.isfinite(xyz).all(axis=1))
         own = own[_along_curve(xyz[own])] if len(own) else own
-        m, stretch, turned = np.ascontiguousarray(tmat.T), _stretch(tmat), _turned(tmat)
+        m, stretch, turned = np.ascontiguousarray(tmat.T), _stretch(tmat), _turned(tmat, fx, fy)
         numbers, parts = [np.zeros(0, np.int64)], []
         size = min(CHUNK, max(1, MOST_PAIRS // len(tmat)))
         with np.errstate(all="ignore"):
@@ -444,7 +456,7 @@ def footprints(camera: Camera, blur: float, least: float, margin: float, culled_
                 low, high = xyz[at].min(axis=0), xyz[at].max(axis=0)
                 near = np.flatnonzero(_maybe_seen(m, stretch, (low + high) / 2, np.sqrt(((high - low) ** 2).sum()) / 2, camera))
                 if len(near):
-                    part = chunk(xyz[at], cov[at], m[:, near], turned[:, :, near])
+                    part = chunk(xyz[at], cov[at], tmat[near], turned[near])
                     seen = part[0] > 0
                     numbers.append(at[seen])
                     parts.append([c[seen] for c in part])
